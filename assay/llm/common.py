@@ -30,7 +30,7 @@ def text_key(df: DataFrame, text: str = "text") -> list[Column]:
     return [F.xxhash64(t, F.lit(1)).alias("_k1"), F.xxhash64(F.lit(2), t).alias("_k2")]
 
 
-def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int = 2_000) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without a whole group in one task.
 
     A group of n rows is dealt by the hash of `order` into ceil(n / chunk) slices; rows are numbered inside
