@@ -12,6 +12,7 @@ from assay.llm.decontamination import contamination
 from assay.llm.linededup import dedup_lines
 from assay.llm.mixing import mix
 from assay.llm.sharding import shard_rows
+from assay.llm.simhash import components
 
 SHARDS = 24
 
@@ -37,6 +38,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = components(read(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_decontamination": op3_decontamination,
     "op6_sharding": op6_sharding,
+    "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
