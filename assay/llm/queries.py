@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm.common import LOWER, UPPER, read
+from assay.llm import langid, toxicity
+from assay.llm.common import LOWER, UPPER, held_out, read
 from assay.llm.decontamination import contamination
 from assay.llm.linededup import dedup_lines
 from assay.llm.mixing import mix
@@ -38,9 +39,29 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.filter(~held))
+    return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from documents whose crc32(doc_id) mod 5 is not 0."""
+    labels = read(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5, 0))
+    return toxicity.fit(docs, labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(spark, docs, sf_dir)
+    scored = toxicity.score(docs.withColumn("held_out", held_out(F.col("doc_id"), 5, 0)), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(read(spark, sf_dir, "documents"))
-    return found.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select(F.col("_id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_decontamination": op3_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
