@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import langid, toxicity
+from assay.llm import langid, lm, toxicity
 from assay.llm.common import LOWER, UPPER, held_out, read
 from assay.llm.decontamination import contamination
 from assay.llm.linededup import dedup_lines
@@ -25,6 +25,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 10, 0)
+    docs = read(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
+    model = lm.fit(docs.filter("NOT held_out"))
+    return lm.score(docs, model)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return report.select(
@@ -71,6 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
