@@ -14,6 +14,7 @@ from assay.llm.linededup import dedup_lines
 from assay.llm.mixing import mix
 from assay.llm.sharding import shard_rows
 from assay.llm.simhash import components
+from assay.llm.tokencount import section_tokens
 
 SHARDS = 24
 
@@ -39,6 +40,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_rows(docs, SHARDS).select(
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
+    "op4_token_counts": op4_token_counts,
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
