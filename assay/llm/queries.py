@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import langid, lm, toxicity
+from assay.llm import ann, langid, lm, toxicity
 from assay.llm.common import LOWER, UPPER, held_out, read
 from assay.llm.decontamination import contamination
 from assay.llm.linededup import dedup_lines
@@ -44,6 +44,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_rows(docs, SHARDS).select(
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_ann": op5_ann,
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
