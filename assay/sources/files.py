@@ -71,7 +71,7 @@ def tree_columns(path: Column) -> tuple[Column, Column]:
 
 
 def labelled_tree_scan(spark: SparkSession, root: str) -> DataFrame:
-    """Image files under real/ and fake/; the contents are never read."""
+    """Image files under real/ and fake/; the contents are never read. Spark's listing leaves out empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     below = F.regexp_extract("path", r"/((?:real|fake)/.*)$", 1)
     label, source = tree_columns(below)
