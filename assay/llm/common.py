@@ -40,23 +40,17 @@ def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int
     a slice, and the slices' running counts are added. The order inside a group is thus a fixed shuffle.
     Rows equal in all of `order` may swap their numbers.
     """
-    slices = (
-        df.groupBy(group)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(F.col(group).alias("_g"), F.ceil(F.col("_n") / chunk).cast("int").alias("_slices"))
-    )
-    dealt = df.join(slices, df[group].eqNullSafe(slices["_g"])).drop("_g")
-    dealt = dealt.withColumn("_h", F.xxhash64(F.lit(97), *order)).withColumn("_slice", F.pmod("_h", "_slices")).drop("_slices")
-    counts = dealt.groupBy(F.col(group).alias("_g"), F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    # a key without nulls: equal joins on it keep the window's partitioning, so wide rows are shuffled once
+    keyed = df.withColumn("__g", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
+    slices = keyed.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("__slices"))
+    dealt = keyed.join(F.broadcast(slices), "__g")  # one row for each group: sources or ring arcs
+    dealt = dealt.withColumn("__h", F.xxhash64(F.lit(97), *order)).withColumn("__slice", F.pmod("__h", "__slices")).drop("__slices")
+    counts = dealt.groupBy("__g", "__slice").agg(F.count(F.lit(1)).alias("__c"))
     ahead = counts.select(
-        "_g", "_s", (F.sum("_n").over(Window.partitionBy("_g").orderBy("_s")) - F.col("_n")).alias("_ahead")
-    )
-    inside = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_slice").orderBy("_h", *order)) - 1)
-    return (
-        inside.join(ahead, inside[group].eqNullSafe(ahead["_g"]) & (inside["_slice"] == ahead["_s"]))
-        .withColumn(rank, (F.col("_ahead") + F.col("_r")).cast("long"))
-        .drop("_g", "_s", "_ahead", "_r", "_h", "_slice")
+        "__g", "__slice", (F.sum("__c").over(Window.partitionBy("__g").orderBy("__slice")) - F.col("__c")).alias("__ahead")
     )
+    inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__g", "__slice").orderBy("__h", *order)) - 1)
+    return inside.join(ahead, ["__g", "__slice"]).withColumn(rank, (F.col("__ahead") + F.col("__r")).cast("long")).drop("__g", "__slice", "__ahead", "__r", "__h")
 
 
 def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
