@@ -30,7 +30,7 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
 def text_key(df: DataFrame, text: str = "text") -> list[Column]:
     """128 bits that stand for a whole text (null is its own value)."""
     t = F.col(text)
-    return [F.xxhash64(t, F.lit(1)).alias("_k1"), F.xxhash64(F.lit(2), t).alias("_k2")]
+    return [F.xxhash64(t, F.lit(1)).alias("__k1"), F.xxhash64(F.lit(2), t).alias("__k2")]
 
 
 def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int = 2_000) -> DataFrame:

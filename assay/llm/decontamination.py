@@ -44,22 +44,22 @@ def windows_of(benchmark: DataFrame, width: int = WIDTH, item: str = "item_id",
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """One row for each document text with a hit: key, _k1, _k2, spans (sorted structs of start, n), items (sorted)."""
+    """One row for each document text with a hit: key, __k1, __k2, spans (sorted structs of start, n), items (sorted)."""
     windows = windows_of(benchmark, width, item)
     sizes = {r["n"]: r["count"] for r in windows.groupBy("n").count().collect()}
     small = sum(sizes.values()) <= BROADCAST_WINDOWS
-    tokens = docs.select(F.col(key).alias("_id"), *text_key(docs, text), words(F.col(text)).alias("_w"))
+    tokens = docs.select(F.col(key).alias("__id"), *text_key(docs, text), words(F.col(text)).alias("_w"))
     found = None
     for n in sorted(sizes) or [width]:
         hashes = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.xxhash64(F.slice("_w", i + 1, n)))  # noqa: B023
-        rows = tokens.filter(F.size("_w") >= n).select("_id", "_k1", "_k2", "_w", F.posexplode(hashes).alias("_at", "_h"))
+        rows = tokens.filter(F.size("_w") >= n).select("__id", "__k1", "__k2", "_w", F.posexplode(hashes).alias("_at", "_h"))
         these = windows.filter(F.col("n") == n).select("window", "hash", "items")
         hit = rows.join(
             F.broadcast(these) if small else these,
             (F.col("_h") == F.col("hash")) & (F.slice("_w", F.col("_at") + 1, n) == F.col("window")),
-        ).select("_id", "_k1", "_k2", F.struct(F.col("_at").alias("start"), F.lit(n).alias("n")).alias("_span"), "items")
+        ).select("__id", "__k1", "__k2", F.struct(F.col("_at").alias("start"), F.lit(n).alias("n")).alias("_span"), "items")
         found = hit if found is None else found.unionByName(hit)
-    return found.groupBy("_id", "_k1", "_k2").agg(
+    return found.groupBy("__id", "__k1", "__k2").agg(
         F.sort_array(F.collect_set("_span")).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -78,8 +78,8 @@ def covered(spans: Column) -> Column:
 def _with_hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, **opts) -> DataFrame:
     hits = find_hits(docs, benchmark, key=key, text=text, **opts)
     keyed = docs.select("*", *text_key(docs, text))
-    same = keyed[key].eqNullSafe(hits["_id"]) & (keyed["_k1"] == hits["_k1"]) & (keyed["_k2"] == hits["_k2"])
-    return keyed.join(hits, same, "left").drop("_id", hits["_k1"], hits["_k2"]).drop("_k1", "_k2")
+    same = keyed[key].eqNullSafe(hits["__id"]) & (keyed["__k1"] == hits["__k1"]) & (keyed["__k2"] == hits["__k2"])
+    return keyed.join(hits, same, "left").drop("__id", hits["__k1"], hits["__k2"]).drop("__k1", "__k2")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **opts) -> DataFrame:
@@ -102,8 +102,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """The documents without a hit, with their own columns."""
     hits = find_hits(docs, benchmark, key=key, text=text, **opts)
     keyed = docs.select("*", *text_key(docs, text))
-    same = keyed[key].eqNullSafe(hits["_id"]) & (keyed["_k1"] == hits["_k1"]) & (keyed["_k2"] == hits["_k2"])
-    return keyed.join(hits, same, "left_anti").drop("_k1", "_k2")
+    same = keyed[key].eqNullSafe(hits["__id"]) & (keyed["__k1"] == hits["__k1"]) & (keyed["__k2"] == hits["__k2"])
+    return keyed.join(hits, same, "left_anti").drop("__k1", "__k2")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **opts) -> DataFrame:

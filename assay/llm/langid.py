@@ -51,9 +51,11 @@ def gram_slots(text: str, letters: np.ndarray) -> Iterator[np.ndarray]:
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
     """k rows of +1 and -1."""
+    if k < 2:
+        return np.ones((k, 0), np.int8)
     if k <= 7:
         columns = [[1, *c] for c in itertools.product((1, -1), repeat=k - 1)][1:]
-        return np.array(columns, np.int8).T.reshape(k, -1) if k else np.ones((0, 0), np.int8)
+        return np.array(columns, np.int8).T
     bits = 6 * int(np.ceil(np.log2(k)))
     rng = np.random.default_rng(seed)
     tries = [np.where(rng.random((k, bits)) < 0.5, -1, 1).astype(np.int8) for _ in range(200)]

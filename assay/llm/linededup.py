@@ -106,17 +106,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     drops = (
         held.join(common, ["h1", "h2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
+        .groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
     )
-    marked = docs.join(drops, docs[key].eqNullSafe(drops["_id"]), "left").drop("_id")
+    marked = docs.join(drops, docs[key].eqNullSafe(drops["__id"]), "left").drop("__id")
     every = lines(F.col(text))
-    gone = lambda x: (F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("_drop"), key_hash(line_key(x)))
-    kept = F.when(F.col("_drop").isNull(), every).otherwise(F.filter(every, lambda x: ~gone(x)))
+    gone = lambda x: (F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("__drop"), key_hash(line_key(x)))
+    kept = F.when(F.col("__drop").isNull(), every).otherwise(F.filter(every, lambda x: ~gone(x)))
     return (
-        marked.withColumn("_kept", kept)
+        marked.withColumn("__kept", kept)
         .withColumn("n_lines", F.size(every).cast("long"))
-        .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-        .withColumn("kept_text", F.array_join("_kept", "\n"))
-        .drop("_kept", "_drop")
+        .withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
+        .withColumn("kept_text", F.array_join("__kept", "\n"))
+        .drop("__kept", "__drop")
     )

@@ -100,19 +100,19 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
                 missing += x["hi"] * block_rows - counts[names[i]]
     fields = ("phase", "lo", "hi", "m", "period", "start")
     table = [(names[i := x["source_no"]], shares[names[i]], *(x[f] for f in fields), short[x["start"]], x["spots"]) for x in plan]
-    schedule = rows_of(spark, table, "name string, share int, phase int, lo long, hi long, m long, period long, start long, short long, spots array<long>")
+    schedule = rows_of(spark, table, "__name string, share int, phase int, __lo long, __hi long, __m long, __period long, __start long, __short long, __spots array<long>")
     order = [F.col(key)] + ([F.xxhash64(text)] if text and text in docs.columns else [])
-    numbered = ranked(docs.withColumn("_source", F.col(source).cast("string")), "_source", order, "_n")
-    block = F.floor(F.col("_n") / block_rows)
+    numbered = ranked(docs.withColumn("__source", F.col(source).cast("string")), "__source", order, "__n")
+    block = F.floor(F.col("__n") / block_rows)
     joined = numbered.withColumn("block", block).join(
-        F.broadcast(schedule), F.col("_source").eqNullSafe(F.col("name")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))
+        F.broadcast(schedule), F.col("__source").eqNullSafe(F.col("__name")) & (F.col("block") >= F.col("__lo")) & (F.col("block") < F.col("__hi"))
     )
-    k = F.col("block") - F.col("lo")
-    turn, spot = F.floor(k / F.col("m")) * F.col("period"), (k % F.col("m"))
+    k = F.col("block") - F.col("__lo")
+    turn, spot = F.floor(k / F.col("__m")) * F.col("__period"), (k % F.col("__m"))
     return (
-        joined.withColumn("slot", F.col("start") + turn + F.element_at("spots", (spot + 1).cast("int")))
-        .withColumn("release", F.col("start") + turn + F.floor(spot * F.col("period") / F.col("m")))
-        .withColumn("deadline", F.col("start") + turn + F.ceil((spot + 1) * F.col("period") / F.col("m")))
-        .withColumn("mix_position", F.col("slot") * block_rows + F.col("_n") % block_rows - F.col("short"))
-        .drop("_source", "_n", "name", "lo", "hi", "m", "period", "start", "short", "spots")
+        joined.withColumn("slot", F.col("__start") + turn + F.element_at("__spots", (spot + 1).cast("int")))
+        .withColumn("release", F.col("__start") + turn + F.floor(spot * F.col("__period") / F.col("__m")))
+        .withColumn("deadline", F.col("__start") + turn + F.ceil((spot + 1) * F.col("__period") / F.col("__m")))
+        .withColumn("mix_position", F.col("slot") * block_rows + F.col("__n") % block_rows - F.col("__short"))
+        .drop("__source", "__n", "__name", "__lo", "__hi", "__m", "__period", "__start", "__short", "__spots")
     )

@@ -78,7 +78,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(read(spark, sf_dir, "documents"))
-    return found.select(F.col("_id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return found.select(F.col("__id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,22 +91,22 @@ def shard_rows(docs: DataFrame, shards: int, vnodes: int = VNODES, text: str = "
     """
     spark = docs.sparkSession
     owners, arc_of = ring(shards, vnodes)
-    cells = rows_of(spark, list(enumerate(arc_of)), "_cell int, _arc int")
+    cells = rows_of(spark, list(enumerate(arc_of)), "__cell int, __arc int")
     placed = (
         docs.drop("shard", "slot", "size", "text_crc32")
         .withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
         .withColumn("text_crc32", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-        .withColumn("_t", F.xxhash64(text))
-        .withColumn("_cell", F.pmod("_t", F.lit(len(arc_of))).cast("int"))
-        .join(F.broadcast(cells), "_cell")
-        .drop("_cell")
+        .withColumn("__t", F.xxhash64(text))
+        .withColumn("__cell", F.pmod("__t", F.lit(len(arc_of))).cast("int"))
+        .join(F.broadcast(cells), "__cell")
+        .drop("__cell")
     )
-    demand = {r["_arc"]: r["n"] for r in placed.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    demand = {r["__arc"]: r["n"] for r in placed.groupBy("__arc").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spill_plan(owners, demand, shards)
-    spans = rows_of(spark, plan, "arc int, lo long, hi long, shard int, base long")
-    numbered = ranked(placed, "_arc", [F.col("_t"), F.col(key)], "_at")
+    spans = rows_of(spark, plan, "__plan_arc int, __lo long, __hi long, shard int, __base long")
+    numbered = ranked(placed, "__arc", [F.col("__t"), F.col(key)], "__at")
     return (
-        numbered.join(F.broadcast(spans), (F.col("_arc") == F.col("arc")) & (F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi")))
-        .withColumn("slot", F.col("base") + F.col("_at") - F.col("lo"))
-        .drop("arc", "lo", "hi", "base", "_arc", "_at", "_t")
+        numbered.join(F.broadcast(spans), (F.col("__arc") == F.col("__plan_arc")) & (F.col("__at") >= F.col("__lo")) & (F.col("__at") < F.col("__hi")))
+        .withColumn("slot", F.col("__base") + F.col("__at") - F.col("__lo"))
+        .drop("__plan_arc", "__lo", "__hi", "__base", "__arc", "__at", "__t")
     )
