@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from assay.operators import adapters as ad
 from assay.operators import corpus as c
 from assay.plans.registry import query
 from assay.plans.views import duck, table, view
+from assay.session import shared_dir
+from assay.sources import files as fl
 
 MAN = duck("manifest")
 
@@ -70,6 +74,16 @@ _PATHS = """SELECT concat('root/', lang, '/', CAST(doc_id AS STRING), '.jpg') AS
   CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS grp, CASE WHEN doc_id % 4 = 3 THEN 'StyleGAN' ELSE '' END AS method, CASE WHEN doc_id % 3 = 0 THEN 'c23' ELSE '' END AS compression, lang AS subject FROM documents"""
 
 
+@query("a2_manifest_round_trip", f"SELECT sample_id, dataset, normalized_label, status, face_count, face_count > 0 AS face_found FROM ({FULL})")
+def _(spark, sf):
+    """All 31 columns written by status in the shared folder and read back; no row is lost."""
+    full = manifest(spark, sf)
+    rows = full.select(*[(F.col(n) if n in full.columns else F.lit(None)).cast("string").alias(n) for n in fl.MANIFEST]).withColumn("face_found", (F.col("face_count").cast("int") > 0).cast("int").cast("string"))
+    path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    fl.manifest_write(fl.typed_manifest(rows), path)
+    return spark.read.parquet(path).select("sample_id", "dataset", "normalized_label", "status", "face_count", "face_found")
+
+
 @query("a5_inventory", """SELECT concat('demo_', substr(sha1(concat_ws('|', 'demo', path, '-1')), 1, 16)) AS sample_id, path AS source_path, label AS original_label,
   CASE label WHEN 'real' THEN 'REAL' WHEN 'odd' THEN 'UNKNOWN' ELSE 'FAKE' END AS normalized_label, CASE label WHEN 'real' THEN 'REAL' WHEN 'odd' THEN 'UNKNOWN_FAKE' WHEN 'fake' THEN 'GAN' ELSE 'FACE_SWAP' END AS manipulation_family,
   coalesce(nullif(compression, ''), 'unknown') AS compression, coalesce(grp, '') AS group_id, CASE WHEN label = 'odd' OR grp IS NULL THEN 'REJECTED' ELSE 'PENDING' END AS status,
@@ -110,7 +124,11 @@ def _(spark, sf):
     return c.near_pairs(hashed(spark, sf), 22)
 
 
-@query("e1_near_duplicate_keepers")
+@query("e1_near_duplicate_keepers", f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY sample_id) AS rn FROM ({duck('hash')})),
+  walk AS (SELECT DISTINCT group_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, signs VARCHAR)[]) AS kept, CAST(NULL AS BIGINT) AS keeper, CAST(NULL AS BIGINT) AS dropped FROM h
+    UNION ALL SELECT group_id, rn, CASE WHEN near = [] THEN list_append(kept, {{'id': sample_id, 'signs': signs}}) ELSE kept END, CASE WHEN near <> [] THEN near[1].id END, CASE WHEN near <> [] THEN sample_id END
+    FROM (SELECT h.group_id, h.rn, h.sample_id, h.signs, w.kept, list_filter(w.kept, lambda k: hamming(k.signs, h.signs) <= 22) AS near FROM walk w JOIN h ON h.group_id = w.group_id AND h.rn = w.rn + 1))
+  SELECT keeper, dropped FROM walk WHERE dropped IS NOT NULL""")
 def _(spark, sf):
     return c.near_duplicate_keepers(hashed(spark, sf), 22)
 
@@ -420,7 +438,15 @@ def _(spark, sf):
     return c.composition(c.assign_duplicate_status(rows, c.exact_duplicate_sets(rows)))
 
 
-@query("k2_balance_caps")
+def _order(x: str = "sample_id") -> str:
+    return f"md5(concat('42', {x}))"
+
+
+@query("k2_balance_caps", f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {_order()}) AS r FROM ({FULL}) WHERE status = 'ACCEPTED'), b AS (SELECT * FROM a WHERE r <= 40),
+  c AS (SELECT *, count(*) OVER (PARTITION BY normalized_label) AS t, row_number() OVER (PARTITION BY normalized_label, manipulation_method ORDER BY {_order()}) AS r2 FROM b),
+  d AS (SELECT * FROM c WHERE normalized_label = 'REAL' OR r2 <= floor(0.4e0 * t)), e AS (SELECT *, count(*) OVER (PARTITION BY normalized_label) AS t2, row_number() OVER (PARTITION BY normalized_label, dataset ORDER BY {_order()}) AS r3 FROM d),
+  f AS (SELECT * FROM e WHERE r3 <= floor(0.5e0 * t2)), g AS (SELECT *, count(*) FILTER (WHERE normalized_label = 'REAL') OVER () AS n_real, row_number() OVER (PARTITION BY normalized_label ORDER BY {_order()}) AS r4 FROM f)
+  SELECT sample_id, normalized_label, group_id, dataset, manipulation_method FROM g WHERE normalized_label = 'REAL' OR r4 <= n_real""")
 def _(spark, sf):
     return c.balance_caps(manifest(spark, sf).filter("status = 'ACCEPTED'")).select("sample_id", "normalized_label", "group_id", "dataset", "manipulation_method")
 

@@ -69,6 +69,21 @@ def _(spark, sf):
 _URLS = "SELECT page_id, CASE page_id % 12 WHEN 0 THEN concat('http://a.example/', CAST(page_id AS STRING)) WHEN 1 THEN 'https://www.youtube.com/watch?v=1' WHEN 2 THEN 'https://youtu.be./x' WHEN 3 THEN 'ftp://a.example/x' WHEN 4 THEN 'https://127.0.0.1/x' WHEN 5 THEN 'https://10.2.3.4:8080/x' WHEN 6 THEN 'https://172.31.0.9/' WHEN 7 THEN 'https://169.254.1.1/meta' WHEN 8 THEN 'https://LOCALHOST/x' WHEN 9 THEN 'https://8.8.8.8/x' WHEN 10 THEN '' ELSE url END AS url FROM pages"
 
 
+_HEADS = ("FFD8FFE0", "89504E470D0A1A0A0000000D494844520000006400000032", "89504E470D0A1A0A0000000D494844520000C8000000C800", "524946460000000057454250", "000000186674797069736F6D", "1A45DFA3", "48656C6C6F", "")
+_EXTS = ("jpg", "png", "png", "webp", "mp4", "webm", "png", "txt")
+
+
+@query("a14_media_intake_screen", """SELECT path, ext, CASE WHEN code IS NULL THEN CASE WHEN ext IN ('.mp4', '.webm') THEN 'video' ELSE 'image' END END AS kind, code AS reject_code
+  FROM (SELECT concat('up/', CAST(doc_id AS VARCHAR), '.', ['jpg', 'png', 'png', 'webp', 'mp4', 'webm', 'png', 'txt'][k + 1]) AS path, concat('.', ['jpg', 'png', 'png', 'webp', 'mp4', 'webm', 'png', 'txt'][k + 1]) AS ext,
+    CASE WHEN k = 7 THEN 'bad_type' WHEN n_chars % 11 = 0 THEN 'empty_file' WHEN k = 6 THEN 'bad_magic' WHEN k = 2 THEN 'too_many_pixels' END AS code FROM (SELECT *, doc_id % 8 AS k FROM documents))""")
+def _(spark, sf):
+    k = (F.col("doc_id") % 8 + 1).cast("int")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), k)
+    content = F.when(F.col("n_chars") % 11 == 0, F.lit(b"")).otherwise(F.concat(F.unhex(pick(_HEADS)), F.col("text").cast("binary")))
+    files = table(spark, sf, "documents").select(F.concat(F.lit("up/"), F.col("doc_id").cast("string"), F.lit("."), pick(_EXTS)).alias("path"), content.alias("content"))
+    return fl.intake_screen(files.withColumn("length", F.octet_length("content"))).select("path", "ext", "kind", "reject_code")
+
+
 @query("a15_url_policy_screen", f"""SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'insecure scheme' WHEN 1 THEN 'streaming platform' WHEN 2 THEN 'streaming platform' WHEN 3 THEN 'unsupported scheme' WHEN 4 THEN 'loopback address' WHEN 5 THEN 'private address' WHEN 6 THEN 'private address' WHEN 7 THEN 'link-local address' WHEN 8 THEN 'loopback address' WHEN 9 THEN 'ok' WHEN 10 THEN 'missing or too long'
   ELSE CASE WHEN url LIKE 'https://%' THEN 'ok' WHEN url LIKE 'http://%' THEN 'insecure scheme' ELSE 'unsupported scheme' END END AS policy FROM ({_URLS})""")
 def _(spark, sf):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from assay.operators import store as st
 from assay.plans.registry import query
 from assay.plans.views import duck, table, view
+from assay.session import shared_dir
+from assay.sources.files import csv_write, table_append
 from assay.streaming import streams
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -109,7 +113,39 @@ def _(spark, sf):
     return evolve(scans(spark, sf).select("scan_id", "prediction"), feedback(spark, sf).select("scan_id", "prediction", "agree"))
 
 
-@query("i1_sliding_rate_limit")
+@query("a10_table_append", f"SELECT prediction, count(*) * 2 AS n FROM ({S}) GROUP BY prediction")
+def _(spark, sf):
+    """Two appends to one table in the shared folder."""
+    path = f"{shared_dir(spark)}/analyses-{uuid.uuid4().hex}"
+    for _ in range(2):
+        table_append(st.privacy_projection(scans(spark, sf)), path)
+    return spark.read.parquet(path).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a12_disagreements_export", f"SELECT scan_id, prediction, confidence FROM ({FB}) WHERE NOT agree")
+def _(spark, sf):
+    """The list as CSV with a header, read back."""
+    path = f"{shared_dir(spark)}/disagreements-{uuid.uuid4().hex}"
+    csv_write(feedback(spark, sf).filter("NOT agree").select("scan_id", "prediction", "confidence"), path)
+    return spark.read.schema("scan_id string, prediction string, confidence int").option("header", True).csv(path)
+
+
+@query("a9_feedback_jsonl_append", f"SELECT scan_id, agree FROM ({FB})")
+def _(spark, sf):
+    """The feedback table as a file stream, appended as JSON lines with an ingestion time, read back."""
+    folder = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = source.filter("event_id % 3 = 0").select(F.concat(F.lit("SCAN-"), F.col("event_id").cast("string")).alias("scan_id"), (F.col("event_type") != "error").alias("agree"))
+    streams.jsonl_append(rows, f"{folder}/lines", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("scan_id string, agree boolean, ingested_at timestamp").json(f"{folder}/lines").filter("ingested_at IS NOT NULL").select("scan_id", "agree")
+
+
+@query("i1_sliding_rate_limit", """WITH RECURSIVE e AS (SELECT user_id AS client, epoch_us(ts) / 1000000e0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+  walk AS (SELECT DISTINCT client, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DOUBLE) AS t, CAST([] AS DOUBLE[]) AS held, CAST(NULL AS BOOLEAN) AS accepted, CAST(NULL AS BIGINT) AS retry_after FROM e
+    UNION ALL SELECT client, rn, t, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, CASE WHEN len(live) >= 3 THEN CAST(trunc(86400 - (t - live[1])) AS BIGINT) + 1 END
+    FROM (SELECT e.client, e.rn, e.t, list_filter(w.held, lambda h: e.t - h <= 86400) AS live FROM walk w JOIN e ON e.client = w.client AND e.rn = w.rn + 1))
+  SELECT client, t, accepted, retry_after FROM walk WHERE rn > 0""")
 def _(spark, sf):
     events = table(spark, sf, "events").select(F.col("user_id").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"))
     return streams.sliding_rate_limit_batch(events, 3, 86400.0)
