@@ -144,7 +144,8 @@ def test_forest_links_what_all_pairs_link(wide, radius):
                 fps.append(y)
         fps = np.unique(np.array(fps), axis=0)
         shard = np.sort(rng.integers(0, 2, len(fps)))
-        a, b = simhash.spanning_links(fps, shard, radius)
+        a, b, bits = simhash.spanning_links(fps, shard, radius)
+        assert bits.tolist() == [int(np.bitwise_count(fps[i] ^ fps[j]).sum()) for i, j in zip(a, b, strict=True)]
         as_int = [int.from_bytes(x.astype(">u8").tobytes(), "big") | int(s) << 64 * wide + 200 for x, s in zip(fps, shard, strict=True)]
         as_int = [x if s == 0 else x ^ ((1 << 300) - 1) << 64 * wide for x, s in zip(as_int, shard, strict=True)]
         top = list(range(len(fps)))
@@ -159,6 +160,19 @@ def test_forest_links_what_all_pairs_link(wide, radius):
         assert len(a) < len(fps)
 
 
+def test_doubtful_links_are_checked(spark):
+    w = [f"w{i}" for i in range(200)]
+    def changed(n):
+        return " ".join("x%d" % i if i % (200 // n) == 7 and i // (200 // n) < n else x for i, x in enumerate(w))
+    texts = [" ".join(w), changed(4), changed(20)]  # Jaccard 1, about 0.82 and 0.33
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    far = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert 0.8 <= far[1] < 0.86 and far[2] < 0.5
+    assert [round(simhash.jaccard(texts[0].encode(), t.encode(), 5), 9) for t in texts] == [round(x, 9) for x in far]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[1]), (4, None), (5, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, **simhash.SIMILAR | {"radius": 300, "sure": 0}).collect()) == [0, 2, 4]
+
+
 def test_near_copies_leave_one(spark):
     import random
 
