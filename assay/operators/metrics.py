@@ -129,7 +129,7 @@ def threshold_for_fpr(preds: DataFrame, target: float) -> DataFrame:
     run = running_counts(score_counts(preds))
     totals = run.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     at = run.crossJoin(F.broadcast(totals)).select(
-        "p_fake", ((F.col("N") - F.col("neg_below")) / F.col("N")).alias("fpr"), ((F.col("P") - F.col("pos_below")) / F.col("P")).alias("recall")
+        "p_fake", ratio(F.col("N") - F.col("neg_below"), F.col("N")).alias("fpr"), ratio(F.col("P") - F.col("pos_below"), F.col("P")).alias("recall")
     )
     best = at.filter(F.col("fpr") <= target).agg(F.min_by(F.struct("p_fake", "fpr", "recall"), "p_fake").alias("b"))
     ok = (F.col("P") > 0) & (F.col("N") > 0)
