@@ -8,7 +8,7 @@ A batch's lines are then merge-joined with the runs: a line goes if its key is i
 and this is not the largest one. Runs are tables in the shared folder, so a lost executor costs a re-read only.
 
 A null or empty text is one empty line. Rows that share a doc_id are one document; null ids are one document, the
-smallest. A very common line is counted with map-side partial sums, so no task sees all its holders.
+smallest. A very common line is counted with map-side partial sums and joined by broadcast, so no task sees all its holders.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from assay.llm.common import BLANK, ascii_lower
 from assay.session import shared_dir
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 6, 3
+HOT_LINES = 10_000
 
 
 def lines(text: Column) -> Column:
@@ -103,8 +104,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     for b in range(batches):
         runs.add(held.filter(F.col("_batch") == b).drop("_batch"))
     common = runs.entries().filter(F.col("n_docs") >= min_docs)
+    # fewer than HOT_LINES keys can have this many holders, so these are broadcast and never meet in one task
+    many = max(min_docs, held.count() // HOT_LINES + 1)
+    hot = F.broadcast(common.filter(F.col("n_docs") >= many))
+    rest = held.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(common.filter(F.col("n_docs") < many), ["h1", "h2"])
     drops = (
-        held.join(common, ["h1", "h2"])
+        held.join(hot, ["h1", "h2"])
+        .unionByName(rest)
         .filter(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
         .groupBy(F.col("doc_id").alias("__id"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
