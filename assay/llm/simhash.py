@@ -10,8 +10,8 @@ children are keyed by their integer Hamming distance to the parent, and a search
 the radius of the query's own distance. The trees travel to the tasks by a shuffle on their shard, not by a broadcast:
 together they hold every fingerprint of the corpus, which must not pass through the driver.
 
-A search does not list all pairs: what it reaches leaves the tree at once and is searched from later, against
-what is still there. Each shard thus gives a spanning forest of its links, and a dense group of near copies
+A search does not list all pairs: what one group of links reaches leaves the tree at once and is searched from later,
+against what is still there; two groups never leave a tree together, as links between them would be lost. Each shard thus gives a spanning forest of its links, and a dense group of near copies
 costs about one visit each. Components of the forests' union are found in Spark.
 
 Null or empty text: no shingles, fingerprint zero, linked like any other. Fewer words than a shingle: the whole
@@ -184,50 +184,67 @@ def _columns(parts: list[tuple], n: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(n))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As few of the links as keep the same components, the closest first."""
+def _forest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As few of the links as keep the same components, the closest first, and the component of each."""
     order = np.argsort(bits, kind="stable")
     a, b, bits = a[order], b[order], bits[order]
     top: dict[int, int] = {}
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+
+    def find(x: int) -> int:
         while (up := top.get(x, x)) != x:
             top[x] = x = top.get(up, up)
-        while (up := top.get(y, y)) != y:
-            top[y] = y = top.get(up, up)
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
         if x != y:
             top[x] = y
             keep.append(i)
-    return a[keep], b[keep], bits[keep]
+    a, b, bits = a[keep], b[keep], bits[keep]
+    return a, b, bits, np.array([find(x) for x in a.tolist()], np.int64)
+
+
+def _largest(node: np.ndarray, group: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The distinct nodes of one group a tree, the one with most of them."""
+    node, first = np.unique(node, return_index=True)
+    group, root = group[first], root[first]
+    _, inverse, n = np.unique(group, return_inverse=True, return_counts=True)
+    order = np.lexsort((-n[inverse], root))
+    _, best = np.unique(root[order], return_index=True)
+    return node[np.isin(group, group[order][best])]
 
 
 def spanning_links(fps: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (indexes a, b, and their bits) that join all of each shard's fingerprints within the radius, one for each
-    node reached, the closest of a wave."""
+    """Links (indexes a, b, and their bits) that join all of each shard's fingerprints within the radius.
+
+    Seeds are searched against all that is alive, each other included, and every link counts. What they reach in a
+    tree leaves it as the frontier only if it is of one group: frontier nodes of a tree are joined already and need
+    no comparison with each other. What other groups reach stays alive and is searched later.
+    """
     tree = BKForest(fps, shard)
     n = len(fps)
     alive = np.ones(n, bool)
     size_of = np.bincount(tree.root, minlength=n)[tree.root] if n else np.empty(0, np.int64)
     frontier, out = np.empty(0, np.int64), []
     while True:
-        seeds = np.empty(0, np.int64)
-        if not len(frontier):
-            seeds = np.flatnonzero(alive)
-            if not len(seeds):
-                break
-        batch = frontier if len(frontier) else seeds
+        seeding = not len(frontier)
+        batch = np.flatnonzero(alive) if seeding else frontier
+        if not len(batch):
+            break
         batch = batch[: max(1, int(np.searchsorted(np.cumsum(size_of[batch]), WAVE)))]
         q, hit, bits = tree.search(batch, alive, radius)
-        if len(seeds):
+        if seeding:
             alive[batch] = False
-            inner = np.isin(hit, batch)
+            q, hit, bits, group = _forest(q, hit, bits)
+            outer = alive[hit]
+            new = _largest(hit[outer], group[outer], tree.root[hit[outer]])
+            out.append((q, hit, bits))
         else:
-            inner = np.zeros(len(hit), bool)
             frontier = frontier[len(batch) :]
-        closest = np.lexsort((bits, hit))
-        closest = closest[~inner[closest]]
-        new, first = np.unique(hit[closest], return_index=True)
-        out += [_forest(q[inner], hit[inner], bits[inner]), (q[closest][first], new, bits[closest][first])]
+            closest = np.lexsort((bits, hit))
+            new, first = np.unique(hit[closest], return_index=True)
+            out.append((q[closest][first], new, bits[closest][first]))
         alive[new] = False
         frontier = np.concatenate([frontier, new])
     return _columns(out, 3)

@@ -191,6 +191,32 @@ def test_near_copies_leave_one(spark):
     assert simhash.keep_one(docs, **simhash.SIMILAR).count() == kept
 
 
+@pytest.mark.parametrize("wave", [1, 40, 150, 700])
+def test_simhash_keeps_every_link_when_a_wave_cuts_a_tree(monkeypatch, wave):
+    """Copies that are not linked to each other meet in texts that come after the cut."""
+    monkeypatch.setattr(simhash, "WAVE", wave)
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(3, 60))
+        fps = rng.integers(0, 1 << 63, (max(1, n // 8), 1), dtype=np.uint64)
+        while len(fps) < n:  # chains and stars of copies, up to five bits from an earlier one
+            flips = sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 6)), replace=False))
+            fps = np.r_[fps, fps[rng.integers(0, len(fps))][None] ^ np.uint64(flips)]
+        fps = fps[rng.permutation(len(fps))]
+        shard = np.sort(rng.integers(0, 3, len(fps)))
+        near = (np.bitwise_count(fps ^ fps.T) <= 4) & (shard[:, None] == shard)
+        a, b, bits = simhash.spanning_links(fps, shard, 4)
+        assert near[a, b].all() and (np.bitwise_count(fps[a] ^ fps[b])[:, 0] == bits).all()
+        assert _labels(len(fps), zip(a.tolist(), b.tolist())) == _labels(len(fps), zip(*(x.tolist() for x in np.nonzero(near))))
+
+
+def _labels(n, links):
+    name = list(range(n))
+    for a, b in links:
+        name = [min(name[a], name[b]) if x in (name[a], name[b]) else x for x in name]
+    return name
+
+
 def test_simhash_empty(empty):
     assert simhash.components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
