@@ -36,6 +36,10 @@ from assay.session import cut
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Bit blocks of the exact search; radius + 1 at least. Seven (35 masks of 27 bits) suit thousands of millions of texts.
 BLOCKS = 5
+#: Words after the fingerprint of a shingle set: a 128-bit digest of the set.
+TAIL = 2
+#: Candidates for each fingerprint in the first search of groups that fell apart, and their growth from search to search.
+MOST, MORE = 8, 8
 #: Pairs of query and tree node that one wave of searches may hold at once.
 WAVE = 1_000_000
 
@@ -57,11 +61,18 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     )
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE, wide: int = 1) -> bytes:
-    """`wide` big-endian words of 64 bits; the first takes the hashes as they are, further ones remix them."""
+def fingerprint(text: bytes | None, width: int = SHINGLE, wide: int = 1, as_set: bool = False) -> bytes:
+    """`wide` big-endian words of 64 bits; the first takes the hashes as they are, further ones remix them.
+
+    As a set: repeats count once, and TAIL words follow that stand for the whole set.
+    """
     h = shingle_hashes(text or b"", width)
+    tail = b""
+    if as_set:
+        h = np.unique(h)
+        tail = xxhash.xxh3_128_digest(h.astype("<u8").tobytes())
     if not len(h):
-        return bytes(8 * wide)
+        return bytes(8 * wide) + tail
     ones = np.zeros(64 * wide, np.int64)
     for at in range(0, len(h), 255 * 32):
         part = h[at : at + 255 * 32]
@@ -70,7 +81,7 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, wide: int = 1) -> byte
             words[: len(part), j] = part if j == 0 else remix(part, j)
         bits = np.unpackbits(words.view(np.uint8), axis=1).reshape(-1, 255, 64 * wide)
         ones += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)  # 255 rows fit a byte
-    return np.packbits(ones * 2 > len(h)).tobytes()
+    return np.packbits(ones * 2 > len(h)).tobytes() + tail
 
 
 def remix(h: np.ndarray, j: int) -> np.ndarray:
@@ -80,13 +91,13 @@ def remix(h: np.ndarray, j: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, wide: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, wide: int = 1, as_set: bool = False) -> DataFrame:
     """docs' key and text key with the fingerprint as binary `fp`."""
     id_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(x.as_py(), width, wide) for x in b.column("_t")], pa.binary())
+            fp = pa.array([fingerprint(x.as_py(), width, wide, as_set) for x in b.column("_t")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__k1"), b.column("__k2"), fp], ["__id", "__k1", "__k2", "fp"])
 
     source = docs.select(F.col(key).alias("__id"), *text_key(docs, text), F.col(text).cast("binary").alias("_t"))
@@ -250,6 +261,26 @@ def spanning_links(fps: np.ndarray, shard: np.ndarray, radius: int = RADIUS) ->
     return _columns(out, 3)
 
 
+def outside_candidates(fps: np.ndarray, shard: np.ndarray, group: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, ...]:
+    """(a, b, bits, whether a has more): for each node the `most` closest within the radius that are of other groups."""
+    tree = BKForest(fps, shard)
+    n = len(fps)
+    alive = np.ones(n, bool)
+    work = np.cumsum(np.bincount(tree.root, minlength=n)[tree.root])
+    at, out = 0, []
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + WAVE)))
+        q, hit, bits = tree.search(np.arange(at, stop), alive, radius)
+        order = np.lexsort((hit, bits, q))
+        order = order[group[q[order]] != group[hit[order]]]
+        q, hit, bits = q[order], hit[order], bits[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        more = np.bincount(q, minlength=n)[q] > most
+        out.append(tuple(x[place < most] for x in (q, hit, bits, more)))
+        at = stop
+    return _columns(out, 4)
+
+
 def shard_codes(fps: np.ndarray, masks: list[int]) -> np.ndarray:
     """A 64-bit shard code for each fingerprint and mask; a chance collision only joins two trees."""
     words = fps.shape[1]
@@ -266,28 +297,42 @@ def _matrix(column: pa.Array, wide: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, wide)
 
 
-def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int = 1) -> DataFrame:
-    """Distinct `fp` -> links (a, b, bits) that join what is within the radius and shares a shard."""
+def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int = 1, tail: int = 0, most: int | None = None) -> DataFrame:
+    """Distinct `fp` -> links (a, b, bits) that join what is within the radius and shares a shard.
+
+    `tail` words of an fp tell equal fingerprints apart and do not count as bits. With `most`, fps has a column g: each
+    fingerprint's links are the `most` closest ones to other g, and the column more tells whether there are others.
+    """
+    g = ["g"] if most else []
+    words = wide + tail
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = shard_codes(_matrix(b.column("fp"), wide), masks)
+                codes = shard_codes(_matrix(b.column("fp"), words)[:, :wide], masks)
                 rows = pa.array(np.repeat(np.arange(b.num_rows), len(masks)))
-                yield pa.RecordBatch.from_arrays([b.column("fp").take(rows), pa.array(codes.ravel())], ["fp", "shard"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ["fp", *g]), pa.array(codes.ravel())], ["fp", *g, "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_matrix(b.column("fp"), wide), b.column("shard").to_numpy()) for b in batches if b.num_rows]
+        parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        fp, shard = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        fp, shard = np.concatenate([_matrix(b.column("fp"), words) for b in parts]), np.concatenate([b.column("shard").to_numpy() for b in parts])
         order = np.lexsort((*fp.T, shard))
         fp, shard = fp[order], shard[order]
-        a, b, bits = spanning_links(fp, shard, radius)
+        bare = np.ascontiguousarray(fp[:, :wide])
+        if most:
+            group = np.concatenate([b.column("g").to_numpy() for b in parts])[order]
+            a, b, bits, more = outside_candidates(bare, shard, group, radius, most)
+            extra = {"more": pa.array(more.astype(bool))}
+        else:
+            a, b, bits = spanning_links(bare, shard, radius)
+            extra = {}
         raw = lambda rows: pa.array([x.tobytes() for x in fp[rows].astype(">u8")], pa.binary())
-        yield pa.RecordBatch.from_arrays([raw(a), raw(b), pa.array(bits, pa.int64())], ["a", "b", "bits"])
+        yield pa.RecordBatch.from_pydict({"a": raw(a), "b": raw(b), "bits": pa.array(bits, pa.int64()), **extra})
 
-    return fps.mapInArrow(deal, "fp binary, shard long").repartition("shard").mapInArrow(run, "a binary, b binary, bits long")
+    dealt = fps.mapInArrow(deal, "fp binary, " + "g long, " * len(g) + "shard long").repartition("shard")
+    return dealt.mapInArrow(run, "a binary, b binary, bits long" + ", more boolean" * len(g))
 
 
 def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
@@ -300,7 +345,7 @@ def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
 def verified(links: DataFrame, docs: DataFrame, marked: DataFrame, sure: int, similarity: float, width: int, key: str, text: str) -> DataFrame:
     """The links of at most `sure` bits, and those farther apart whose texts have the Jaccard similarity.
 
-    Only texts of doubtful links travel: one for each fingerprint. A link joins each node once, so they are few.
+    Only texts of doubtful links travel: one for each fingerprint.
     """
     doubtful = links.filter(F.col("bits") > sure).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     needed = doubtful.select(F.col("a").alias("fp")).union(doubtful.select("b")).distinct()
@@ -319,19 +364,46 @@ def verified(links: DataFrame, docs: DataFrame, marked: DataFrame, sure: int, si
     return links.filter(F.col("bits") <= sure).select("a", "b").unionByName(same)
 
 
+def similar_classes(docs: DataFrame, marked: DataFrame, nodes: DataFrame, radius: int, masks: list[int], wide: int,
+                    similarity: float, sure: int, width: int, key: str, text: str) -> DataFrame:
+    """node, component over all links within the radius whose texts have the similarity.
+
+    The spanning links join all candidates. Where each link of a group holds, the group stands. A group with links
+    that fail is searched again for candidates between its parts, more of them each time, until none is left out.
+    """
+    rough = cut(fingerprint_links(nodes, radius, masks, wide, TAIL))
+    good = cut(verified(rough, docs, marked, sure, similarity, width, key, text))
+    whole = connected_components(rough.select("a", "b")).select("node", F.col("component").alias("whole"))
+    most = MOST
+    while True:
+        classes = connected_components(good)
+        parts = whole.join(classes, "node", "left").select("node", "whole", F.coalesce("component", "node").alias("part"))
+        broken = parts.groupBy("whole").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
+        again = cut(parts.join(broken, "whole", "left_semi").select(F.col("node").alias("fp"), F.xxhash64("part").alias("g")))
+        if again.isEmpty():
+            return classes
+        found = cut(fingerprint_links(again, radius, masks, wide, TAIL, most))
+        good = cut(good.unionByName(verified(found.select("a", "b", "bits"), docs, marked, sure, similarity, width, key, text)).distinct())
+        if found.filter("more").isEmpty():
+            return connected_components(good)
+        most *= MORE
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE,
-               wide: int = 1, masks: list[int] | None = None, similarity: float | None = None, sure: int = 0) -> DataFrame:
+               wide: int = 1, masks: list[int] | None = None, similarity: float | None = None, sure: int = -1) -> DataFrame:
     """One row for each document row: __id, __k1, __k2, fp, component_id, component (the class as a fingerprint).
 
-    Without masks the search is exact for 64 bits: every pair within the radius is linked. With a similarity, links
-    of more than `sure` bits are checked by the exact Jaccard similarity of their texts.
+    Without masks the search is exact for 64 bits: every pair within the radius is linked. With a similarity, texts of
+    the same shingle set are one and links of more than `sure` bits are checked by the exact Jaccard similarity of
+    their texts.
     """
-    marked = cut(fingerprints(docs, key, text, width, wide))
+    marked = cut(fingerprints(docs, key, text, width, wide, similarity is not None))
     distinct = cut(marked.groupBy("fp").agg(F.min("__id").alias("low")))
-    links = fingerprint_links(distinct.select("fp"), radius, masks or exact_masks(radius), wide)
-    if similarity is not None:
-        links = verified(cut(links), docs, marked, sure, similarity, width, key, text)
-    classes = connected_components(links)
+    masks = masks or exact_masks(radius)
+    if similarity is None:
+        classes = connected_components(fingerprint_links(distinct.select("fp"), radius, masks, wide))
+    else:
+        classes = similar_classes(docs, marked, distinct.select("fp"), radius, masks, wide, similarity, sure, width, key, text)
     named = distinct.join(classes, distinct["fp"] == classes["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("component")
     )
@@ -341,9 +413,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
 
 
 #: Near copies of a Jaccard similarity of 0.8 or more over five-word shingles: their 512-bit fingerprints differ in
-#: 77.6 bits on average (an angle of 27 degrees) and in at most 96 for 99 pairs of a hundred; up to 56 bits, nearly three
-#: deviations below, a link is taken as it is. One of 21 bands of 12 bits agrees for 96 % of pairs at 0.8, 99.8 % at 0.9.
-SIMILAR = {"width": 5, "wide": 8, "radius": 96, "masks": band_masks(252, 12), "similarity": 0.8, "sure": 56}
+#: 77.6 bits on average (an angle of 27 degrees) and in at most 96 for 99 pairs of a hundred. One of 42 bands of 12 bits
+#: agrees for 99.8 % of pairs at 0.8. Every link is checked.
+SIMILAR = {"width": 5, "wide": 8, "radius": 96, "masks": band_masks(512, 12), "similarity": 0.8}
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **opts) -> DataFrame:

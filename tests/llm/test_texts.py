@@ -217,6 +217,36 @@ def _labels(n, links):
     return name
 
 
+def test_similar_texts_need_more_than_a_shared_filler(spark):
+    """Most of each text is one repeated word; the rest differs, but for the last text."""
+    texts = [" ".join(["0"] * n + [f"d{d}w{i}" for i in range(40)]) for d, n in ((0, 150), (1, 150), (2, 150), (0, 170))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, **simhash.SIMILAR).collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_a_failed_link_leaves_the_next_candidates(spark, monkeypatch, most):
+    """Families with similarities around 0.8, against all pairs within the radius."""
+    monkeypatch.setattr(simhash, "MOST", most)
+    rng = np.random.default_rng(8)
+    texts = []
+    for f in range(8):
+        base = [f"f{f}w{i}" for i in range(150)]
+        for c in range(14):
+            copy = list(base)
+            for at in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+                copy[at] = f"c{c}x{at}"
+            texts.append(" ".join(copy))
+    fps = [simhash.fingerprint(t.encode(), 5, 8, True)[:64] for t in texts]
+    links = [
+        (i, j) for i, j in itertools.combinations(range(len(texts)), 2)
+        if (int.from_bytes(fps[i]) ^ int.from_bytes(fps[j])).bit_count() <= 96 and simhash.jaccard(texts[i].encode(), texts[j].encode(), 5) >= 0.8
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["__id"]: r.component_id for r in simhash.components(docs, **simhash.SIMILAR | {"masks": [0]}).collect()}
+    assert [got[i] for i in range(len(texts))] == _labels(len(texts), links)
+
+
 def test_simhash_empty(empty):
     assert simhash.components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
