@@ -14,12 +14,14 @@ Null text: size 8, CRC of no bytes, placed like any text. Empty table: empty res
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.common import ranked, rows_of
 
 VNODES = 64
+#: Positions of a given order in one span; a shard's rows are numbered span by span.
+SPAN = 4096
 
 
 def ring(shards: int, vnodes: int = VNODES) -> tuple[list[int], list[int]]:
@@ -110,3 +112,15 @@ def shard_rows(docs: DataFrame, shards: int, vnodes: int = VNODES, text: str = "
         .withColumn("slot", F.col("__base") + F.col("__at") - F.col("__lo"))
         .drop("__plan_arc", "__lo", "__hi", "__base", "__arc", "__at", "__t")
     )
+
+
+def slots_by(placed: DataFrame, position: str) -> DataFrame:
+    """shard_rows' result with the slots of each shard in the order of `position` (distinct numbers from 0 without large gaps).
+
+    Rows are numbered inside spans of positions, and the spans' running counts are added.
+    """
+    dealt = placed.drop("slot").withColumn("__span", F.floor(F.col(position) / SPAN))
+    counts = dealt.groupBy("shard", "__span").agg(F.count(F.lit(1)).alias("__c"))
+    ahead = counts.select("shard", "__span", (F.sum("__c").over(Window.partitionBy("shard").orderBy("__span")) - F.col("__c")).alias("__ahead"))
+    inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("shard", "__span").orderBy(position)) - 1)
+    return inside.join(ahead, ["shard", "__span"]).withColumn("slot", (F.col("__ahead") + F.col("__r")).cast("long")).drop("__span", "__ahead", "__r")

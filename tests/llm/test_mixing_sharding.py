@@ -60,6 +60,20 @@ def test_shards_are_level_and_gapless(docs):
     assert set(docs.columns) < set(got.columns)
 
 
+def test_slots_follow_the_mix(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(sharding, "SPAN", 16)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    got = corpus_pipeline.place_in_shards(spark, mixed.repartition(3), "").toPandas()
+    expected = mixing.mix(docs).toPandas()
+    assert sorted(got["mix_position"]) == list(range(len(expected)))
+    source = lambda t: t.sort_values("mix_position")["source"].fillna("").tolist()
+    assert source(got) == source(expected)
+    for _, g in got.sort_values("mix_position").groupby("shard"):
+        assert list(g["slot"]) == list(range(len(g)))
+
+
 def test_one_more_shard_moves_a_bounded_part(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     a = {r.doc_id: r.shard for r in sharding.shard_rows(df, 8).collect()}
