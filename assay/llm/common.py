@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,13 @@ def text_key(df: DataFrame, text: str = "text") -> list[Column]:
     return [F.xxhash64(t, F.lit(1)).alias("__k1"), F.xxhash64(F.lit(2), t).alias("__k2")]
 
 
-def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int = 2_000) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int = 2_000, per_slice: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without a whole group in one task.
 
     A group of n rows is dealt by the hash of `order` into ceil(n / chunk) slices; rows are numbered inside
     a slice, and the slices' running counts are added. The order inside a group is thus a fixed shuffle.
-    Rows equal in all of `order` may swap their numbers.
+    Rows equal in all of `order` may swap their numbers. `per_slice` may add columns to the table of slices
+    (__g, __slice, __ahead, __c), which reach the slices' rows without another shuffle of them.
     """
     # a key without nulls: equal joins on it keep the window's partitioning, so wide rows are shuffled once
     keyed = df.withColumn("__g", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
@@ -47,8 +50,9 @@ def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int
     dealt = dealt.withColumn("__h", F.xxhash64(F.lit(97), *order)).withColumn("__slice", F.pmod("__h", "__slices")).drop("__slices")
     counts = dealt.groupBy("__g", "__slice").agg(F.count(F.lit(1)).alias("__c"))
     ahead = counts.select(
-        "__g", "__slice", (F.sum("__c").over(Window.partitionBy("__g").orderBy("__slice")) - F.col("__c")).alias("__ahead")
+        "__g", "__slice", (F.sum("__c").over(Window.partitionBy("__g").orderBy("__slice")) - F.col("__c")).alias("__ahead"), "__c"
     )
+    ahead = per_slice(ahead) if per_slice else ahead.drop("__c")
     inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__g", "__slice").orderBy("__h", *order)) - 1)
     return inside.join(ahead, ["__g", "__slice"]).withColumn(rank, (F.col("__ahead") + F.col("__r")).cast("long")).drop("__g", "__slice", "__ahead", "__r", "__h")
 

@@ -1,118 +1,130 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame functions only over the rows).
 
-Each source's rows are cut into blocks. With integer shares m_i that sum to a period T, block k of source i may
-not come before its release floor(k*T/m_i) and not after its deadline ceil((k+1)*T/m_i); of the released blocks
-the one with the earliest deadline goes next. Then every source is, at every slot, less than one block away from
-its target. The windows repeat each T slots, so one period's order is a template for all blocks: a block's slot
-follows from its number alone, and no schedule is walked block by block.
-
-No row is dropped or repeated. When a source runs out, a new phase begins with the shares of those that remain.
-The driver handles one count for each source and at most sources * T template slots; rows never pass through it.
-
-Null source: a source of its own. Sources without a given weight share one block in a period each. Empty table:
-empty result. Repeated rows are each kept; ties between equal rows may swap places.
+Each source's rows are cut into blocks. With the exact target weight w, block k of a source may not come before its
+release floor(k/w) and not after its deadline ceil((k+1)/w); of the released blocks the one with the earliest deadline
+goes next. As the weights of the live sources sum to one, every block keeps to its window, so every source is, at every
+slot, less than one block away from its target. Weights are whole numbers of any size, taken from the exact value of the
+given ones: nothing is rounded to a grid, and nothing drifts.
+
+No row is dropped or repeated. When a source runs out, a new phase begins with the weights of those that remain;
+sources of weight 0 come after all others, alike among themselves.
+
+The driver handles one count for each source and one slot for each block, never a row. A block is a MAX_BLOCKS-th of
+the table, `block_rows` rows at least, so the plan has at most MAX_BLOCKS + sources slots, whatever the input: 32 MB as
+a table of arrays. Rows find their block by their number in the source, which is counted in slices (`ranked`); each
+slice receives the slots of its own blocks, so the rows are shuffled once.
+
+Null source: a source of its own. Sources without a given weight have weight 0. Empty table: empty result. Repeated
+rows are each kept; ties between equal rows may swap places. Negative, infinite or undefined weights raise ValueError.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.common import ranked, rows_of
 
-BLOCK_ROWS = 32
-PERIOD = 400
-
-
-def template(shares: list[int]) -> list[int]:
-    """The source at each slot of one period: earliest deadline first among released blocks."""
-    period = sum(shares)
-    coming = [(0, -(-period // m), i, 0) for i, m in enumerate(shares)]
-    heapq.heapify(coming)
-    ready: list[tuple[int, int, int]] = []
-    order = []
-    for slot in range(period):
-        while coming and coming[0][0] <= slot:
-            _, deadline, i, k = heapq.heappop(coming)
-            heapq.heappush(ready, (deadline, i, k))
-        deadline, i, k = heapq.heappop(ready)
-        if deadline <= slot:
-            raise AssertionError("a block missed its deadline")
-        order.append(i)
-        if k + 1 < shares[i]:
-            heapq.heappush(coming, ((k + 1) * period // shares[i], -(-(k + 2) * period // shares[i]), i, k + 1))
-    return order
-
-
-def phases(blocks: list[int], shares: list[int]) -> list[dict]:
-    """For each phase and source: which blocks it covers and how their slots follow from their numbers."""
-    used, start, out = [0] * len(blocks), 0, []
-    live = [i for i, b in enumerate(blocks) if b]
-    while live:
-        own = [shares[i] for i in live]
-        period, order = sum(own), template(own)
-        spots: list[list[int]] = [[] for _ in live]
-        for slot, j in enumerate(order):
-            spots[j].append(slot)
-        last = [(left - 1) // m * period + spots[j][(left - 1) % m] for j, (left, m) in enumerate((blocks[i] - used[i], shares[i]) for i in live)]
-        length = min(last) + 1
-        for j, i in enumerate(live):
-            n = length // period * own[j] + sum(s < length % period for s in spots[j])
-            if n:
-                out.append({"source_no": i, "phase": len({x["start"] for x in out} - {start}), "lo": used[i], "hi": used[i] + n, "m": own[j], "period": period, "start": start, "spots": spots[j]})
-            used[i] += n
-        start += length
-        live = [i for i in live if used[i] < blocks[i]]
-    return out
-
-
-def weight_shares(counts: dict, weights: dict | None, power: float, period: int) -> dict:
-    """Integer shares of about `period` slots: from given weights, else from counts to a power below one."""
-    if weights is None:
-        weights = {s: n**power for s, n in counts.items()}
-    total = sum(w for s, w in weights.items() if s in counts and w > 0) or 1
-    return {s: max(1, round(period * max(weights.get(s, 0), 0) / total)) for s in counts}
+BLOCK_ROWS, MAX_BLOCKS = 32, 1 << 20
+#: Blocks in one row of the plan's table.
+CHUNK = 512
+
+
+def whole_weights(weights: dict) -> dict:
+    """Whole numbers in the exact ratio of the weights."""
+    for s, w in weights.items():
+        if not math.isfinite(w) or w < 0:
+            raise ValueError(f"weight of {s!r} must be a finite number of 0 or more")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def schedule(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(source, block, phase, release, deadline) at each slot: earliest deadline first among released blocks."""
+    out: list[tuple[int, int, int, int, int]] = []
+    placed = [0] * len(blocks)
+    phase = 0
+    while True:
+        live = [i for i, b in enumerate(blocks) if placed[i] < b]
+        own = {i: weights[i] for i in live if weights[i]} or dict.fromkeys(live, 1)
+        if not own:
+            return out
+        total, start, first = sum(own.values()), len(out), placed[:]
+        coming = [(0, -(-total // w), i) for i, w in own.items()]
+        heapq.heapify(coming)
+        ready: list[tuple[int, int, int]] = []
+        running = True
+        while running:
+            slot = len(out) - start
+            while coming and coming[0][0] <= slot:
+                release, deadline, i = heapq.heappop(coming)
+                heapq.heappush(ready, (deadline, i, release))
+            deadline, i, release = heapq.heappop(ready)
+            if deadline <= slot:
+                raise AssertionError("a block missed its deadline")
+            out.append((i, placed[i], phase, start + release, start + deadline))
+            placed[i] += 1
+            k = placed[i] - first[i]
+            running = placed[i] < blocks[i]
+            heapq.heappush(coming, (k * total // own[i], -(-(k + 1) * total // own[i]), i))
+        phase += 1
+
+
+def plan_rows(counts: list[int], weights: list[int], block_rows: int) -> list[tuple]:
+    """(source, first block, slots, phases, releases, deadlines, first mix positions) by chunks of a source's blocks."""
+    lines: list[list[tuple]] = [[] for _ in counts]
+    at = 0
+    for slot, (i, k, phase, release, deadline) in enumerate(schedule([-(-n // block_rows) for n in counts], weights)):
+        lines[i].append((slot, phase, release, deadline, at))
+        at += min(block_rows, counts[i] - k * block_rows)
+    return [
+        (i, lo, *map(list, zip(*line[lo : lo + CHUNK], strict=True)))
+        for i, line in enumerate(lines) for lo in range(0, len(line), CHUNK)
+    ]
 
 
 def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", key: str = "doc_id", text: str | None = "text",
-        block_rows: int = BLOCK_ROWS, period: int = PERIOD, power: float = 0.5) -> DataFrame:
-    """docs plus phase, block, slot, release, deadline and mix_position (gapless from 0), every row kept.
+        block_rows: int = BLOCK_ROWS, power: float = 0.5, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """docs plus weight, phase, block, slot, release, deadline and mix_position (gapless from 0), every row kept.
 
-    slot, release and deadline count blocks from the start of the whole mix. The weights name sources (None for
-    the null source); the default is the sources' row counts to `power`. Columns of these names are replaced.
+    slot, release and deadline count blocks from the start of the whole mix; weight is the source's share of all
+    weights. The weights name sources (None for the null source); the default is the sources' row counts to `power`.
+    Columns of these names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("phase", "block", "slot", "release", "deadline", "mix_position", "share")
-    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    docs = docs.drop("weight", "phase", "block", "slot", "release", "deadline", "mix_position")
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(counts, key=lambda s: (s is not None, s))
-    shares = weight_shares(counts, weights, power, period)
-    plan = phases([-(-counts[s] // block_rows) for s in names], [shares[s] for s in names])
-    # a source's short last block ends its phase, so the rows missing before a phase are one number
-    missing, short = 0, {}
-    ends = {i: max(x["hi"] for x in plan if x["source_no"] == i) for i in range(len(names))}
-    for start in sorted({x["start"] for x in plan}):
-        short[start] = missing
-        for x in plan:
-            i = x["source_no"]
-            if x["start"] == start and x["hi"] == ends[i] and x["hi"] == -(-counts[names[i]] // block_rows):
-                missing += x["hi"] * block_rows - counts[names[i]]
-    fields = ("phase", "lo", "hi", "m", "period", "start")
-    table = [(names[i := x["source_no"]], shares[names[i]], *(x[f] for f in fields), short[x["start"]], x["spots"]) for x in plan]
-    schedule = rows_of(spark, table, "__name string, share int, phase int, __lo long, __hi long, __m long, __period long, __start long, __short long, __spots array<long>")
-    order = [F.col(key)] + ([F.xxhash64(text)] if text and text in docs.columns else [])
-    numbered = ranked(docs.withColumn("__source", F.col(source).cast("string")), "__source", order, "__n")
-    block = F.floor(F.col("__n") / block_rows)
-    joined = numbered.withColumn("block", block).join(
-        F.broadcast(schedule), F.col("__source").eqNullSafe(F.col("__name")) & (F.col("block") >= F.col("__lo")) & (F.col("block") < F.col("__hi"))
+    block_rows = max(block_rows, -(-sum(counts.values()) // max_blocks))
+    whole = whole_weights({s: counts[s] ** power for s in names} if weights is None else {s: weights.get(s, 0) for s in names})
+    total = sum(whole.values()) or 1
+    lines = plan_rows([counts[s] for s in names], [whole[s] for s in names], block_rows)
+    table = [("" if (s := names[i]) is None else f"={s}", float(Fraction(whole[s], total)), *rest) for i, *rest in lines]
+    chunks = rows_of(
+        spark, table,
+        "__g string, weight double, __first bigint, slot array<bigint>, phase array<int>, release array<bigint>, deadline array<bigint>, __at array<bigint>",
+    )
+    fields = ["slot", "phase", "release", "deadline", "__at"]
+    placed = chunks.select("__g", "weight", "__first", F.posexplode(F.arrays_zip(*fields)).alias("__i", "__b")).select(
+        "__g", (F.col("__first") + F.col("__i")).alias("block"), "weight", *[f"__b.{c}" for c in fields]
     )
-    k = F.col("block") - F.col("__lo")
-    turn, spot = F.floor(k / F.col("__m")) * F.col("__period"), (k % F.col("__m"))
-    return (
-        joined.withColumn("slot", F.col("__start") + turn + F.element_at("__spots", (spot + 1).cast("int")))
-        .withColumn("release", F.col("__start") + turn + F.floor(spot * F.col("__period") / F.col("__m")))
-        .withColumn("deadline", F.col("__start") + turn + F.ceil((spot + 1) * F.col("__period") / F.col("__m")))
-        .withColumn("mix_position", F.col("slot") * block_rows + F.col("__n") % block_rows - F.col("__short"))
-        .drop("__source", "__n", "__name", "__lo", "__hi", "__m", "__period", "__start", "__short", "__spots")
+
+    def blocks_of_slices(slices: DataFrame) -> DataFrame:
+        """Each slice of a source's rows with the places of the blocks it touches."""
+        first, last = F.floor(F.col("__ahead") / block_rows), F.floor((F.col("__ahead") + F.col("__c") - 1) / block_rows)
+        touched = slices.select("__g", "__slice", "__ahead", first.alias("__low"), F.explode(F.sequence(first, last)).alias("block"))
+        line = F.struct("block", "weight", *fields)
+        return touched.join(placed, ["__g", "block"]).groupBy("__g", "__slice", "__ahead", "__low").agg(F.array_sort(F.collect_list(line)).alias("__blocks"))
+
+    order = [F.col(key)] + ([F.xxhash64(text)] if text and text in docs.columns else [])
+    numbered = ranked(docs.withColumn("__source", F.col(source).cast("string")), "__source", order, "__n", per_slice=blocks_of_slices)
+    own = F.element_at("__blocks", (F.floor(F.col("__n") / block_rows) - F.col("__low") + 1).cast("int"))
+    return numbered.withColumn("__b", own).select(
+        *docs.columns, "__b.weight", "__b.phase", "__b.block", "__b.slot", "__b.release", "__b.deadline",
+        (F.col("__b.__at") + F.col("__n") % block_rows).alias("mix_position"),
     )

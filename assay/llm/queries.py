@@ -22,7 +22,7 @@ SHARDS = 24
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
     return mix(docs, text="text_hash").select(
-        "doc_id", "source", "share", "phase", "block", "slot", "release", "deadline", "mix_position"
+        "doc_id", "source", "weight", "phase", "block", "slot", "release", "deadline", "mix_position"
     )
 
 

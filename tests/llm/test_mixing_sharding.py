@@ -1,39 +1,64 @@
+import itertools
+import time
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
 from assay.llm import mixing, sharding
 
 
-@pytest.mark.parametrize("shares", [[1], [1, 1], [3, 2, 1], [50, 30, 15, 5], [7, 7, 7, 1], [1] * 9, [97, 2, 1]])
-def test_template_stays_within_a_block_of_its_target(shares):
-    order, period, seen = mixing.template(shares), sum(shares), Counter()
-    for slot, i in enumerate(order, 1):
-        seen[i] += 1
-        assert all(abs(seen[j] - slot * m / period) < 1 for j, m in enumerate(shares))
-    assert [seen[j] for j in range(len(shares))] == shares
-
-
-@pytest.mark.parametrize("blocks,shares", [([10, 3, 7], [2, 1, 1]), ([1, 1, 1], [5, 3, 1]), ([100, 1], [1, 9]), ([4], [3])])
-def test_phases_use_each_block_once_and_within_a_block(blocks, shares):
-    plan = mixing.phases(blocks, shares)
-    slots = {}
-    for x in plan:
-        for k in range(x["lo"], x["hi"]):
-            r = k - x["lo"]
-            slots[x["start"] + r // x["m"] * x["period"] + x["spots"][r % x["m"]]] = (x["source_no"], x["start"])
-    assert sorted(slots) == list(range(sum(blocks)))
-    starts = sorted({x["start"] for x in plan})
-    for a, b in zip(starts, [*starts[1:], sum(blocks)], strict=True):
-        live = {x["source_no"]: x["m"] for x in plan if x["start"] == a}
-        total, seen = sum(x["m"] for x in plan if x["start"] == a), Counter()
-        for n, slot in enumerate(range(a, b), 1):
-            seen[slots[slot][0]] += 1
-            assert all(abs(seen[i] - n * m / total) < 1 for i, m in live.items())
+def deviations(plan, weights):
+    """By brute force in exact fractions: the largest distance of any source from its target in each phase."""
+    worst, start = Fraction(0), 0
+    for _, phase in itertools.groupby(plan, key=lambda x: x[2]):
+        phase = list(phase)
+        live = {i for i, *_ in plan[start:]}
+        own = {i: Fraction(weights[i]) for i in live if weights[i]} or dict.fromkeys(live, Fraction(1))
+        total, seen = sum(own.values()), Counter()
+        for n, (i, *_) in enumerate(phase, 1):
+            seen[i] += 1
+            # between two blocks of a source the distance grows evenly, so its own slots and the phase's end suffice
+            worst = max(worst, abs(seen[i] - n * own[i] / total), abs(seen[i] - 1 - (n - 1) * own[i] / total))
+        worst = max([worst, *(abs(seen[i] - len(phase) * w / total) for i, w in own.items())])
+        start += len(phase)
+    return worst
+
+
+WEIGHTS = [([100_000 // 3, 200_000 // 3], [1 / 3, 2 / 3]), ([60_000, 30_000, 9_000, 1_000], [0.6, 0.3, 0.09, 0.01]), ([10, 3, 7], [2, 1, 1]), ([1, 1, 1], [5, 3, 1]),
+           ([100, 1], [1, 9]), ([4], [3]), ([5, 2, 0, 3], [0, 0.3, 1, 0]), ([400] * 25, [0.1**0.5 * i for i in range(1, 26)]), ([50, 5000], [1e-9, 1])]
+
+
+@pytest.mark.parametrize("blocks,weights", WEIGHTS)
+def test_schedule_is_less_than_a_block_from_the_exact_weights(blocks, weights):
+    whole = mixing.whole_weights(dict(enumerate(weights)))
+    plan = mixing.schedule(blocks, [whole[i] for i in range(len(weights))])
+    assert Counter(i for i, *_ in plan) == {i: b for i, b in enumerate(blocks) if b}
+    assert all(release <= slot < deadline for slot, (_, _, _, release, deadline) in enumerate(plan))
+    for i in range(len(blocks)):
+        assert [k for j, k, *_ in plan if j == i] == list(range(blocks[i]))
+    assert deviations(plan, weights) < 1
+
+
+def test_weight_zero_comes_last():
+    plan = mixing.schedule([3, 4, 2], [0, 5, 0])
+    assert [i for i, *_ in plan] == [1, 1, 1, 1, 0, 2, 0, 2, 0]
+
+
+def test_many_sources_are_planned_quickly():
+    began = time.perf_counter()
+    rows = mixing.plan_rows([100 + i for i in range(1000)], [i * i + 1 for i in range(1000)], 32)
+    assert time.perf_counter() - began < 5 and len(rows) == 1000
+
+
+@pytest.mark.parametrize("weights", [{"s0": -1}, {"s0": float("nan")}, {"s0": float("inf")}])
+def test_unusable_weights_are_refused(weights):
+    with pytest.raises(ValueError):
+        mixing.whole_weights(weights)
 
 
 def test_mix_keeps_every_row(docs):
-    got = mixing.mix(docs, block_rows=4, period=40).toPandas()
+    got = mixing.mix(docs, block_rows=4).toPandas()
     assert sorted(got["mix_position"]) == list(range(docs.count()))
     assert set(docs.columns) < set(got.columns)
     assert ((got["slot"] >= got["release"]) & (got["slot"] < got["deadline"])).all()
@@ -42,9 +67,28 @@ def test_mix_keeps_every_row(docs):
 
 
 def test_mix_given_weights(docs):
-    got = mixing.mix(docs, weights={"s0": 0.5, "s1": 0.25, "s2": 0.25, "s3": 0.0}, block_rows=1, period=8).toPandas()
+    got = mixing.mix(docs, weights={"s0": 0.5, "s1": 0.25, "s2": 0.25, "s3": 0.0}, block_rows=1).toPandas()
     first = got[got["mix_position"] < 16]["source"].value_counts()
-    assert first["s0"] >= 5 and first["s1"] >= 2
+    assert first["s0"] == 8 and first["s1"] == 4 and "s3" not in first
+
+
+def test_mix_against_a_walk_over_the_blocks(docs):
+    """The rows of each slot are one source's block, in the order that the schedule gives."""
+    weights = {"s0": 1 / 3, "s1": 2 / 3, "s3": 0.1}
+    got = mixing.mix(docs, weights=weights, block_rows=5).toPandas().sort_values("mix_position")
+    counts = Counter(r.source for r in docs.select("source").collect())
+    names = sorted(counts, key=lambda s: (s is not None, s))
+    whole = mixing.whole_weights({s: weights.get(s, 0) for s in names})
+    want = []
+    for slot, (i, k, *_) in enumerate(mixing.schedule([-(-counts[s] // 5) for s in names], [whole[s] for s in names])):
+        want += [(names[i], k, slot)] * min(5, counts[names[i]] - 5 * k)
+    assert [(None if s != s else s, b, t) for s, b, t in zip(got["source"], got["block"], got["slot"])] == want
+
+
+def test_blocks_grow_with_the_table(docs):
+    got = mixing.mix(docs, block_rows=1, max_blocks=10).toPandas()
+    assert got["slot"].max() < 10 + docs.select("source").distinct().count()
+    assert sorted(got["mix_position"]) == list(range(docs.count()))
 
 
 def test_mix_empty(empty):
