@@ -13,12 +13,14 @@ section it ends. The vocabulary is a file of ranks, named by a parameter and rea
 trained and nothing is copied.
 
 Null or empty text: one empty section without tokens. Repeated rows each give their own rows. Very long texts are
-encoded whole. Extra columns pass through.
+encoded whole; a run of white space that the pattern's engine cannot hold is encoded as the one piece that the pattern
+makes of it. Rows go out a bounded number at a time, however many lines a document has. Extra columns pass through.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The fixed splitting pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("first", "last", "most")
+#: White space of the pattern (\\s of its engine). Runs this long are encoded apart.
+SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN = 10_000
+#: Section rows in one batch.
+OUT_ROWS = 20_000
 
 
 def load(path: str = VOCABULARY, pattern: str = PATTERN) -> tuple[tiktoken.Encoding, np.ndarray]:
@@ -42,6 +49,23 @@ def load(path: str = VOCABULARY, pattern: str = PATTERN) -> tuple[tiktoken.Encod
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lens
 
 
+def encode(encoding: tiktoken.Encoding, text: str, long_run: int = LONG_RUN) -> list[int]:
+    """The tokens of a text; those of the encoding itself, but a run of white space of any length is no burden.
+
+    The pattern's engine keeps a state for each character of a run of white space. A run before other text is one
+    piece without its last character, which goes with what follows; a run at the end is one piece. No other piece
+    reaches over the start of a run, so the text may be cut there.
+    """
+    out, at = [], 0
+    for run in re.finditer(f"[{SPACES}]{{{long_run},}}", text):
+        stop = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at : run.start()])
+        if run.start() < stop:
+            out += encoding._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def line_starts(raw: bytes) -> np.ndarray:
     """Start offsets of the lines; a newline belongs to the line it ends."""
     return np.r_[0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1]
@@ -76,19 +100,29 @@ def section_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, sizes = load(vocabulary)
         for batch in batches:
-            rows, parts = [], []
+            rows, parts, held = [], [], 0
+
+            def flush(rows: list, parts: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                take = pa.array(np.concatenate(rows))
+                columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in others), *map(pa.array, columns)], [*others, *new])
+
             for i, x in enumerate(batch.column(text)):
                 t = x.as_py() or ""
                 raw = t.encode()
                 starts = line_starts(raw)
-                lens = sizes[np.array(encoding.encode_ordinary(t), np.int64)] if raw else np.empty(0, np.int64)
+                lens = sizes[np.array(encode(encoding, t), np.int64)] if raw else np.empty(0, np.int64)
                 n, crossing = attribute(lens, starts, len(raw), rule)
-                rows.append(np.full(len(starts), i))
-                parts.append((np.arange(len(starts), dtype=np.int32), n, crossing, np.diff(np.r_[starts, len(raw)]), np.full(len(starts), len(lens))))
-            if not rows:
-                continue
-            take = pa.array(np.concatenate(rows))
-            columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in others), *map(pa.array, columns)], [*others, *new])
+                every = (np.arange(len(starts), dtype=np.int32), n, crossing, np.diff(np.r_[starts, len(raw)]), np.full(len(starts), len(lens)))
+                for lo in range(0, len(starts), OUT_ROWS):
+                    part = tuple(c[lo : lo + OUT_ROWS] for c in every)
+                    rows.append(np.full(len(part[0]), i))
+                    parts.append(part)
+                    held += len(part[0])
+                    if held >= OUT_ROWS:
+                        yield flush(rows, parts)
+                        rows, parts, held = [], [], 0
+            if rows:
+                yield flush(rows, parts)
 
     return docs.select(*others, text).mapInArrow(run, shape)

@@ -321,6 +321,27 @@ def test_token_sections_match_brute_force(docs, rule):
     assert got == want
 
 
+@pytest.mark.parametrize("text", ["a  b \n\n c", "  x", "x  ", "\t\t\n", "   ", "a\u00a0\u00a0\u3000b", "a \n\tb  \r\n\r\n  c d", "\x1c\x1c\x1cq"])
+def test_long_runs_of_white_space_are_the_same_pieces(text):
+    encoding, _ = tokencount.load()
+    for n in (1, 2, 3):
+        assert tokencount.encode(encoding, text, n) == encoding.encode_ordinary(text)
+        assert tokencount.encode(encoding, text * 40, n) == encoding.encode_ordinary(text * 40)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n"])
+def test_a_million_blanks(spark, blank):
+    """Runs that the pattern's engine cannot hold; a run that it can hold gives the same tokens."""
+    encoding, _ = tokencount.load()
+    for n in (9_999, 12_345, 50_000):
+        for text in (f"a{blank * n}b", blank * n, f"{blank * n}x"):
+            assert tokencount.encode(encoding, text) == encoding.encode_ordinary(text)
+    text = "a" + blank * 1_000_000 + "b"
+    got = tokencount.section_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    r = got.selectExpr("count(*) AS n", "sum(n_tokens) AS t", "sum(n_bytes) AS b", "max(doc_tokens) AS d").first()
+    assert r.n == 1 + text.count("\n") and r.b == len(text) and r.t == r.d > 2
+
+
 def test_boundary_tokens_by_rule():
     lens, starts = np.array([2, 4, 3]), np.array([0, 3, 5])  # the second token covers bytes 2 to 5: 1 + 2 + 1
     count = lambda rule: tokencount.attribute(lens, starts, 9, rule)[0].tolist()
