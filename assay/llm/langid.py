@@ -7,7 +7,7 @@ marked. Decoding sums each bit's logistic loss, weighted by how well that bit pa
 codeword of least loss, and flags a text as ambiguous when the runner-up is close.
 
 The tables are counts over a sample of at most `max_labelled` documents by hash order; scoring reads whole
-texts. Null texts and texts without a letter are `und` with score 0. Without training rows everything is `und`.
+texts. Null texts and texts without a letter (digits, signs, emoji) are `und` with score 0. Without training rows everything is `und`.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,15 +27,16 @@ MAX_LABELLED, SLOTS, AMBIGUOUS = 20_000, 1 << 16, 0.9
 CHUNK = 1 << 16
 
 
+@cache
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane: whether it is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
+    """For each code point: whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def gram_slots(text: str, letters: np.ndarray) -> Iterator[np.ndarray]:
     """Slots of all letter n-grams, chunk by chunk; nothing for a text without letters."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    alpha = letters[np.minimum(cp, 0xFFFF)] | (cp > 0xFFFF)
+    alpha = letters[cp]
     if not alpha.any():
         return
     keep = alpha | np.r_[False, alpha[:-1]]  # a letter, or the first gap after one
@@ -96,16 +97,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for slots in gram_slots(t or "", letters):
                     total[name] = total.get(name, 0) + np.bincount(slots, minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.string()), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], ["lang", "counts"]
-        )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "counts": [total.tobytes()]})
-
-    got = sample.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()
-    rows = sorted((r["lang"], np.frombuffer(r["counts"], np.int64).astype(np.float64)) for r in got)
+        for name, v in total.items():
+            slots = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(slots), pa.string()), pa.array(slots, pa.int64()), pa.array(v[slots], pa.int64())], ["lang", "slot", "n"])
+
+    # sums of sparse counts, combined before the shuffle; the driver gets SLOTS numbers a language at most
+    counts = sample.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    got = counts.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("counts")).toArrow()
+    rows = []
+    for name, pairs in zip(got.column("lang").to_pylist(), got.column("counts"), strict=True):
+        v = np.zeros(SLOTS)
+        v[pairs.values.field("slot").to_numpy(zero_copy_only=False)] = pairs.values.field("n").to_numpy(zero_copy_only=False)
+        rows.append((name, v))
+    rows.sort(key=lambda x: x[0])
     langs = [name for name, _ in rows]
     code = codewords(len(langs))
     if len(langs) < 2:

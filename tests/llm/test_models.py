@@ -1,6 +1,8 @@
 """Language id, toxicity, nearest neighbours and the pipeline."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ STEMS = {"aa": "der die und ist nicht haus wald berg".split(), "bb": "the and of
 def tongues(spark):
     rnd = random.Random(1)
     rows = [(i, " ".join(rnd.choice(STEMS[k]) for _ in range(rnd.randint(4, 60))), k) for i, k in enumerate(["aa", "bb", "cc"] * 60)]
-    rows += [(1000, None, "aa"), (1001, "", None), (1002, "123 ... !!", "bb"), (1003, "haus " * 50_000, None), (None, "the house", "bb")]
+    rows += [(1000, None, "aa"), (1001, "", None), (1002, "123 ... !!", "bb"), (1003, "haus " * 50_000, None), (1004, "\U0001F600 \U0001F680\U0001F4A1 \U0001F1E9\U0001F1EA", None), (None, "the house", "bb")]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string")
 
 
@@ -24,13 +26,62 @@ def test_languages_are_told_apart(tongues, docs, empty):
     got = langid.identify(tongues, model).collect()
     assert sum(r.lang_pred == r.lang for r in got if r.lang and r.doc_id is not None and r.doc_id < 1000) >= 177
     by_id = {r.doc_id: r for r in got}
-    assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (1000, 1001, 1002))
+    assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (1000, 1001, 1002, 1004))
     assert by_id[1003].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got)
     assert langid.identify(docs, model).count() == docs.count() and langid.identify(empty, model).count() == 0
     untrained = langid.fit(empty)
     assert {r.lang_pred for r in langid.identify(tongues, untrained).collect()} == {"und"}
 
 
+def brute_languages(rows):
+    """Counts, tables and decoding written out over dictionaries of hashed n-grams."""
+    def grams(t):
+        seq, before = ["\x01"], False
+        for c in t.lower():
+            if c.isalpha() or before:
+                seq.append(c if c.isalpha() else "\x01")
+            before = c.isalpha()
+        seq = [ord(c) for c in [*seq, "\x01"]]
+        mix = lambda h, c: (h ^ c) * 0x9E3779B97F4A7C15 % 2**64
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(1 if n == 1 else 0, len(seq) - n + 1):
+                h = 0
+                for c in seq[i : i + n]:
+                    h = mix(h, c)
+                out[h >> 40 & langid.SLOTS - 1] += 1
+        return out if any(c.isalpha() for c in t) else Counter()
+    total = {}
+    for _, t, name in rows:
+        if name is not None:
+            total.setdefault(name, Counter()).update(grams(t or ""))
+    names = sorted(total)
+    rate = {k: lambda s, c=total[k], n=sum(total[k].values()): (c[s] + 0.5) / (n + 0.5 * langid.SLOTS) for k in names}
+    code = langid.codewords(len(names))
+    def predict(t):
+        g, loss = grams(t or ""), np.zeros(len(names))
+        n = sum(g.values())
+        if not n:
+            return "und"
+        for bit in code.T:
+            sides = [[k for k, b in zip(names, bit) if b == side] for side in (1, -1)]
+            odds = lambda s: math.log(np.mean([rate[k](s) for k in sides[0]])) - math.log(np.mean([rate[k](s) for k in sides[1]]))  # noqa: B023, E731
+            margin = 8 * sum(c * odds(s) for s, c in g.items()) / n * min(1, math.sqrt(n / 60))
+            gap = sum((np.mean([rate[k](s) for k in sides[0]]) - np.mean([rate[k](s) for k in sides[1]])) * odds(s) for s in {s for c in total.values() for s in c})
+            loss += gap * np.logaddexp(0, -bit * margin)
+        return names[int(np.argmin(loss))]
+    return predict
+
+
+def test_languages_match_brute_force(spark, tongues):
+    train = [r for r in tongues.collect() if r.doc_id is not None and r.doc_id < 1000 and r.doc_id % 4 != 2]
+    model = langid.fit(spark.createDataFrame(train, tongues.schema))
+    predict = brute_languages(train)
+    some = [r for r in tongues.collect() if r.doc_id is not None and (r.doc_id % 6 == 0 or r.doc_id >= 1000) and r.doc_id != 1003]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(some, tongues.schema), model).collect()}
+    assert got == {r.doc_id: predict(r.text) for r in some}
+
+
 @pytest.mark.parametrize("k", [1, 2, 4, 7, 12])
 def test_codewords_are_apart(k):
     code = langid.codewords(k)
