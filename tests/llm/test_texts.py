@@ -26,12 +26,13 @@ def bench(spark, docs):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
-def test_decontamination_matches_brute_force(docs, bench):
+@pytest.mark.parametrize("broadcast_bytes", [decontamination.BROADCAST_BYTES, 0])
+def test_decontamination_matches_brute_force(docs, bench, broadcast_bytes):
     wins = []
     for r in bench.collect():
         w = WORD.findall(lower(r.text))
         wins += [(r.item_id, tuple(w[i : i + 10])) for i in range(max(1, len(w) - 9))] if w else []
-    got = {(r.doc_id, r.n_words, r.n_hit, tuple(r.items), r.contaminated) for r in decontamination.contamination(docs, bench).collect()}
+    got = {(r.doc_id, r.n_words, r.n_hit, tuple(r.items), r.contaminated) for r in decontamination.contamination(docs, bench, broadcast_bytes=broadcast_bytes).collect()}
     want = set()
     for r in docs.collect():
         w, hit, items = WORD.findall(lower(r.text)), set(), set()
@@ -55,6 +56,26 @@ def test_span_removal(spark):
     assert got == {1: "keep  end.", 2: "untouched", 3: None}
 
 
+def test_span_removal_keeps_clashing_columns(docs, bench):
+    extra = docs.withColumns({c: docs["name"] for c in ("spans", "n", "window", "span", "h", "_at", "_w", "item")})
+    got = decontamination.remove_spans(extra, bench)
+    assert got.columns == extra.columns and got.count() == extra.count()
+    assert got.filter("doc_id = 7").select("items", "spans").distinct().collect() == [("x", "n")]
+    assert decontamination.contamination(extra, bench).count() == extra.count()
+    assert decontamination.drop_contaminated(extra, bench).columns == extra.columns
+
+
+def test_many_windows_and_a_long_text(spark):
+    """More windows than a broadcast should hold, and a text of 20,000 words against them; both plans agree."""
+    words = [f"w{i * 7919 % 5003}" for i in range(20_000)]
+    items = [(i, " ".join(f"i{i}x{j}" for j in range(210))) for i in range(1000)] + [(2000, " ".join(words[15_000:15_040])), (2001, "w0 w2916")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing"), (3, items[5][1])], "doc_id long, text string")
+    both = [sorted(tuple(r) for r in decontamination.contamination(docs, bench, broadcast_bytes=b).drop("spans").collect()) for b in (1 << 30, 0)]
+    assert both[0] == both[1]
+    assert [(r[0], r[2] > 0, r[4]) for r in both[0]] == [(1, True, ["2000", "2001"]), (2, False, []), (3, True, ["5"])]
+
+
 def test_decontamination_empty(docs, empty, bench):
     assert decontamination.contamination(empty, bench).count() == 0
     assert decontamination.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
