@@ -1,14 +1,19 @@
 """Line de-duplication with levelled sorted runs.
 
 A line's key is the line without white space at its ends and with A-Z lower-cased; keys shorter than `min_chars` are
-left alone. The store holds runs of (h1, h2, n_docs, top_doc) sorted by a 128-bit key hash: how many
-documents hold the key and the largest id among them. Documents arrive in batches; each batch is reduced to a run
-of level 0, and as soon as a level holds `fanout` runs they are merged into one run of the next level.
-A batch's lines are then merge-joined with the runs: a line goes if its key is in `min_docs` documents or more
-and this is not the largest one. Runs are tables in the shared folder, so a lost executor costs a re-read only.
+left alone. The store holds runs of (h1, h2, n_docs, top_doc, fresh) sorted by a 128-bit key hash: how many documents
+of a batch hold the key, the largest id among them, and whether no earlier batch held it. Documents arrive in batches.
+Each batch is reduced to its distinct keys and merge-anti-joined with the runs: keys that no run holds are added as
+fresh entries, the others as counts to add. As soon as a level holds `fanout` runs they are merged into one run of the
+next level. So each key has one fresh entry in all runs, which a store can read as the batch that brought it.
+
+A line goes if its key is in `min_docs` documents or more and this is not the largest one, which is known only when the
+last batch is in: each batch's lines are then joined with the merged runs, and what goes is a list of line numbers for
+each document. Runs are tables in the shared folder, so a lost executor costs a re-read only.
 
 A null or empty text is one empty line. Rows that share a doc_id are one document; null ids are one document, the
 smallest. A very common line is counted with map-side partial sums and joined by broadcast, so no task sees all its holders.
+A document of very many lines costs time in proportion to its lines.
 """
 
 from __future__ import annotations
@@ -54,8 +59,14 @@ class LineRuns:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def add(self, batch: DataFrame) -> None:
-        """batch: distinct (h1, h2, doc_id) of documents that no earlier batch held."""
-        run = self._write(batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc")))
+        """batch: (h1, h2, doc_id) of documents that no earlier batch held, repeats allowed."""
+        counts = batch.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc"))
+        if self.made:
+            known = self.entries().select("h1", "h2", F.lit(False).alias("fresh"))
+            counts = counts.join(known, ["h1", "h2"], "left").select("h1", "h2", "n_docs", "top_doc", F.coalesce("fresh", F.lit(True)).alias("fresh"))
+        else:
+            counts = counts.withColumn("fresh", F.lit(True))
+        run = self._write(counts)
         level = 0
         while True:
             if level == len(self.levels):
@@ -72,7 +83,7 @@ class LineRuns:
         rows = runs[0]
         for other in runs[1:]:
             rows = rows.unionByName(other)
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"))
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"), F.bool_or("fresh").alias("fresh"))
 
     def entries(self) -> DataFrame:
         return self._merge([r for level in self.levels for r in level])
@@ -91,19 +102,21 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     runs = LineRuns(spark, fanout=fanout)
     table = f"{runs.folder}/lines"
     (
-        docs.select(F.col(key).alias("doc_id"), F.explode(lines(F.col(text))).alias("_line"))
-        .select("doc_id", line_key(F.col("_line")).alias("_key"))
+        docs.select(
+            F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.pmod(F.xxhash64(key), F.lit(batches)).cast("int").alias("_batch"),
+            F.posexplode(lines(F.col(text))).alias("at", "_line"),
+        )
+        .withColumn("_key", line_key(F.col("_line")))
         .filter(F.length("_key") >= min_chars)
-        .select(key_hash(F.col("_key")).alias("h"), "doc_id")
-        .select("h.h1", "h.h2", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("_batch"))
-        .distinct()
+        .withColumn("h", key_hash(F.col("_key")))
+        .select("h.h1", "h.h2", "doc_id", "t", "at", "_batch")
         .write.partitionBy("_batch").parquet(table)
     )
     id_type = docs.schema[key].dataType.simpleString()
-    held = spark.read.schema(f"h1 long, h2 long, doc_id {id_type}, _batch int").parquet(table)
+    held = spark.read.schema(f"h1 long, h2 long, doc_id {id_type}, t long, at int, _batch int").parquet(table)
     for b in range(batches):
-        runs.add(held.filter(F.col("_batch") == b).drop("_batch"))
-    common = runs.entries().filter(F.col("n_docs") >= min_docs)
+        runs.add(held.filter(F.col("_batch") == b).select("h1", "h2", "doc_id"))
+    common = runs.entries().filter(F.col("n_docs") >= min_docs).drop("fresh")
     # fewer than HOT_LINES keys can have this many holders, so these are broadcast and never meet in one task
     many = max(min_docs, held.count() // HOT_LINES + 1)
     hot = F.broadcast(common.filter(F.col("n_docs") >= many))
@@ -112,17 +125,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         held.join(hot, ["h1", "h2"])
         .unionByName(rest)
         .filter(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
+        .groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))  # rows of one id may have several texts
+        .agg(F.collect_set("at").alias("__drop"))
     )
-    marked = docs.join(drops, docs[key].eqNullSafe(drops["__id"]), "left").drop("__id")
+    marked = docs.join(drops, docs[key].eqNullSafe(drops["__id"]) & (F.xxhash64(docs[text]) == drops["__t"]), "left").drop("__id", "__t")
     every = lines(F.col(text))
-    gone = lambda x: (F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("__drop"), key_hash(line_key(x)))
-    kept = F.when(F.col("__drop").isNull(), every).otherwise(F.filter(every, lambda x: ~gone(x)))
+    numbers = F.sequence(F.lit(0), F.size(every) - 1)
+    # the lines are bound once (x), so that a text is not split again for each of them
+    left = F.element_at(F.transform(F.array(every), lambda x: F.transform(F.array_except(numbers, F.col("__drop")), lambda i: F.get(x, i))), 1)
     return (
-        marked.withColumn("__kept", kept)
-        .withColumn("n_lines", F.size(every).cast("long"))
-        .withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
-        .withColumn("kept_text", F.array_join("__kept", "\n"))
-        .drop("__kept", "__drop")
+        marked.withColumn("n_lines", F.size(every).cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
+        .withColumn("kept_text", F.when(F.col("__drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(left, "\n")))
+        .drop("__drop")
     )

@@ -101,6 +101,14 @@ def test_line_dedup_matches_brute_force(spark):
     assert {(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got.collect()} == want
 
 
+def test_line_dedup_of_one_id_with_two_texts_and_of_many_lines(spark):
+    own = [f"this line number {i} is in three documents" for i in range(30_000)]
+    text = "\n".join(own)
+    docs = spark.createDataFrame([(1, text), (2, "head\n" + text), (2, text), (3, text + "\ntail"), (3, "tail")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text if len(r.kept_text) < 9 else len(r.kept_text)) for r in linededup.dedup_lines(docs).collect())
+    assert got == Counter([(1, 30_000, 30_000, ""), (2, 30_001, 30_000, "head"), (2, 30_000, 30_000, ""), (3, 30_001, 0, len(text) + 5), (3, 1, 0, "tail")])
+
+
 def test_line_dedup_odd_rows(docs, empty):
     got = linededup.dedup_lines(docs)
     assert got.count() == docs.count() and set(docs.columns) < set(got.columns)
@@ -113,6 +121,10 @@ def test_line_runs_compact(spark):
         runs.add(spark.createDataFrame([(1, 1, i), (2, i, i)], "h1 long, h2 long, doc_id long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {(r.h1, r.h2): (r.n_docs, r.top_doc) for r in runs.entries().collect()}[(1, 1)] == (5, 4)
+    written = [r for i in range(runs.made) for r in spark.read.parquet(f"{runs.folder}/run-{i}").collect()]
+    batches = [r for r in written if r.n_docs == 1]  # before any merge
+    assert [(r.h2, r.top_doc, r.fresh) for r in sorted(batches, key=lambda r: (r.h1, r.top_doc)) if r.h1 == 1] == [(1, 0, True)] + [(1, i, False) for i in range(1, 5)]
+    assert all(r.fresh for r in runs.entries().collect())
     fresh = linededup.unseen(spark.createDataFrame([(1, 1), (9, 9)], "h1 long, h2 long"), runs)
     assert [(r.h1, r.h2) for r in fresh.collect()] == [(9, 9)]
 
