@@ -60,3 +60,17 @@ def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int
 def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small driver-made table; the JVM unpickles it, no Python runs for it on executors."""
     return spark.createDataFrame(rows, schema)
+
+
+def hot_join(big: DataFrame, one: DataFrame, keys: list[str], least: int = 1_000, most: int = 1_000) -> DataFrame:
+    """big joined with `one` (one row a key, no null keys) where a few keys may hold most rows of big.
+
+    The `most` most frequent keys, if they have over `least` rows, are joined by broadcast, so their rows stay where
+    they are; every other key has less than a `most`-th of all rows and is joined by shuffle. big is read three times.
+    """
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > least).orderBy(F.desc("__n"), *keys).limit(most).select(*keys)
+    few = one.join(F.broadcast(hot), keys, "left_semi")
+    return (
+        big.join(F.broadcast(few), keys)
+        .unionByName(big.join(F.broadcast(hot), keys, "left_anti").join(one, keys))
+    )

@@ -133,8 +133,11 @@ def test_grammar_kinds():
     assert kinds("adolt, undolt") == zero
 
 
-@pytest.mark.parametrize("scale", [False, True])
-def test_neighbours_against_brute_force(spark, scale):
+@pytest.mark.parametrize("scale,parts", [(False, False), (True, False), (True, True)])
+def test_neighbours_against_brute_force(spark, monkeypatch, scale, parts):
+    if parts:  # long lists, dealt into parts, with leaves that a query does not all see
+        monkeypatch.setattr(ann, "MAX_LISTS", 8)
+        monkeypatch.setattr(ann, "LIST_ROWS", 300)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
     x = centres[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 16))
@@ -167,6 +170,27 @@ def test_few_and_no_vectors(spark):
     assert ann.search(df.limit(0), df, 20).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    """An id with two vectors is one candidate; all candidates come back where there are fewer than asked for."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 4)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[8].tolist()), (20, x[21].tolist()), (None, x[3].tolist())] + [(i, x[0].tolist()) for i in range(500, 560)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pairs = [(i, np.array(v)) for i, v in rows if i is not None]
+    for k in (20, 1000):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(df, df.filter("vec_id in (0, 7, 20, 500)"), k).collect()}
+        want = {}
+        for q in (0, 7, 20, 500):
+            best = {}
+            for v in [v for i, v in pairs if i == q]:
+                for i, y in pairs:
+                    if i != q:
+                        best[i] = max(best.get(i, -math.inf), float((y * v).sum()))
+            for rank, (i, s) in enumerate(sorted(best.items(), key=lambda t: (-t[1], t[0]))[:k], 1):
+                want[(q, rank)] = (i, s)
+        assert got == want
+
+
 def test_pipeline_stages(spark, docs, comments, tmp_path):
     import corpus_pipeline as cp
 
