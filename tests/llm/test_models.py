@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -133,6 +134,68 @@ def test_grammar_kinds():
     assert kinds("adolt, undolt") == zero
 
 
+def brute_clause(symbols):
+    """The rules read off the whole clause, without states."""
+    out = dict.fromkeys(toxicity.KINDS, 0.0)
+    line = [c for c, _ in symbols]
+    completes = set()  # a target ends the threats that it completes
+    for i, c in enumerate(line):
+        if c == "T":
+            before = [j for j in range(max(0, i - 4), i) if line[j] == "V"]
+            if before and not any(line[j] == "T" for j in range(before[-1] + 1, i)):
+                completes.add(i)
+    out["threat"] = float(len(completes))
+    for i, (c, w) in enumerate(symbols):
+        if c == "I":
+            if "N" in line[max(0, i - 3) : i]:
+                out["negated"] += w
+            elif "R" in line[:i]:
+                out["reported"] += w
+            else:
+                out["aimed" if "T" in line else "plain"] += w
+    return [out[k] for k in toxicity.KINDS]
+
+
+def test_grammar_matches_brute_force():
+    rnd, grammar = random.Random(5), toxicity.Grammar()
+    for _ in range(4000):
+        symbols = [(c, 1.5 + i if c == "I" else 0.0) for i, c in enumerate(rnd.choices("IVTNRO", [2, 1, 1, 1, 1, 3], k=rnd.randint(0, 14)))]
+        assert grammar.clause(symbols).tolist() == brute_clause(symbols), symbols
+    assert len(grammar.arcs) < 6 * 2 * 5 * 2 * 4 * 2 + 1
+
+
+def test_rare_insults_and_near_copies(spark):
+    """Each of many insults is in few toxic texts; near copies of one toxic text teach none of its own words."""
+    rnd = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows, labels = [], []
+    for i in range(4000):
+        w = [rnd.choice(vocabulary) for _ in range(40)]
+        if i % 8 == 0:
+            w[rnd.randrange(40)] = f"slur{'abcdefghijklmnopqrstuvwxyz'[i // 8 % 25]}{i // 8 % 25}"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 8 == 0)))
+    base = [f"own{j}" for j in range(60)]
+    for i in range(4000, 4060):
+        copy = list(base)
+        copy[rnd.randrange(60)] = f"edit{i}"
+        rows.append((i, " ".join(copy)))
+        labels.append((i, 1))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scan = model.scanner()
+    assert all(scan.score(f"word1 slur{'abcdefghijklmnopqrstuvwxyz'[i]}{i} word2") >= 0.5 for i in range(25))
+    assert not any(k.startswith(("word", "edit")) for k in model.lexicon)
+    assert scan.score("own3 own4 word7 own9") < 0.5
+
+
+def test_long_text_without_clause_ends_is_linear():
+    scan = toxicity.ToxicityModel({"dolt": 2.0}).scanner()
+    text = "dolt. " * 60_000
+    began = time.perf_counter()
+    assert scan.evidence(text)[0] == 120_000
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("scale,parts", [(False, False), (True, False), (True, True)])
 def test_neighbours_against_brute_force(spark, monkeypatch, scale, parts):
     if parts:  # long lists, dealt into parts, with leaves that a query does not all see
