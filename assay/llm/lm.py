@@ -1,17 +1,21 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the scoring tasks.
 
 Counting: each task turns its texts into word hashes and sorts and merges the bigrams of about `FLUSH` tokens at a time;
-the merged runs travel to buckets. A bucket is a slice of the previous word's hash times a slice of the next
-word's, so that neither a frequent word nor a frequent pair fills one bucket: a pair costs one entry in each run.
-A bucket merges its runs into a sorted hash array with counts, and hands on, word by word, the counts of contexts and
+the merged runs travel to buckets. A bucket is a slice of the previous word's hash. A word that is frequent as previous
+word (found in a hash sample of the texts, which only sizes the buckets) has buckets of its own, sliced by the next word's
+hash as finely as its share of the tokens asks for; a frequent pair costs one entry in each run. So buckets stay at about
+`BUCKET_TOKENS` tokens. A bucket merges its runs into a sorted hash array with counts, and hands on, word by word, the counts of contexts and
 continuations, which word buckets merge into a second sorted array. Both are files in the shared folder.
 
 Scoring: narrow tasks map the arrays into memory and look up each slice's distinct words and pairs in sorted order,
-so memory stays bounded by the slice while the page cache holds what is used. No text is shuffled.
+so memory stays bounded by the slice while the page cache holds what is used. No text is shuffled. A map holds no file
+descriptor, and at most OPEN_MAPS are kept, the latest used.
 
 Hashes have 48 bits for a word and 64 for a pair; a thousand million words would see about one collision in a million.
 The order is two: the disk budget of four times the input does not hold trigram runs (README).
 
+Counts have 64 bits: those over 32 bits are kept apart in a bucket's file.
+
 Null or empty text: only the end token. No training rows: every token gets the uniform floor. Repeated rows count as
 often as they occur.
 """
@@ -19,8 +23,10 @@ often as they occur.
 from __future__ import annotations
 
 import math
+import mmap
 import tempfile
 import uuid
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -36,11 +42,15 @@ from pyspark.sql import functions as F
 from assay.session import shared_dir
 
 #: Tokens merged at a time in a counting task, bytes of text scored at a time, tokens meant for one bucket.
-FLUSH, SLICE_BYTES, BUCKET_TOKENS = 2_000_000, 4_000_000, 1_200_000
+FLUSH, SLICE_BYTES, BUCKET_TOKENS = 2_000_000, 4_000_000, 300_000
 START, END = 0, 1  # reserved word hashes
-WORD_BITS, S_BITS = 48, 2
+WORD_BITS, CUR_BITS = 48, 16
+#: Words that may have buckets of their own, share of the texts that finds them, maps kept open by a task.
+HOT_WORDS, HOT_SAMPLE, OPEN_MAPS = 10_000, 64, 4_096
+BIG = 2**32 - 1
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-WORD_ROW = np.dtype([("h", "<u8"), ("c", "<i8"), ("t", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+WORD_ROW = np.dtype([("h", "<u8"), ("c", "<i8"), ("t", "<i8"), ("n1", "<i8"), ("n2", "<i8"), ("n3", "<i8")])
+RUN_TYPES = {"c": "<i8", "t": "<u4", "n1": "<u4", "n2": "<u4", "n3": "<u4"}  # one bucket's share fits
 
 
 class Words(dict):
@@ -66,13 +76,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(29))
 
 
-def pair_keys(prev: np.ndarray, cur: np.ndarray, p_bits: int) -> np.ndarray:
-    """64-bit keys whose leading bits are the bucket: p_bits of the previous word, then S_BITS of the next."""
-    def top(x: np.ndarray, n: int) -> np.ndarray:
-        return _mix(x) * K2 >> np.uint64(64 - n) if n else np.zeros(len(x), np.uint64)
-    rest = np.uint64(64 - p_bits - S_BITS)
-    pair = _mix(_mix(prev) * K2 + cur) * K2
-    return (((top(prev, p_bits) << np.uint64(S_BITS)) | top(cur, S_BITS)) << rest) | (pair >> np.uint64(p_bits + S_BITS))
+@dataclass
+class Layout:
+    """Where a pair is kept: a bucket code, and a 64-bit key that orders pairs inside it."""
+
+    p_bits: int  # slices of previous words
+    hot: np.ndarray  # sorted hashes of frequent previous words
+    s_bits: np.ndarray  # bits of the next word's hash for each of them
+
+    def place(self, prev: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, key). Codes of hot words' buckets lie behind those of the slices."""
+        bucket = _top(prev, self.p_bits).astype(np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, prev), len(self.hot) - 1)
+            rows = np.flatnonzero(self.hot[at] == prev)
+            bits = self.s_bits[at[rows]]
+            bucket[rows] = (1 << self.p_bits) + (at[rows] << CUR_BITS) + (_top(cur[rows], CUR_BITS).astype(np.int64) >> (CUR_BITS - bits))
+        return bucket, _mix(_mix(prev) * K2 + cur) * K2
+
+
+def _top(x: np.ndarray, n: int) -> np.ndarray:
+    return _mix(x) * K2 >> np.uint64(64 - n) if n else np.zeros(len(x), np.uint64)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -99,14 +123,14 @@ def unpack_pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(_unsix(raw, 8, k), lens), _unsix(raw, at, n), np.frombuffer(raw, "<u4", n, at + 6 * int(n))
 
 
-def merge_pairs(prev: np.ndarray, cur: np.ndarray, n: np.ndarray, p_bits: int) -> tuple[np.ndarray, ...]:
-    """Key, prev, cur and summed count of the distinct pairs, ordered by key."""
-    keys = pair_keys(prev, cur, p_bits)
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+def merge_pairs(prev: np.ndarray, cur: np.ndarray, n: np.ndarray, layout: Layout) -> tuple[np.ndarray, ...]:
+    """Bucket, key, prev, cur and summed count of the distinct pairs, ordered by bucket and key."""
+    bucket, keys = layout.place(prev, cur)
+    order = np.lexsort((keys, bucket)) if len(bucket) and bucket.min() != bucket.max() else np.argsort(keys)
+    bucket, keys = bucket[order], keys[order]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])]) if len(keys) else np.empty(0, np.int64)
     total = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-    return keys[first], prev[order][first], cur[order][first], total
+    return bucket[first], keys[first], prev[order][first], cur[order][first], total
 
 
 class Folder:
@@ -122,28 +146,52 @@ class Folder:
     def __getstate__(self) -> dict:
         return {"uri": self.uri}
 
-    def write(self, name: str, data: np.ndarray) -> None:
+    def write(self, name: str, data: bytes) -> None:
         """A file appears whole or not at all, so a retried task does no harm."""
         store, top = self.place
         part = f"{top}/.{name}-{uuid.uuid4().hex}"
         with store.open_output_stream(part) as out:
-            out.write(data.tobytes())
+            out.write(data)
         store.move(part, f"{top}/{name}")
 
-    def map(self, name: str, dtype) -> np.ndarray:
-        """The file mapped into memory; from a remote store, a private copy that has no name any more."""
+    def map(self, name: str) -> memoryview:
+        """The file mapped into memory, without a descriptor; from a remote store, a private copy that has no name any more."""
         store, top = self.place
         path = f"{top}/{name}"
         info = store.get_file_info(path)
         if info.type == pafs.FileType.NotFound or not info.size:
-            return np.empty(0, dtype)
+            return memoryview(b"")
         if isinstance(store, pafs.LocalFileSystem):
-            return np.memmap(path, dtype, "r")
+            with open(path, "rb") as src:
+                return memoryview(mmap.mmap(src.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
         with tempfile.TemporaryFile() as copy, store.open_input_stream(path) as src:
             while chunk := src.read(1 << 24):
                 copy.write(chunk)
             copy.flush()
-            return np.memmap(copy, dtype, "r")
+            return memoryview(mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
+
+
+def pack_counts(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """A bucket's file: numbers of pairs and of big counts, sorted keys, 32-bit counts, then (place, count) of the big ones."""
+    big = np.flatnonzero(n >= BIG)
+    return b"".join(x.tobytes() for x in (np.array([len(keys), len(big)], "<u8"), keys.astype("<u8"), np.minimum(n, BIG).astype("<u4"), big.astype("<i8"), n[big].astype("<i8")))
+
+
+def find_counts(raw: memoryview, keys: np.ndarray) -> np.ndarray:
+    """Counts of sorted keys in a bucket's file, zero where it has none."""
+    out = np.zeros(len(keys), np.int64)
+    if not len(raw):
+        return out
+    m, big = (int(x) for x in np.frombuffer(raw, "<u8", 2))
+    have = np.frombuffer(raw, "<u8", m, 16)
+    at = np.minimum(np.searchsorted(have, keys), m - 1)
+    ok = have[at] == keys
+    out[ok] = np.frombuffer(raw, "<u4", m, 16 + 8 * m)[at[ok]]
+    if big:
+        spots, counts = np.frombuffer(raw, "<i8", big, 16 + 12 * m), np.frombuffer(raw, "<i8", big, 16 + 12 * m + 8 * big)
+        for i in np.flatnonzero(out == BIG):
+            out[i] = counts[np.searchsorted(spots, at[i])]
+    return out
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -159,7 +207,8 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 @dataclass
 class LanguageModel:
     folder: Folder
-    p_bits: int
+    layout: Layout
+    w_bits: int  # slices of words
     tokens: int  # N
     vocabulary: int  # V
     types: int  # distinct pairs
@@ -168,40 +217,43 @@ class LanguageModel:
     high: tuple[float, float, float]
 
     def __post_init__(self) -> None:
-        self.open: dict[str, np.ndarray] = {}
+        self.open: OrderedDict[str, memoryview] = OrderedDict()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"open": {}}
+        return self.__dict__ | {"open": OrderedDict()}
 
-    def _map(self, name: str, dtype) -> np.ndarray:
-        if name not in self.open:
-            self.open[name] = self.folder.map(name, dtype)
-        return self.open[name]
+    def _map(self, name: str) -> memoryview:
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        if len(self.open) >= OPEN_MAPS:
+            self.open.popitem(last=False)
+        got = self.open[name] = self.folder.map(name)
+        return got
 
     def word_rows(self, words: np.ndarray) -> np.ndarray:
         """Rows of distinct sorted words; zeros where a word was never counted."""
         out = np.zeros(len(words), WORD_ROW)
-        bucket = words >> np.uint64(WORD_BITS - self.p_bits) if self.p_bits else np.zeros(len(words), np.uint64)
+        bucket = word_slices(words, self.w_bits)
         for b in np.unique(bucket).tolist():
             lo, hi = np.searchsorted(bucket, [b, b + 1])
-            have = self._map(f"words-{b}", WORD_ROW)
-            if len(have):
-                keys = self._map(f"hashes-{b}", "<u8")
-                at = np.minimum(np.searchsorted(keys, words[lo:hi]), len(keys) - 1)
+            raw = self._map(f"words-{b}")
+            if len(raw):
+                m = len(raw) // (8 + WORD_ROW.itemsize)  # hashes, then rows
+                keys = np.frombuffer(raw, "<u8", m)
+                at = np.minimum(np.searchsorted(keys, words[lo:hi]), m - 1)
                 ok = keys[at] == words[lo:hi]
-                out[lo:hi][ok] = have[at[ok]]
+                out[lo:hi][ok] = np.frombuffer(raw, WORD_ROW, m, 8 * m)[at[ok]]
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        bucket = keys >> np.uint64(64 - self.p_bits - S_BITS)
-        for b in np.unique(bucket).tolist():
-            lo, hi = np.searchsorted(bucket, [b, b + 1])
-            have = self._map(f"pairs-{b}", "<u8")
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
-                ok = have[at] == keys[lo:hi]
-                out[lo:hi][ok] = self._map(f"counts-{b}", "<u4")[at[ok]]
+    def pair_counts(self, prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+        bucket, keys = self.layout.place(prev, cur)
+        order = np.lexsort((keys, bucket))
+        bucket, keys = bucket[order], keys[order]
+        out = np.empty(len(keys), np.int64)
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[order[lo:hi]] = find_counts(self._map(f"pairs-{bucket[lo]}"), keys[lo:hi])
         return out
 
     def score(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,8 +271,8 @@ class LanguageModel:
         t = rows["t"].astype(np.int64)
         low = np.maximum(t - np.select([t == 0, t == 1, t == 2], [0.0, self.low[0], self.low[1]], self.low[2]), 0.0) / max(self.types, 1)
         low = low + self.low_back / (self.vocabulary + 1)
-        keys, pair = np.unique(pair_keys(prev, words, self.p_bits), return_inverse=True)
-        c = self.pair_counts(keys)
+        _, first, pair = np.unique(_mix(_mix(prev) * K2 + words), return_index=True, return_inverse=True)
+        c = self.pair_counts(prev[first], words[first])
         top = np.maximum(c - np.select([c == 0, c == 1, c == 2], [0.0, self.high[0], self.high[1]], self.high[2]), 0.0)[pair]
         back = rows["n1"] * self.high[0] + rows["n2"] * self.high[1] + rows["n3"] * self.high[2]
         total = np.maximum(context, 1)[at_prev]
@@ -243,11 +295,43 @@ def _slices(column: pa.Array, words: Words, most: int) -> Iterator[tuple[list[np
         yield held, len(held)
 
 
+def word_slices(words: np.ndarray, bits: int) -> np.ndarray:
+    return (words >> np.uint64(WORD_BITS - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
+
+
+def bits_for(tokens: float) -> int:
+    """Bits that number the buckets of this many tokens."""
+    return max(0, math.ceil(math.log2(max(1, tokens / BUCKET_TOKENS))))
+
+
+def hot_words(texts: DataFrame, text: str, tokens: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that fill more than a bucket as previous words, HOT_WORDS at most, and their slicing bits.
+
+    Found by counts in one of HOT_SAMPLE texts; a word that is missed only makes a bucket larger.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = Words(), Counter()
+        for batch in batches:
+            for x in batch.column("t"):
+                w = words.of(x.as_py())
+                w[-1] = START  # the start precedes each text's first word
+                seen.update(dict(zip(*(v.tolist() for v in np.unique(w, return_counts=True)), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+
+    few = texts.filter(F.pmod(F.xxhash64(text), F.lit(HOT_SAMPLE)) == 0).select(F.col(text).cast("binary").alias("t"))
+    counts = few.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.filter(F.col("n") * max(tokens, 1) > F.lit(total) * BUCKET_TOKENS).orderBy(F.desc("n"), "w").limit(HOT_WORDS).collect()
+    rows = sorted((r["w"], min(bits_for(2 * r["n"] / total * tokens), CUR_BITS)) for r in frequent)
+    return np.array([w for w, _ in rows], np.uint64), np.array([b for _, b in rows], np.int64)
+
+
 def fit(texts: DataFrame, text: str = "text") -> LanguageModel:
     """Count all rows of texts and write the model's arrays into the shared folder."""
     spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    p_bits = max(0, math.ceil(math.log2(max(1, size / 6 / BUCKET_TOKENS / (1 << S_BITS)))))
+    tokens = (texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 6
+    layout = Layout(bits_for(tokens), *hot_words(texts, text, tokens))
+    w_bits = max(0, layout.p_bits - 2)
     uri = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
     folder = Folder(uri)
     folder.place[0].create_dir(folder.place[1])
@@ -257,8 +341,7 @@ def fit(texts: DataFrame, text: str = "text") -> LanguageModel:
 
         def flush() -> pa.RecordBatch:
             prev, cur = np.concatenate(prevs), np.concatenate(curs)
-            keys, prev, cur, n = merge_pairs(prev, cur, np.ones(len(prev), np.int64), p_bits)
-            bucket = (keys >> np.uint64(64 - p_bits - S_BITS)).astype(np.int64)
+            bucket, _, prev, cur, n = merge_pairs(prev, cur, np.ones(len(prev), np.int64), layout)
             order = np.lexsort((prev, bucket))
             bucket, prev, cur, n = bucket[order], prev[order], cur[order], n[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() + [len(bucket)]
@@ -280,9 +363,8 @@ def fit(texts: DataFrame, text: str = "text") -> LanguageModel:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(pdf["bucket"].iloc[0])
         parts = [unpack_pairs(x) for x in pdf["run"]]
-        keys, prev, cur, n = merge_pairs(*(np.concatenate([p[i] for p in parts]) for i in range(3)), p_bits)
-        folder.write(f"pairs-{b}", keys)
-        folder.write(f"counts-{b}", np.minimum(n, 2**32 - 1).astype("<u4"))
+        _, keys, prev, cur, n = merge_pairs(*(np.concatenate([p[i] for p in parts]) for i in range(3)), layout)
+        folder.write(f"pairs-{b}", pack_counts(keys, n))
         rows = np.zeros(len(keys) * 2, WORD_ROW)  # as context, then as continuation
         rows["h"] = np.r_[prev, cur]
         for i, k in enumerate(("n1", "n2", "n3"), 1):
@@ -291,9 +373,9 @@ def fit(texts: DataFrame, text: str = "text") -> LanguageModel:
         rows = sum_words(rows)
         start = rows["h"] == START
         rows["c"][start] = n[prev == START].sum()
-        bucket = (rows["h"] >> np.uint64(WORD_BITS - p_bits)).astype(np.int64) if p_bits else np.zeros(len(rows), np.int64)
+        bucket = word_slices(rows["h"], w_bits)
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() + [len(rows)]
-        blobs = [_six(rows["h"][a:z]) + b"".join(rows[k][a:z].tobytes() for k in ("c", "t", "n1", "n2", "n3")) for a, z in zip(cuts, cuts[1:], strict=False)]
+        blobs = [_six(rows["h"][a:z]) + b"".join(rows[k][a:z].astype(t).tobytes() for k, t in RUN_TYPES.items()) for a, z in zip(cuts, cuts[1:], strict=False)]
         out = pd.DataFrame({"bucket": bucket[cuts[:-1]], "run": blobs})
         coc = np.array([(n == i).sum() for i in range(1, 5)], "<i8").tobytes()
         return pd.concat([out, pd.DataFrame({"bucket": [0], "run": [b"" + coc]})])
@@ -308,13 +390,11 @@ def fit(texts: DataFrame, text: str = "text") -> LanguageModel:
             m = len(raw) // 30
             rows = np.zeros(m, WORD_ROW)
             rows["h"], at = _unsix(raw, 0, m), 6 * m
-            for k in ("c", "t", "n1", "n2", "n3"):
-                width = WORD_ROW[k].itemsize
-                rows[k], at = np.frombuffer(raw, WORD_ROW[k], m, at), at + width * m
+            for k, kind in RUN_TYPES.items():
+                rows[k], at = np.frombuffer(raw, kind, m, at), at + np.dtype(kind).itemsize * m
             parts.append(rows)
         rows = sum_words(np.concatenate(parts)) if parts else np.zeros(0, WORD_ROW)
-        folder.write(f"words-{b}", rows)
-        folder.write(f"hashes-{b}", rows["h"])
+        folder.write(f"words-{b}", rows["h"].tobytes() + rows.tobytes())
         real = rows[rows["h"] != START]
         t = real["t"].astype(np.int64)
         numbers = [real["c"].sum(), (real["c"] > 0).sum(), t.sum(), *((t == i).sum() for i in range(1, 5)), *coc]
@@ -327,7 +407,7 @@ def fit(texts: DataFrame, text: str = "text") -> LanguageModel:
     tokens, vocabulary, types, t, b = n[0], n[1], n[2], n[3:7], n[7:11]
     low = discounts(t)
     mass = low[0] * t[0] + low[1] * t[1] + low[2] * (vocabulary - t[0] - t[1])
-    return LanguageModel(folder, p_bits, tokens, vocabulary, types, low, mass / types if types else 1.0, discounts(b))
+    return LanguageModel(folder, layout, w_bits, tokens, vocabulary, types, low, mass / types if types else 1.0, discounts(b))
 
 
 NUMBERS = ("tokens", "vocabulary", "types", "t1", "t2", "t3", "t4", "b1", "b2", "b3", "b4")
@@ -356,7 +436,7 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
         words = Words()
         for batch in batches:
             at = 0
-            for held, n in _slices(batch.column("_text"), words, SLICE_BYTES):
+            for held, n in _slices(batch.column(len(others)), words, SLICE_BYTES):
                 lens = np.array([len(w) for w in held])
                 known, base, full = model.score(np.concatenate(held), np.cumsum(lens) - lens)
                 rows = batch.slice(at, n)
@@ -366,4 +446,4 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
                     [*others, *new],
                 )
 
-    return docs.select(*others, F.col(text).cast("binary").alias("_text")).mapInArrow(run, shape)
+    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).cast("binary").alias(text)).mapInArrow(run, shape)

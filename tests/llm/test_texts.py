@@ -312,10 +312,12 @@ def brute_lm(texts):
 def test_language_model_matches_brute_force(docs, empty, monkeypatch):
     monkeypatch.setattr(lm, "FLUSH", 700)
     monkeypatch.setattr(lm, "BUCKET_TOKENS", 300)
+    monkeypatch.setattr(lm, "HOT_SAMPLE", 2)
+    docs = docs.withColumn("_text", docs["name"])
     train = docs.filter("coalesce(doc_id, 1) % 3 <> 0")
     uni, n, v, p = brute_lm([r.text for r in train.collect()])
     model = lm.fit(train)
-    assert model.p_bits > 0 and (model.tokens, model.vocabulary) == (n, v)
+    assert model.layout.p_bits > 2 and len(model.layout.hot) and max(model.layout.s_bits) > 1 and (model.tokens, model.vocabulary) == (n, v)
     got = lm.score(docs, model).collect()
     want = Counter()
     for r in docs.collect():
@@ -331,6 +333,43 @@ def test_language_model_matches_brute_force(docs, empty, monkeypatch):
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in untrained)
 
 
+def test_counts_over_32_bits_are_kept():
+    keys, n = np.arange(5, dtype=np.uint64) * 7, np.array([1, 2**32 - 2, 2**32 - 1, 2**40, 3])
+    raw = memoryview(lm.pack_counts(keys, n))
+    assert lm.find_counts(raw, np.array([0, 1, 7, 14, 21, 28, 99], np.uint64)).tolist() == [1, 0, *n[1:].tolist(), 0]
+    assert lm.find_counts(memoryview(b""), keys).tolist() == [0] * 5
+
+
+def test_many_maps_need_few_descriptors(tmp_path):
+    """1,000 files mapped at once with 256 descriptors."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+from assay.llm import lm
+folder = lm.Folder({str(tmp_path)!r})
+maps = []
+for i in range(1000):
+    folder.write(f"pairs-{{i}}", bytes([i % 256]) * 100)
+    maps.append(folder.map(f"pairs-{{i}}"))
+assert all(m[99] == i % 256 for i, m in enumerate(maps))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(lm.__file__).parents[2]))
+
+
+def test_frequent_words_are_sliced():
+    """A third of all pairs has one previous word; no bucket holds many more than its share."""
+    rng = np.random.default_rng(1)
+    prev = rng.integers(2, 1 << 48, 300_000, dtype=np.uint64)
+    prev[::3] = 77
+    cur = rng.integers(2, 1 << 48, 300_000, dtype=np.uint64)
+    layout = lm.Layout(6, np.array([77], np.uint64), np.array([6]))
+    bucket, keys = layout.place(prev, cur)
+    assert np.unique(bucket, return_counts=True)[1].max() < 3 * 300_000 / 64 and len(np.unique(keys)) == 300_000
+
+
 @pytest.mark.parametrize("rule", tokencount.RULES)
 def test_token_sections_match_brute_force(docs, rule):
     encoding, sizes = tokencount.load()
