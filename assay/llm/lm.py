@@ -321,7 +321,7 @@ def hot_words(texts: DataFrame, text: str, tokens: float) -> tuple[np.ndarray, n
     few = texts.filter(F.pmod(F.xxhash64(text), F.lit(HOT_SAMPLE)) == 0).select(F.col(text).cast("binary").alias("t"))
     counts = few.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.filter(F.col("n") * max(tokens, 1) > F.lit(total) * BUCKET_TOKENS).orderBy(F.desc("n"), "w").limit(HOT_WORDS).collect()
+    frequent = counts.filter(F.col("n") > total * (BUCKET_TOKENS / max(tokens, 1.0))).orderBy(F.desc("n"), "w").limit(HOT_WORDS).collect()
     rows = sorted((r["w"], min(bits_for(2 * r["n"] / total * tokens), CUR_BITS)) for r in frequent)
     return np.array([w for w, _ in rows], np.uint64), np.array([b for _, b in rows], np.int64)
 
