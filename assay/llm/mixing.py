@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
 
     slot, release and deadline count blocks from the start of the whole mix; weight is the source's share of all
     weights. The weights name sources (None for the null source); the default is the sources' row counts to `power`.
-    Columns of these names are replaced.
+    Columns of these names are replaced. `text` may name the text's xxhash64 instead: the mix is the same.
     """
     spark = docs.sparkSession
     docs = docs.drop("weight", "phase", "block", "slot", "release", "deadline", "mix_position")
@@ -121,7 +121,9 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
         line = F.struct("block", "weight", *fields)
         return touched.join(placed, ["__g", "block"]).groupBy("__g", "__slice", "__ahead", "__low").agg(F.array_sort(F.collect_list(line)).alias("__blocks"))
 
-    order = [F.col(key)] + ([F.xxhash64(text)] if text and text in docs.columns else [])
+    order = [F.col(key)]
+    if text and text in docs.columns:
+        order.append(F.col(text) if docs.schema[text].dataType.simpleString() == "bigint" else F.xxhash64(text))
     numbered = ranked(docs.withColumn("__source", F.col(source).cast("string")), "__source", order, "__n", per_slice=blocks_of_slices)
     own = F.element_at("__blocks", (F.floor(F.col("__n") / block_rows) - F.col("__low") + 1).cast("int"))
     return numbered.withColumn("__b", own).select(

@@ -13,11 +13,14 @@ Null text: size 8, CRC of no bytes, placed like any text. Empty table: empty res
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.common import ranked, rows_of
+from assay.session import cut
 
 VNODES = 64
 #: Positions of a given order in one span; a shard's rows are numbered span by span.
@@ -85,21 +88,32 @@ def spill_plan(owners: list[int], demand: dict[int, int], shards: int) -> list[t
     return plan
 
 
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs plus size, text_crc32 and the text's ring hash __t."""
+    return (
+        docs.drop("size", "text_crc32")
+        .withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
+        .withColumn("text_crc32", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+        .withColumn("__t", F.xxhash64(text))
+    )
+
+
 def shard_rows(docs: DataFrame, shards: int, vnodes: int = VNODES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs plus size, text_crc32, shard and slot; shard counts differ by at most one, slots run gapless from 0.
 
     Columns of docs named shard, slot, size or text_crc32 are replaced. The broadcast plan has at most
     shards * vnodes + shards + arcs intervals, whatever the input.
     """
-    spark = docs.sparkSession
+    return place(measured(docs.drop("shard", "slot"), text), shards, vnodes, key).drop("__t")
+
+
+def place(rows: DataFrame, shards: int, vnodes: int = VNODES, key: str = "doc_id") -> DataFrame:
+    """rows with a ring hash __t, plus shard and slot."""
+    spark = rows.sparkSession
     owners, arc_of = ring(shards, vnodes)
     cells = rows_of(spark, list(enumerate(arc_of)), "__cell int, __arc int")
     placed = (
-        docs.drop("shard", "slot", "size", "text_crc32")
-        .withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
-        .withColumn("text_crc32", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-        .withColumn("__t", F.xxhash64(text))
-        .withColumn("__cell", F.pmod("__t", F.lit(len(arc_of))).cast("int"))
+        rows.withColumn("__cell", F.pmod("__t", F.lit(len(arc_of))).cast("int"))
         .join(F.broadcast(cells), "__cell")
         .drop("__cell")
     )
@@ -110,7 +124,7 @@ def shard_rows(docs: DataFrame, shards: int, vnodes: int = VNODES, text: str = "
     return (
         numbered.join(F.broadcast(spans), (F.col("__arc") == F.col("__plan_arc")) & (F.col("__at") >= F.col("__lo")) & (F.col("__at") < F.col("__hi")))
         .withColumn("slot", F.col("__base") + F.col("__at") - F.col("__lo"))
-        .drop("__plan_arc", "__lo", "__hi", "__base", "__arc", "__at", "__t")
+        .drop("__plan_arc", "__lo", "__hi", "__base", "__arc", "__at")
     )
 
 
@@ -124,3 +138,22 @@ def slots_by(placed: DataFrame, position: str) -> DataFrame:
     ahead = counts.select("shard", "__span", (F.sum("__c").over(Window.partitionBy("shard").orderBy("__span")) - F.col("__c")).alias("__ahead"))
     inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("shard", "__span").orderBy(position)) - 1)
     return inside.join(ahead, ["shard", "__span"]).withColumn("slot", (F.col("__ahead") + F.col("__r")).cast("long")).drop("__span", "__ahead", "__r")
+
+
+def shards_in_order(docs: DataFrame, shards: int, order: Callable[..., DataFrame], vnodes: int = VNODES, text: str = "text", key: str = "doc_id",
+                    source: str = "source") -> DataFrame:
+    """shard_rows' result with the slots of each shard in the order of order(rows)'s mix_position, which is kept.
+
+    Everything is found for rows of id, source and hashes; texts are shuffled once, to join the result. Repeated rows
+    are told apart by a number, so each keeps a place of its own.
+    """
+    keys = ["__k0", "__k1", "__k2"]
+    hashed = [F.xxhash64(key, source).alias("__k0"), F.xxhash64(text, F.lit(1)).alias("__k1"), F.xxhash64(F.lit(2), text).alias("__k2")]
+    thin = measured(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), *hashed)).drop("text")
+    mixed = order(thin.withColumn("text", F.col("__t"))).drop("text", "weight", "phase", "block", "slot", "release", "deadline")
+    placed = slots_by(place(cut(mixed), shards, vnodes), "mix_position")
+    every = Window.partitionBy(*keys).orderBy("mix_position")
+    found = placed.withColumn("__n", F.row_number().over(every)).select(*keys, "__n", "size", "text_crc32", "shard", "slot", "mix_position")
+    new = ["size", "text_crc32", "shard", "slot", "mix_position"]
+    own = docs.drop(*new).select("*", *hashed).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    return own.join(found, [*keys, "__n"]).drop(*keys, "__n")

@@ -11,8 +11,13 @@ the radius of the query's own distance. The trees travel to the tasks by a shuff
 together they hold every fingerprint of the corpus, which must not pass through the driver.
 
 A search does not list all pairs: what one group of links reaches leaves the tree at once and is searched from later,
-against what is still there; two groups never leave a tree together, as links between them would be lost. Each shard thus gives a spanning forest of its links, and a dense group of near copies
-costs about one visit each. Components of the forests' union are found in Spark.
+against what is still there; two groups never leave a tree together, as links between them would be lost. Each shard
+thus gives a spanning forest of its links, and a dense group of near copies costs about one visit each. Components of
+the forests' union are found in Spark; fingerprints and components that very many rows share are joined by broadcast.
+
+Where links must be verified (`similarity`), forests prefer close links, which seldom fail. Each text that a link
+needs is written once, and travels to the texts it is compared with in bounded slices. A group in which links failed is
+searched again from its smaller parts, until no candidate is left out.
 
 Null or empty text: no shingles, fingerprint zero, linked like any other. Fewer words than a shingle: the whole
 sequence is one shingle. Null ids have a fingerprint and a component, but never name one unless all ids in it are null.
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import text_key
+from assay.llm.common import hot_join, text_key
 from assay.operators.graph import connected_components
 from assay.session import cut
 
@@ -39,7 +44,11 @@ BLOCKS = 5
 #: Words after the fingerprint of a shingle set: a 128-bit digest of the set.
 TAIL = 2
 #: Candidates for each fingerprint in the first search of groups that fell apart, and their growth from search to search.
-MOST, MORE = 8, 8
+MOST, MORE = 4, 8
+#: Share of the radius within which links are looked for first, where they must be verified.
+CLOSE = 2 / 3
+#: Texts that one copy of a text is compared with.
+HUB = 500
 #: Pairs of query and tree node that one wave of searches may hold at once.
 WAVE = 1_000_000
 
@@ -261,8 +270,14 @@ def spanning_links(fps: np.ndarray, shard: np.ndarray, radius: int = RADIUS) ->
     return _columns(out, 3)
 
 
-def outside_candidates(fps: np.ndarray, shard: np.ndarray, group: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, ...]:
-    """(a, b, bits, whether a has more): for each node the `most` closest within the radius that are of other groups."""
+def close_links(fps: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning links as few as keep the components, with the closest ones of two searches before the others."""
+    found = [spanning_links(fps, shard, int(radius * CLOSE)), spanning_links(fps, shard, radius)]
+    return _forest(*_columns(found, 3))[:3]
+
+
+def outside_candidates(fps: np.ndarray, shard: np.ndarray, group: np.ndarray, asks: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, ...]:
+    """(a, b, bits, whether a has more): for each node that asks the `most` closest within the radius that are of other groups."""
     tree = BKForest(fps, shard)
     n = len(fps)
     alive = np.ones(n, bool)
@@ -270,7 +285,7 @@ def outside_candidates(fps: np.ndarray, shard: np.ndarray, group: np.ndarray, ra
     at, out = 0, []
     while at < n:
         stop = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + WAVE)))
-        q, hit, bits = tree.search(np.arange(at, stop), alive, radius)
+        q, hit, bits = tree.search(at + np.flatnonzero(asks[at:stop]), alive, radius)
         order = np.lexsort((hit, bits, q))
         order = order[group[q[order]] != group[hit[order]]]
         q, hit, bits = q[order], hit[order], bits[order]
@@ -300,10 +315,11 @@ def _matrix(column: pa.Array, wide: int) -> np.ndarray:
 def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int = 1, tail: int = 0, most: int | None = None) -> DataFrame:
     """Distinct `fp` -> links (a, b, bits) that join what is within the radius and shares a shard.
 
-    `tail` words of an fp tell equal fingerprints apart and do not count as bits. With `most`, fps has a column g: each
-    fingerprint's links are the `most` closest ones to other g, and the column more tells whether there are others.
+    `tail` words of an fp tell equal fingerprints apart and do not count as bits; with a tail, close links are preferred.
+    With `most`, fps has columns g and asks: the links of each fingerprint that asks are the `most` closest ones to
+    other g, and the column more tells whether there are others.
     """
-    g = ["g"] if most else []
+    g = ["g", "asks"] if most else []
     words = wide + tail
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,80 +338,109 @@ def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int =
         fp, shard = fp[order], shard[order]
         bare = np.ascontiguousarray(fp[:, :wide])
         if most:
-            group = np.concatenate([b.column("g").to_numpy() for b in parts])[order]
-            a, b, bits, more = outside_candidates(bare, shard, group, radius, most)
+            group, asks = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts])[order] for c in g)
+            a, b, bits, more = outside_candidates(bare, shard, group, asks, radius, most)
             extra = {"more": pa.array(more.astype(bool))}
         else:
-            a, b, bits = spanning_links(bare, shard, radius)
+            a, b, bits = close_links(bare, shard, radius) if tail else spanning_links(bare, shard, radius)
             extra = {}
         raw = lambda rows: pa.array([x.tobytes() for x in fp[rows].astype(">u8")], pa.binary())
         yield pa.RecordBatch.from_pydict({"a": raw(a), "b": raw(b), "bits": pa.array(bits, pa.int64()), **extra})
 
-    dealt = fps.mapInArrow(deal, "fp binary, " + "g long, " * len(g) + "shard long").repartition("shard")
-    return dealt.mapInArrow(run, "a binary, b binary, bits long" + ", more boolean" * len(g))
+    dealt = fps.mapInArrow(deal, "fp binary, " + ("g long, asks boolean, " if most else "") + "shard long").repartition("shard")
+    return dealt.mapInArrow(run, "a binary, b binary, bits long" + (", more boolean" if most else ""))
 
 
 def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
     """Of the sets of word shingles."""
-    x, y = np.unique(shingle_hashes(a or b"", width)), np.unique(shingle_hashes(b or b"", width))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+    return overlap(*(np.unique(shingle_hashes(x or b"", width)) for x in (a, b)))
 
 
-def verified(links: DataFrame, docs: DataFrame, marked: DataFrame, sure: int, similarity: float, width: int, key: str, text: str) -> DataFrame:
-    """The links of at most `sure` bits, and those farther apart whose texts have the Jaccard similarity.
-
-    Only texts of doubtful links travel: one for each fingerprint.
-    """
-    doubtful = links.filter(F.col("bits") > sure).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    needed = doubtful.select(F.col("a").alias("fp")).union(doubtful.select("b")).distinct()
-    rows = marked.join(needed, "fp").groupBy("fp").agg(F.min(F.struct(F.xxhash64("__id").alias("k0"), "__k1", "__k2")).alias("r"))
+def texts_of(links: DataFrame, docs: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
+    """(fp, t): one text for each fingerprint of the links."""
+    needed = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
+    rows = marked.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.xxhash64("__id").alias("k0"), "__k1", "__k2")).alias("r"))
     rows = rows.select("fp", F.col("r.k0").alias("__k0"), "r.__k1", "r.__k2")
     source = docs.select(F.xxhash64(key).alias("__k0"), *text_key(docs, text), F.col(text).cast("binary").alias("t"))
-    texts = source.join(rows, ["__k0", "__k1", "__k2"]).groupBy("fp").agg(F.first("t").alias("t"))
-    pairs = doubtful.join(texts.select(F.col("fp").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b")
+    return source.join(rows, ["__k0", "__k1", "__k2"]).dropDuplicates(["fp"]).select("fp", "t")
+
+
+def pairs_of(links: DataFrame) -> DataFrame:
+    """Each pair once as (a, b), with the side that most links name first as a: it tends to be the hub of many."""
+    low, high = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
+    votes = links.select(low, high, F.when(F.col("a") <= F.col("b"), 1).otherwise(-1).alias("v")).groupBy("lo", "hi").agg(F.sum("v").alias("v"))
+    return votes.select(F.when(F.col("v") >= 0, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("v") >= 0, F.col("hi")).otherwise(F.col("lo")).alias("b"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs whose texts have the Jaccard similarity.
+
+    A text meets the texts it is compared with in slices of about HUB, each led by one copy of it.
+    """
+    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("n"))
+    dealt = pairs.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), "n").cast("int").alias("slice"))
+    leaders = slices.join(texts, slices["a"] == texts["fp"]).select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"), F.lit(None).cast("binary").alias("b"), "t")
+    rest = dealt.join(texts, dealt["b"] == texts["fp"]).select("a", "slice", "b", "t")
+    met = leaders.unionByName(rest).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.empty(0, np.uint64)
         for x in batches:
-            ok = [jaccard(p.as_py(), q.as_py(), width) >= similarity for p, q in zip(x.column("ta"), x.column("tb"), strict=True)]
+            ok = []
+            for b, t in zip(x.column("b"), x.column("t"), strict=True):
+                other = np.unique(shingle_hashes(t.as_py() or b"", width))
+                if not b.is_valid:
+                    mine = other
+                ok.append(b.is_valid and overlap(mine, other) >= similarity)
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    same = pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
-    return links.filter(F.col("bits") <= sure).select("a", "b").unionByName(same)
+    return met.mapInArrow(run, "a binary, b binary")
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of sorted distinct hashes; 1 for two empty sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def similar_classes(docs: DataFrame, marked: DataFrame, nodes: DataFrame, radius: int, masks: list[int], wide: int,
-                    similarity: float, sure: int, width: int, key: str, text: str) -> DataFrame:
+                    similarity: float, width: int, key: str, text: str) -> DataFrame:
     """node, component over all links within the radius whose texts have the similarity.
 
     The spanning links join all candidates. Where each link of a group holds, the group stands. A group with links
-    that fail is searched again for candidates between its parts, more of them each time, until none is left out.
+    that fail is searched again from all but its largest part for candidates in other parts, more of them each time,
+    until none is left out.
     """
     rough = cut(fingerprint_links(nodes, radius, masks, wide, TAIL))
-    good = cut(verified(rough, docs, marked, sure, similarity, width, key, text))
-    whole = connected_components(rough.select("a", "b")).select("node", F.col("component").alias("whole"))
+    texts = cut(texts_of(rough, docs, marked, key, text))
+    tried = cut(pairs_of(rough))
+    good = cut(verified(tried, texts, similarity, width))
+    whole = cut(connected_components(rough.select("a", "b")).select("node", F.col("component").alias("whole")))
     most = MOST
     while True:
-        classes = connected_components(good)
+        classes = cut(connected_components(good))
         parts = whole.join(classes, "node", "left").select("node", "whole", F.coalesce("component", "node").alias("part"))
-        broken = parts.groupBy("whole").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-        again = cut(parts.join(broken, "whole", "left_semi").select(F.col("node").alias("fp"), F.xxhash64("part").alias("g")))
+        sizes = parts.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"))
+        broken = sizes.groupBy("whole").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "part")).alias("top")).filter("k > 1").select("whole", F.col("top.part").alias("top"))
+        again = cut(parts.join(broken, "whole").select(F.col("node").alias("fp"), F.xxhash64("part").alias("g"), (F.col("part") != F.col("top")).alias("asks")))
         if again.isEmpty():
             return classes
         found = cut(fingerprint_links(again, radius, masks, wide, TAIL, most))
-        good = cut(good.unionByName(verified(found.select("a", "b", "bits"), docs, marked, sure, similarity, width, key, text)).distinct())
-        if found.filter("more").isEmpty():
-            return connected_components(good)
-        most *= MORE
+        new = cut(pairs_of(found).join(tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti"))
+        fresh = cut(verified(new, texts, similarity, width))
+        if not fresh.isEmpty():
+            good = good.unionByName(fresh)
+        elif found.filter("more").isEmpty():
+            return classes
+        tried, most = tried.unionByName(new), most * MORE
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE,
-               wide: int = 1, masks: list[int] | None = None, similarity: float | None = None, sure: int = -1) -> DataFrame:
+               wide: int = 1, masks: list[int] | None = None, similarity: float | None = None) -> DataFrame:
     """One row for each document row: __id, __k1, __k2, fp, component_id, component (the class as a fingerprint).
 
     Without masks the search is exact for 64 bits: every pair within the radius is linked. With a similarity, texts of
-    the same shingle set are one and links of more than `sure` bits are checked by the exact Jaccard similarity of
-    their texts.
+    the same shingle set are one and every link is checked by the exact Jaccard similarity of their texts.
     """
     marked = cut(fingerprints(docs, key, text, width, wide, similarity is not None))
     distinct = cut(marked.groupBy("fp").agg(F.min("__id").alias("low")))
@@ -403,13 +448,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
     if similarity is None:
         classes = connected_components(fingerprint_links(distinct.select("fp"), radius, masks, wide))
     else:
-        classes = similar_classes(docs, marked, distinct.select("fp"), radius, masks, wide, similarity, sure, width, key, text)
-    named = distinct.join(classes, distinct["fp"] == classes["node"], "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component")
-    )
+        classes = similar_classes(docs, marked, distinct.select("fp"), radius, masks, wide, similarity, width, key, text)
+    named = cut(distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(lowest, "component").select("fp", "component_id", "component")
-    return marked.join(by_fp, "fp").select("__id", "__k1", "__k2", "fp", "component_id", "component")
+    by_fp = cut(hot_join(named.select("fp", "component"), lowest, ["component"]).select("fp", "component_id", "component"))
+    return hot_join(marked, by_fp, ["fp"]).select("__id", "__k1", "__k2", "fp", "component_id", "component")
 
 
 #: Near copies of a Jaccard similarity of 0.8 or more over five-word shingles: their 512-bit fingerprints differ in

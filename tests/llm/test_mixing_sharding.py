@@ -112,8 +112,11 @@ def test_slots_follow_the_mix(spark, docs, monkeypatch):
     got = corpus_pipeline.place_in_shards(spark, mixed.repartition(3), "").toPandas()
     expected = mixing.mix(docs).toPandas()
     assert sorted(got["mix_position"]) == list(range(len(expected)))
-    source = lambda t: t.sort_values("mix_position")["source"].fillna("").tolist()
-    assert source(got) == source(expected)
+    in_order = lambda t: t.sort_values("mix_position")[["source", "doc_id"]].fillna("").values.tolist()
+    assert in_order(got) == in_order(expected)
+    assert {(r.doc_id, r.text, r.size, r.text_crc32, r.shard) for r in got.itertuples() if r.text and r.doc_id == r.doc_id} == {
+        (r.doc_id, r.text, r.size, r.text_crc32, r.shard) for r in sharding.shard_rows(docs, corpus_pipeline.SHARDS).toPandas().itertuples() if r.text and r.doc_id == r.doc_id
+    }
     for _, g in got.sort_values("mix_position").groupby("shard"):
         assert list(g["slot"]) == list(range(len(g)))
 

@@ -203,7 +203,7 @@ def test_doubtful_links_are_checked(spark):
     assert 0.8 <= far[1] < 0.86 and far[2] < 0.5
     assert [round(simhash.jaccard(texts[0].encode(), t.encode(), 5), 9) for t in texts] == [round(x, 9) for x in far]
     docs = spark.createDataFrame([*enumerate(texts), (3, texts[1]), (4, None), (5, "")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(docs, **simhash.SIMILAR | {"radius": 300, "sure": 0}).collect()) == [0, 2, 4]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, **simhash.SIMILAR | {"radius": 300}).collect()) == [0, 2, 4]
 
 
 def test_near_copies_leave_one(spark):
