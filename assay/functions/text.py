@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,15 +49,69 @@ def ipv4(host: Column) -> Column:
     return F.when(ok & F.forall(parts, lambda p: p <= 255), value)
 
 
-# Address ranges that must not be fetched, as (first, bits, reason), most specific first.
+# Address ranges that must not be fetched and why, and public ranges inside them; the first match counts.
 RANGES = (
-    ("127.0.0.0", 8, "loopback address"), ("169.254.0.0", 16, "link-local address"), ("10.0.0.0", 8, "private address"), ("172.16.0.0", 12, "private address"),
-    ("192.168.0.0", 16, "private address"), ("0.0.0.0", 8, "private address"), ("224.0.0.0", 4, "reserved address"), ("240.0.0.0", 4, "reserved address"),
+    ("127.0.0.0/8", "loopback address"), ("169.254.0.0/16", "link-local address"), ("192.0.0.9/32", "ok"), ("192.0.0.10/32", "ok"),
+    ("0.0.0.0/8", "private address"), ("10.0.0.0/8", "private address"), ("172.16.0.0/12", "private address"), ("192.0.0.0/24", "private address"),
+    ("192.0.2.0/24", "private address"), ("192.168.0.0/16", "private address"), ("198.18.0.0/15", "private address"), ("198.51.100.0/24", "private address"),
+    ("203.0.113.0/24", "private address"), ("240.0.0.0/4", "private address"), ("224.0.0.0/4", "reserved address"),
 )
+RANGES_6 = (
+    ("::1/128", "loopback address"), ("fe80::/10", "link-local address"), ("2001:1::1/128", "ok"), ("2001:1::2/128", "ok"), ("2001:3::/32", "ok"),
+    ("2001:4:112::/48", "ok"), ("2001:20::/28", "ok"), ("2001:30::/28", "ok"), ("::/128", "private address"), ("64:ff9b:1::/48", "private address"),
+    ("100::/64", "private address"), ("2001::/23", "private address"), ("2001:db8::/32", "private address"), ("3fff::/20", "private address"),
+    ("fc00::/7", "private address"), ("ff00::/8", "reserved address"), ("::/8", "reserved address"), ("100::/8", "reserved address"),
+    ("200::/7", "reserved address"), ("400::/6", "reserved address"), ("800::/5", "reserved address"), ("1000::/4", "reserved address"),
+    ("4000::/3", "reserved address"), ("6000::/3", "reserved address"), ("8000::/3", "reserved address"), ("a000::/3", "reserved address"),
+    ("c000::/3", "reserved address"), ("e000::/4", "reserved address"), ("f000::/5", "reserved address"), ("f800::/6", "reserved address"),
+    ("fe00::/9", "reserved address"),
+)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value in the expression and computed only once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ipv6_hex(host: Column) -> Column:
+    """The 32 hex digits of a bracketed address in any spelling, else NULL."""
+    def spell(body: Column) -> Column:
+        """A dotted tail as two groups of hex digits."""
+        low = lambda x: F.concat(F.regexp_replace(body, r"[0-9]+\.[0-9.]+$", ""), F.substring(x, 1, 4), F.lit(":"), F.substring(x, 5, 4))
+        return F.when(~body.contains("."), body).otherwise(let(F.lpad(F.lower(F.hex(ipv4(F.regexp_extract(body, r"([0-9.]+)$", 1)))), 8, "0"), low))
+
+    def whole(spelled: Column) -> Column:
+        parts = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(spelled, "::"), F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+
+        def groups(x: Column) -> Column:
+            given = F.size(x["left"]) + F.size(x["right"])
+            zeros = F.array_repeat(F.lit("0"), F.when(x["halves"] == 2, F.greatest(8 - given, F.lit(0))).otherwise(0))
+            fits = F.when(x["halves"] == 2, given < 8).otherwise((given == 8) & ~spelled.rlike("^:|:$"))
+            ok = (spelled != "") & (x["halves"] <= 2) & fits & ~spelled.contains(":::")
+            full = lambda g: F.when(ok & F.forall(g, lambda p: p.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(g, lambda p: F.lpad(p, 4, "0")), ""))
+            return let(F.concat(x["left"], zeros, x["right"]), full)
 
+        return let(F.struct(parts(0).alias("left"), parts(1).alias("right"), F.size(F.split(spelled, "::")).alias("halves")), groups)
 
-def _number(dotted: str) -> int:
-    return reduce(lambda a, p: a * 256 + int(p), dotted.split("."), 0)
+    return let(F.regexp_extract(host, r"^\[([0-9a-f:.]+)(?:%[^\]]*)?\]$", 1), lambda body: let(spell(body), whole))
+
+
+def _first_match(value: Column, ranges: tuple, spell: Callable) -> Column:
+    """The reason of the first range that holds the value, else `ok`."""
+    nets = [(ipaddress.ip_network(net), reason) for net, reason in ranges]
+    table = F.array(*[F.struct(F.lit(spell(n.network_address)).alias("lo"), F.lit(spell(n.broadcast_address)).alias("hi"), F.lit(r).alias("reason")) for n, r in nets])
+    return F.coalesce(F.get(F.filter(table, lambda x: (value >= x["lo"]) & (value <= x["hi"])), F.lit(0))["reason"], F.lit("ok"))
+
+
+def address_policy(host: Column) -> Column:
+    """`ok` or why a literal address must not be fetched; NULL where the host is a name. An IPv4 address inside IPv6
+    (mapped, 6to4) is judged as itself."""
+    def judge(six: Column) -> Column:
+        inner = F.when(six.startswith("0" * 20 + "ffff"), F.substring(six, 25, 8)).when(six.startswith("2002"), F.substring(six, 5, 8))
+        by_four = lambda number: F.when(number.isNotNull(), _first_match(number, RANGES, int)).when(six.isNotNull(), _first_match(six, RANGES_6, lambda a: f"{int(a):032x}"))
+        return let(F.coalesce(ipv4(host), F.conv(inner, 16, 10).cast("bigint")), by_four)
+
+    return let(ipv6_hex(host), judge)
 
 
 def url_policy(url: Column, allow_http: bool = False) -> Column:
@@ -63,13 +119,13 @@ def url_policy(url: Column, allow_http: bool = False) -> Column:
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)), r"\.$", "")
     streaming = reduce(lambda a, b: a | b, [(host == h) | host.endswith("." + h) for h in STREAMING_HOSTS])
-    number = ipv4(host)
-    out = F.when((F.coalesce(url, F.lit("")) == "") | (F.length(url) > MAX_URL), "missing or too long")
-    out = out.when(~scheme.isin("http", "https"), "unsupported scheme")
-    if not allow_http:
-        out = out.when(scheme == "http", "insecure scheme")
-    out = out.when(host == "", "no host").when(streaming, "streaming platform").when((host == "localhost") | host.endswith(".localhost") | host.isin("[::1]", "[::]"), "loopback address")
-    for first, bits, reason in RANGES:
-        lo = _number(first)
-        out = out.when((number >= lo) & (number < lo + (1 << (32 - bits))), reason)
-    return out.when(host.rlike(r"^\[(f[cd]|fe[89ab])"), "private address").otherwise("ok")
+    name = (host == "localhost") | host.endswith(".localhost")
+
+    def by_address(address: Column) -> Column:
+        out = F.when((F.coalesce(url, F.lit("")) == "") | (F.length(url) > MAX_URL), "missing or too long").when(~scheme.isin("http", "https"), "unsupported scheme")
+        if not allow_http:
+            out = out.when(scheme == "http", "insecure scheme")
+        out = out.when((host == "") | (host.startswith("[") & address.isNull()), "no host").when(streaming, "streaming platform").when(name, "loopback address")
+        return out.when(address.isNotNull(), address).otherwise("ok")
+
+    return let(address_policy(host), by_address)

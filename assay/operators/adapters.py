@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assay.operators.corpus import pair_components
 
+# Folder names of the methods and generators, which must match the collections.
 FFPP_METHODS = ("Deepfakes", "Face2Face", "FaceSwap", "NeuralTextures", "FaceShifter")
 GENERATORS = ("stylegan2", "stylegan", "tpdn", "diffusion", "stable-diffusion")
 

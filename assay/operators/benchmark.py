@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.verdicts import int_or_null, is_inconclusive
 from assay.operators.metrics import long_rows, ratio
+from assay.operators.percentiles import with_percentiles
 
 #: The manipulation types that count as face swaps.
 FACE_SWAP_TYPES = ("face_swap", "face-swap", "deepfakes", "faceswap", "faceshifter", "celeb-synthesis", "dfdc")
@@ -60,6 +61,10 @@ def safe_relative_path(p: Column) -> tuple[Column, Column]:
     return F.when(error.isNull(), F.array_join(parts, "/")), error
 
 
+#: Shared ids that a report shows.
+SHOWN = 20
+
+
 def metadata_index(rows: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
     """(index, errors): the first row of each safe path, and an error with its line for every other row."""
     path, error = safe_relative_path(F.col("relative_path"))
@@ -71,13 +76,15 @@ def metadata_index(rows: DataFrame, line: str = "line") -> tuple[DataFrame, Data
 
 
 def identity_overlap(evaluated: DataFrame, trained: DataFrame, column: str = "identity_id") -> DataFrame:
-    """Three-valued status, and the shared ids in order."""
+    """Three-valued status, the number of shared ids and the first SHOWN of them in order."""
     ids = lambda df: df.select(F.col(column).cast("string").alias("id")).filter("coalesce(id, '') <> ''").distinct()
     a, b = ids(evaluated), ids(trained)
-    shared = a.join(b, "id", "left_semi").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    both = a.join(b, "id", "left_semi")
+    shown = both.orderBy("id").limit(SHOWN).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    shared = both.agg(F.count(F.lit(1)).alias("n_shared")).crossJoin(shown)
     sizes = a.agg(F.count(F.lit(1)).alias("na")).crossJoin(b.agg(F.count(F.lit(1)).alias("nb")))
     status = F.when((F.col("na") == 0) | (F.col("nb") == 0), "cannot_verify").when(F.size("ids") > 0, "overlap").otherwise("no_overlap")
-    return sizes.crossJoin(shared).select(status.alias("status"), F.col("na").alias("n_eval"), F.col("nb").alias("n_train"), F.array_join("ids", ",").alias("shared"))
+    return sizes.crossJoin(shared).select(status.alias("status"), F.col("na").alias("n_eval"), F.col("nb").alias("n_train"), "n_shared", F.array_join("ids", ",").alias("shared"))
 
 
 def resolution_bucket(w: Column, h: Column) -> Column:
@@ -135,11 +142,7 @@ def tally_columns(all_rows: bool) -> list[Column]:
     ]
 
 
-def latency_columns() -> list[Column]:
-    return [
-        F.avg("latency_ms").alias("mean_ms"), F.expr("percentile(latency_ms, 0.5)").alias("median_ms"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95_ms"),
-    ]
+LATENCY = {"median_ms": ("cont", 0.5), "p95_ms": ("disc", 0.95)}
 
 
 def tally_rates(df: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ def benchmark_metrics(rows: DataFrame) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return rows.groupBy(*(by or [])).agg(*latency_columns())
+    return with_percentiles(rows.groupBy(*(by or [])).agg(F.avg("latency_ms").alias("mean_ms")), rows, "latency_ms", LATENCY, by)
 
 
 def subgroup_report(joined: DataFrame) -> DataFrame:
@@ -171,7 +174,8 @@ def subgroup_report(joined: DataFrame) -> DataFrame:
         ("real_phone_photo_samples", (F.col("label") == "real") & (F.lower(F.trim("source_dataset")) == "real_phone")),
     )
     member = joined.withColumn("subgroup", F.explode(names))
-    return tally_rates(member.groupBy("subgroup").agg(*tally_columns(all_rows=True), *latency_columns()))
+    tallies = member.groupBy("subgroup").agg(*tally_columns(all_rows=True), F.avg("latency_ms").alias("mean_ms"))
+    return tally_rates(with_percentiles(tallies, member.select("subgroup", "latency_ms"), "latency_ms", LATENCY, ["subgroup"]))
 
 
 def quality_report(manifest: DataFrame) -> DataFrame:

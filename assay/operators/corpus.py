@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.operators.graph import connected_components
 from assay.operators.metrics import ratio
-from assay.operators.ordering import running_before, seeded
+from assay.operators.ordering import first_of_each, running_before, seeded
+from assay.operators.percentiles import percentiles
 from assay.session import cut
 
 # The closed vocabularies.
@@ -139,13 +141,23 @@ def face_quality_status(rows: DataFrame, reject_multiple: bool = False) -> DataF
     return rows.withColumn("status", F.when(reason.isNull(), "ACCEPTED").otherwise("REJECTED")).withColumn("rejection_reason", F.coalesce(reason, F.lit("")))
 
 
+#: Ids of a set that a report shows; rows in one block of a pair search; rounds of joins in the search for keepers.
+SHOWN, BLOCK, ROUNDS = 20, 2_000, 8
+
+
 def exact_duplicate_sets(rows: DataFrame) -> DataFrame:
-    """Sets of two or more ACCEPTED or SEALED rows with one digest: ids in order, and whether they span groups."""
-    live = rows.filter(F.col("status").isin("ACCEPTED", "SEALED") & (F.coalesce("sha256", F.lit("")) != ""))
-    return live.groupBy("sha256").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "sample_id"))), lambda x: x["sample_id"]).alias("ids"),
-        F.countDistinct("group_id").alias("n_groups"),
-    ).filter(F.size("ids") > 1)
+    """Sets of two or more ACCEPTED or SEALED rows with one digest: how many rows and groups, the first row's ord and id,
+    and the first SHOWN ids in order. A set's members are found by their digest, so no row holds them all."""
+    live = rows.filter(_in_sets())
+    first = F.min(F.struct("ord", "sample_id"))
+    sets = live.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_id").alias("n_groups"), first.alias("f")).filter("n > 1")
+    shown = first_of_each(live.select("sha256", "ord", "sample_id"), ["sha256"], [F.col("ord"), F.col("sample_id")], SHOWN)
+    ids = shown.groupBy("sha256").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sample_id"))), lambda x: x["sample_id"]).alias("ids"))
+    return sets.join(ids, "sha256").select("sha256", "n", "n_groups", F.col("f.ord").alias("first_ord"), F.col("f.sample_id").alias("first_id"), "ids")
+
+
+def _in_sets() -> Column:
+    return F.col("status").isin("ACCEPTED", "SEALED") & (F.coalesce("sha256", F.lit("")) != "")
 
 
 def hamming_bits(a: Column, b: Column) -> Column:
@@ -159,10 +171,12 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.when(usable, bits).otherwise(64)
 
 
-def near_pairs(rows: DataFrame, d: int = NEAR_BITS) -> DataFrame:
+def near_pairs(rows: DataFrame, d: int = NEAR_BITS, block: int = BLOCK) -> DataFrame:
     """Pairs a < b of one group whose 64-bit hashes differ in at most d bits.
 
-    For small d the rows are blocked by d + 1 bit bands: close hashes agree on one, so the result is exact.
+    For small d the rows are blocked by d + 1 bit bands: close hashes agree on one, so the result is exact. What one key
+    holds is dealt into blocks of about `block` rows, and each pair of blocks meets in a task of its own, so a group
+    with a third of all rows spreads over many tasks.
     """
     live = rows.filter("phash IS NOT NULL").select("group_id", "sample_id", "phash")
     keys = ["group_id"]
@@ -174,27 +188,53 @@ def near_pairs(rows: DataFrame, d: int = NEAR_BITS) -> DataFrame:
         ])
         live = live.withColumn("band", F.explode(band))
         keys = ["group_id", "band"]
-    a = live.select(*keys, F.col("sample_id").alias("a"), F.col("phash").alias("ha"))
-    b = live.select(*keys, F.col("sample_id").alias("b"), F.col("phash").alias("hb"))
+    sizes = live.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k"))
+    dealt = live.join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64("sample_id"), "_k").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    a = dealt.select(*keys, F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.col("sample_id").alias("a"), F.col("phash").alias("ha"))
+    b = dealt.select(*keys, F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.col("sample_id").alias("b"), F.col("phash").alias("hb"))
     bits = hamming_bits(F.col("ha"), F.col("hb"))
-    pairs = a.join(b, keys).filter((F.col("a") < F.col("b")) & (bits <= d)).select("group_id", "a", "b", bits.alias("bits"))
+    pairs = a.join(b, [*keys, "_i", "_j"]).filter((F.col("a") < F.col("b")) & (bits <= d)).select("group_id", "a", "b", bits.alias("bits"))
     return pairs.distinct() if len(keys) > 1 else pairs
 
 
+def _walk_components(edges: DataFrame) -> DataFrame:
+    """(group_id, a) dropped by walking each component's ids in order."""
+    node = lambda c: F.struct("group_id", F.col(c).alias("id"))
+    if edges.isEmpty():
+        return edges.select("group_id", "a")
+    classes = connected_components(edges.select(node("a").alias("a"), node("b").alias("b")))
+    named = edges.join(classes, node("a") == F.col("node")).select("component", "group_id", "a", "b")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        after = pdf.groupby("a")["b"].apply(list).to_dict()
+        gone: set = set()
+        for a in sorted(after):
+            if a not in gone:
+                gone.update(after[a])
+        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]] * len(gone), "a": sorted(gone)})
+
+    kinds = dict(edges.dtypes)
+    return named.groupBy("component").applyInPandas(walk, f"group_id {kinds['group_id']}, a {kinds['a']}")
+
+
 def near_duplicate_keepers(rows: DataFrame, d: int = NEAR_BITS) -> DataFrame:
     """(keeper, dropped): walking ids in order, a row goes if an earlier kept row of its group is within d bits.
 
-    Rounds of joins: a row without undecided or kept smaller neighbours is kept, and its neighbours go.
+    Rounds of joins: a row without undecided or kept smaller neighbours is kept, and its neighbours go. What is still
+    undecided after ROUNDS of them (long chains of near rows) is walked in order, component by component.
     """
     edges = cut(near_pairs(rows, d).select("group_id", "a", "b"))
     left, dropped = edges, edges.select("group_id", F.col("b").alias("a")).limit(0)
-    while left.take(1):
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            break
         blocked = left.select("group_id", F.col("b").alias("a")).distinct()
         kept = cut(left.select("group_id", "a").distinct().join(blocked, ["group_id", "a"], "left_anti"))
         gone = cut(left.join(kept, ["group_id", "a"], "left_semi").select("group_id", F.col("b").alias("a")).distinct())
         dropped = dropped.unionByName(gone)
         out = kept.unionByName(gone)
         left = cut(left.join(out, ["group_id", "a"], "left_anti").join(gone.withColumnRenamed("a", "b"), ["group_id", "b"], "left_anti"))
+    dropped = dropped.unionByName(_walk_components(left))
     # the first keeper of a dropped row is its smallest neighbour that was never dropped
     by_keeper = edges.join(dropped, ["group_id", "a"], "left_anti").join(dropped.withColumnRenamed("a", "b"), ["group_id", "b"], "left_semi")
     return by_keeper.groupBy("b").agg(F.min("a").alias("keeper")).select("keeper", F.col("b").alias("dropped"))
@@ -202,17 +242,21 @@ def near_duplicate_keepers(rows: DataFrame, d: int = NEAR_BITS) -> DataFrame:
 
 def assign_duplicate_status(rows: DataFrame, exact: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Redundant ACCEPTED rows become REJECTED: all copies of a set that spans groups, later exact copies, near copies."""
-    spans = exact.filter("n_groups > 1").select(F.explode("ids").alias("_id"), F.lit(0).alias("_p"))
-    later = exact.select(F.explode(F.slice("ids", 2, F.size("ids"))).alias("_id"), F.lit(1).alias("_p"))
-    marks = spans.unionByName(later)
+    sets = exact.select(F.col("sha256").alias("_sha"), "n_groups", "first_ord", "first_id")
+    rows_, types = rows.columns, dict(rows.dtypes)
+    marked = rows.join(sets, (F.col("sha256") == F.col("_sha")) & _in_sets(), "left")
+    later = ~(F.col("ord").eqNullSafe(F.col("first_ord")) & F.col("sample_id").eqNullSafe(F.col("first_id")))
+    copy = F.when(F.col("n_groups") > 1, 0).when(F.col("_sha").isNotNull() & later, 1)
     if near is not None:
-        marks = marks.unionByName(near.select(F.col("dropped").cast(rows.schema["sample_id"].dataType).alias("_id"), F.lit(2).alias("_p")))
-    best = marks.groupBy("_id").agg(F.min("_p").alias("_p"))
+        gone = near.select(F.col("dropped").cast(types["sample_id"]).alias("_id")).distinct()
+        marked = marked.join(gone, F.col("sample_id") == F.col("_id"), "left")
+        copy = F.coalesce(copy, F.when(F.col("_id").isNotNull(), 2))
+    marked = marked.withColumn("_p", copy)
     hit = F.col("_p").isNotNull() & (F.col("status") == "ACCEPTED")
     reason = F.element_at(F.array(F.lit("UNSAFE_GROUP"), F.lit("EXACT_DUPLICATE"), F.lit("NEAR_DUPLICATE")), F.coalesce("_p", F.lit(0)) + 1)
-    return rows.join(best, F.col("sample_id") == F.col("_id"), "left").withColumns({
+    return marked.withColumns({
         "rejection_reason": F.when(hit, reason).otherwise(F.col("rejection_reason")), "status": F.when(hit, "REJECTED").otherwise(F.col("status")),
-    }).drop("_id", "_p")
+    }).select(*rows_)
 
 
 def group_split(rows: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -260,7 +304,7 @@ def group_leakage(rows: DataFrame) -> DataFrame:
 
 def duplicate_leakage(exact: DataFrame, rows: DataFrame) -> DataFrame:
     """Sets with members on two sides, and sets that span groups with a surviving member."""
-    members = exact.select("sha256", (F.col("n_groups") > 1).alias("spans"), F.explode("ids").alias("sample_id")).join(rows.select("sample_id", "split", "status"), "sample_id")
+    members = rows.select("sha256", "split", "status").join(exact.select("sha256", (F.col("n_groups") > 1).alias("spans")), "sha256")
     per = members.groupBy("sha256").agg(F.countDistinct("split").alias("sides"), F.max(F.col("spans") & (F.col("status") == "ACCEPTED")).alias("survivor"))
     return per.filter("sides > 1 OR survivor").select("sha256", F.when(F.col("sides") > 1, "two sides").otherwise("survivor of a cross-group set").alias("problem"))
 
@@ -369,7 +413,7 @@ def balance_caps(rows: DataFrame, per_group: int = 40, method_share: float = 0.4
 
 def image_quality_filters(rows: DataFrame, blur_percentile: float = 0.05, max_yaw: float = 60.0, luma: tuple[float, float] = (30.0, 225.0), aspect: float = 3.0) -> DataFrame:
     """rows plus quality_reason from measured features: blur under its dataset's percentile, yaw, luma, aspect."""
-    cutoffs = rows.groupBy("dataset").agg(F.expr(f"percentile(blur, {blur_percentile})").alias("_cut"))
+    cutoffs = percentiles(rows, "blur", {"_cut": ("cont", blur_percentile)}, ["dataset"])
     ratio_ = F.greatest("width", "height") / F.nullif(F.least("width", "height"), F.lit(0))
     reason = (
         F.when(F.col("blur") < F.col("_cut"), "blurred").when(F.abs("yaw") > max_yaw, "yaw")

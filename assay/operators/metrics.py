@@ -12,7 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.operators.percentiles import with_percentiles
+from assay.session import cut
+
 CELLS = 1024
+WEIGHT = "_weight"
 RATES = ("accuracy", "precision", "recall", "specificity", "f1", "fpr", "fnr")
 
 
@@ -32,11 +36,27 @@ def check_labels(preds: DataFrame) -> DataFrame:
 
 
 def score_counts(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
+    n = weight(preds)
     return check_labels(preds).groupBy(*(by or []), "p_fake").agg(
-        F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg")
+        F.sum(F.col("y_true") * n).alias("pos"), F.sum((1 - F.col("y_true")) * n).alias("neg")
     )
 
 
+def weight(preds: DataFrame) -> Column:
+    """How many predictions a row stands for: the column WEIGHT of `condensed`, else one."""
+    return F.col(WEIGHT) if WEIGHT in preds.columns else F.lit(1)
+
+
+def mean(value: Column, n: Column) -> Column:
+    """The weighted mean; values that are NULL do not count."""
+    return F.sum(value * n) / F.nullif(F.sum(F.when(value.isNotNull(), n)), F.lit(0))
+
+
+def condensed(preds: DataFrame) -> DataFrame:
+    """Equal predictions of a source as one row with a WEIGHT: all that most sections of a report read."""
+    return preds.groupBy("label", "source", "y_true", "p_fake").agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
 def _same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_{c}"]) for c in by])
 
@@ -124,6 +144,11 @@ def threshold_sweep(preds: DataFrame, thresholds: list[float], by: list[str] | N
     return with_rates(tallies)
 
 
+def full_sweep(preds: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The sweep with the areas beside each threshold, as reports show them."""
+    return threshold_sweep(preds, thresholds).crossJoin(F.broadcast(areas(preds)))  # one row of areas
+
+
 def threshold_for_fpr(preds: DataFrame, target: float) -> DataFrame:
     """(threshold, fpr, recall): the lowest distinct score with FPR at most target, else just above 1."""
     run = running_counts(score_counts(preds))
@@ -140,7 +165,7 @@ def threshold_for_fpr(preds: DataFrame, target: float) -> DataFrame:
 
 
 def brier(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return preds.groupBy(*(by or [])).agg(F.avg(F.pow(F.col("p_fake") - F.col("y_true"), 2)).alias("brier"))
+    return preds.groupBy(*(by or [])).agg(mean(F.pow(F.col("p_fake") - F.col("y_true"), 2), weight(preds)).alias("brier"))
 
 
 def _bins(bins: int, mode: str) -> list[tuple[int, float, float]]:
@@ -163,11 +188,12 @@ def reliability(preds: DataFrame, bins: int = 10, mode: str = "probability") ->
     for i, lo in spots:
         where = F.when(value >= lo, i).otherwise(where)
     return (
-        preds.select(where.alias("bin"), value.alias("v"), event.alias("e"))
+        preds.select(where.alias("bin"), value.alias("v"), event.alias("e"), weight(preds).alias("w"))
         .filter("bin IS NOT NULL")
         .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_score"), F.avg("e").alias("observed"))
+        .agg(F.sum("w").cast("bigint").alias("n"), mean(F.col("v"), F.col("w")).alias("mean_score"), mean(F.col("e"), F.col("w")).alias("observed"))
         .withColumn("gap", F.col("observed") - F.col("mean_score"))
+        .withColumns({c: F.element_at(F.array(*[F.lit(b[k]) for b in _bins(bins, mode)]), F.col("bin") + 1) for k, c in ((1, "lo"), (2, "hi"))})
     )
 
 
@@ -190,26 +216,28 @@ def band_accuracy(preds: DataFrame, lowers: list[int] | None = None) -> DataFram
     """Accuracy of each confidence band [lo, hi), empty bands kept; the top band ends at 101."""
     lowers = sorted(lowers or [lo for _, lo in BANDS])
     spark = preds.sparkSession
-    bands = spark.createDataFrame([(lo, hi) for lo, hi in zip(lowers, [*lowers[1:], 101], strict=True)], "lo int, hi int")
+    named = {lo: name for name, lo in BANDS}
+    bands = spark.createDataFrame([(named.get(lo), lo, hi) for lo, hi in zip(lowers, [*lowers[1:], 101], strict=True)], "band string, lo int, hi int")
     right = (F.col("p_fake") >= 0.5) == (F.col("y_true") == 1)
     band = F.lit(None).cast("int")
     for lo in lowers:
         band = F.when(confidence(F.col("p_fake")) >= lo, F.lit(lo)).otherwise(band)
-    seen = preds.select(band.alias("lo"), right.cast("int").alias("ok")).groupBy("lo").agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("accuracy"))
-    return bands.join(F.broadcast(seen), "lo", "left").select("lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), "accuracy")
+    seen = preds.select(band.alias("lo"), right.cast("int").alias("ok"), weight(preds).alias("w")).groupBy("lo").agg(F.sum("w").cast("bigint").alias("n"), mean(F.col("ok"), F.col("w")).alias("accuracy"))
+    return bands.join(F.broadcast(seen), "lo", "left").select("band", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), "accuracy")
 
 
 def bin_occupancy(preds: DataFrame) -> DataFrame:
     """Share of the predictions in each band, and whether it is empty."""
     bands = band_accuracy(preds)
     total = bands.agg(F.sum("n").alias("total"))
-    return bands.crossJoin(F.broadcast(total)).select("lo", "hi", "n", ratio(F.col("n"), F.col("total")).alias("share"), (F.col("n") == 0).alias("is_empty"))
+    return bands.crossJoin(F.broadcast(total)).select("band", "lo", "hi", "n", ratio(F.col("n"), F.col("total")).alias("share"), (F.col("n") == 0).alias("is_empty"))
 
 
 def per_source(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
     """By label and source: n, mean score, and the FPR of real or the recall of fake sources."""
-    rate = F.avg((F.col("p_fake") >= threshold).cast("double"))
-    return preds.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"), F.avg("p_fake").alias("mean_p"), rate.alias("called_fake")).select(
+    n = weight(preds)
+    rate = mean((F.col("p_fake") >= threshold).cast("double"), n)
+    return preds.groupBy("label", "source").agg(F.sum(n).cast("bigint").alias("n"), mean(F.col("p_fake"), n).alias("mean_p"), rate.alias("called_fake")).select(
         "label", "source", "n", "mean_p",
         F.when(F.col("label") == "real", F.col("called_fake")).alias("fpr"),
         F.when(F.col("label") == "fake", F.col("called_fake")).alias("recall"),
@@ -253,7 +281,8 @@ def robustness(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def score_distribution(preds: DataFrame) -> DataFrame:
     """Lowest, median and highest score by class, with the gap from the highest real to the lowest fake."""
-    per = preds.groupBy("label").agg(F.min("p_fake").alias("low"), F.expr("percentile(p_fake, 0.5)").alias("median"), F.max("p_fake").alias("high"))
+    ends = preds.groupBy("label").agg(F.min("p_fake").alias("low"), F.max("p_fake").alias("high"))
+    per = with_percentiles(ends, preds, "p_fake", {"median": ("cont", 0.5)}, ["label"]).select("label", "low", "median", "high")
     gap = per.agg((F.min(F.when(F.col("label") == "fake", F.col("low"))) - F.max(F.when(F.col("label") == "real", F.col("high")))).alias("gap"))
     return per.crossJoin(F.broadcast(gap))
 
@@ -311,6 +340,8 @@ def evaluation_report(preds: DataFrame, seen: list[str], thresholds: list[float]
     """Every section of the evaluation as one long table (section, key, metric, value); NULL is not measurable."""
     rates = ["n", "n_real", "n_fake", *RATES]
     none = F.lit("all")
+    every = preds
+    preds = cut(condensed(every))  # counted once; all sections but the last read the counts
     parts = [
         long_rows(classification_metrics(preds), "overall", none, [*rates, "roc_auc", "pr_auc"]),
         long_rows(per_source(preds), "source", F.concat_ws("/", "label", "source"), ["n", "mean_p", "fpr", "recall"]),
@@ -320,6 +351,6 @@ def evaluation_report(preds: DataFrame, seen: list[str], thresholds: list[float]
         long_rows(band_accuracy(preds), "band", F.col("lo"), ["n", "accuracy"]),
         long_rows(threshold_for_fpr(preds, target), "fpr_budget", F.lit(str(target)), ["threshold", "fpr", "recall"]),
         long_rows(generalisation_gap(preds, seen), "seen", none, ["n_seen", "n_unseen", "accuracy_gap", "recall_gap"]),
-        long_rows(independent_groups(preds), "groups", none, ["n_rows", "n_groups"]),
+        long_rows(independent_groups(every), "groups", none, ["n_rows", "n_groups"]),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 
 def seeded(seed: int | str, key: Column) -> Column:
-    """A fixed pseudo-random order of keys, the same in any layout of the data."""
-    return F.md5(F.concat(F.lit(str(seed)), key.cast("string")).cast("binary"))
+    """A fixed pseudo-random order of keys, the same in any layout of the data. A null key has a place of its own."""
+    return F.md5(F.concat(F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("\0null"))).cast("binary"))
 
 
-def running_before(df: DataFrame, order: str, values: dict[str, Column]) -> DataFrame:
-    """Add, for each name, the sum of its value over the rows with a smaller `order` (distinct hex digests).
+def running_before(df: DataFrame, order: str, values: dict[str, Column], digits: int = 3) -> DataFrame:
+    """Add, for each name, the sum of its value over the rows before a row in `order` (hex digests, none null).
 
-    Two levels: totals of 4096 leading-digit cells, then sums inside a cell.
+    Rows of equal digests follow each other in any order, so n rows always get n different counts.
+    Two levels: totals of the cells of `digits` leading digits, then sums inside a cell.
     """
-    df = df.withColumns({f"_v_{n}": c for n, c in values.items()}).withColumn("_cell", F.substring(order, 1, 3))
+    df = df.withColumns({f"_v_{n}": c for n, c in values.items()}).withColumn("_cell", F.substring(order, 1, digits))
     cells = df.groupBy("_cell").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     across = Window.orderBy("_cell")
     ahead = cells.select("_cell", *[(F.sum(f"_t_{n}").over(across) - F.col(f"_t_{n}")).alias(f"_a_{n}") for n in values])
-    inside = Window.partitionBy("_cell").orderBy(order)
+    inside = Window.partitionBy("_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) - F.col(f"_v_{n}") for n in values})
     out = local.join(F.broadcast(ahead), "_cell").withColumns({n: F.col(f"_a_{n}") + F.col(f"_l_{n}") for n in values})
     return out.drop("_cell", *[f"_{k}_{n}" for n in values for k in "vtla"])

@@ -32,8 +32,8 @@ def holdout_first(pool: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
 def budget_fill(pools: list[DataFrame], key: str, budget: int, seed: int = 42) -> DataFrame:
     """Rows of ordered pools up to the budget: an earlier pool is used up before the next one starts."""
     tagged = reduce(DataFrame.unionByName, [p.withColumn("pool", F.lit(i)) for i, p in enumerate(pools)])
-    order = F.concat(F.lpad(F.hex("pool"), 1, "0"), F.substring(seeded(seed, F.col(key)), 2, 31))
-    spread = running_before(tagged.withColumn("_order", order), "_order", {"_before": F.lit(1)})
+    order = F.concat(F.lpad(F.hex("pool"), 4, "0"), seeded(seed, F.col(key)))
+    spread = running_before(tagged.withColumn("_order", order), "_order", {"_before": F.lit(1)}, 7)  # 4096 cells a pool
     return spread.filter(F.col("_before") < budget).drop("_order", "_before")
 
 

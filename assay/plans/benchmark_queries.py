@@ -80,8 +80,8 @@ def _(spark, sf):
 
 
 @query("c4_identity_overlap", """WITH a AS (SELECT DISTINCT source AS id FROM documents WHERE doc_id % 2 = 0 AND source <> ''), b AS (SELECT DISTINCT source AS id FROM documents WHERE doc_id % 3 = 0 AND source <> '')
-  SELECT CASE WHEN na = 0 OR nb = 0 THEN 'cannot_verify' WHEN shared <> '' THEN 'overlap' ELSE 'no_overlap' END AS status, na AS n_eval, nb AS n_train, shared
-  FROM (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM a WHERE id IN (SELECT id FROM b)), '') AS shared)""")
+  SELECT CASE WHEN na = 0 OR nb = 0 THEN 'cannot_verify' WHEN shared <> '' THEN 'overlap' ELSE 'no_overlap' END AS status, na AS n_eval, nb AS n_train, n_shared, shared
+  FROM (SELECT (SELECT count(*) FROM a WHERE id IN (SELECT id FROM b)) AS n_shared, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM a WHERE id IN (SELECT id FROM b) ORDER BY id LIMIT 20)), '') AS shared)""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").withColumnRenamed("source", "identity_id")
     return b.identity_overlap(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0"))

@@ -107,9 +107,9 @@ def _(spark, sf):
 _EXACT = f"SELECT sha256, list(sample_id ORDER BY ord) AS ids, count(DISTINCT group_id) AS n_groups FROM ({MAN}) WHERE status IN ('ACCEPTED', 'SEALED') AND sha256 <> '' GROUP BY sha256 HAVING count(*) > 1"
 
 
-@query("d20_exact_duplicate_sets", f"SELECT sha256, array_to_string(ids, ',') AS ids, n_groups FROM ({_EXACT})")
+@query("d20_exact_duplicate_sets", f"SELECT sha256, len(ids) AS n, n_groups, ids[1] AS first_id, array_to_string(ids[:20], ',') AS ids FROM ({_EXACT})")
 def _(spark, sf):
-    return c.exact_duplicate_sets(view(spark, sf, "manifest")).withColumn("ids", F.array_join("ids", ","))
+    return c.exact_duplicate_sets(view(spark, sf, "manifest")).withColumn("ids", F.array_join("ids", ",")).drop("first_ord")
 
 
 def hashed(spark, sf):
@@ -254,8 +254,10 @@ def _(spark, sf):
     return items.filter("l_quantity > 45").select(F.col("l_partkey").alias("id")).intersect(items.filter("l_discount > 0.08").select("l_partkey")).orderBy("id")
 
 
-_H1 = f"""WITH RECURSIVE e AS ({duck('edges')}), links AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), reach AS (SELECT x AS node, x AS other FROM links UNION SELECT r.node, b.y FROM reach r JOIN links b ON r.other = b.x)
-  SELECT node, min(other) AS component FROM reach GROUP BY node"""
+_H1 = f"""WITH RECURSIVE e AS ({duck('edges')}), links AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+  cc(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM links
+    UNION SELECT l.y, min(c.component) FROM cc c JOIN links l ON l.x = c.node JOIN recurring.cc r ON r.node = l.y WHERE c.component < r.component GROUP BY l.y)
+  SELECT node, component FROM cc"""
 
 
 @query("h1_pair_components", _H1)

@@ -81,6 +81,12 @@ def _(spark, sf):
     return m.threshold_sweep(view(spark, sf, "pred_big"), SWEEP)
 
 
+@query("d5_full_sweep", _with(f"""SELECT s.*, a.roc_auc, a.pr_auc FROM ({_rates(f"""SELECT threshold, count(*) FILTER (WHERE y_true = 1 AND p_fake >= threshold) AS tp, count(*) FILTER (WHERE y_true = 0 AND p_fake >= threshold) AS fp,
+      count(*) FILTER (WHERE y_true = 0 AND p_fake < threshold) AS tn, count(*) FILTER (WHERE y_true = 1 AND p_fake < threshold) AS fn FROM p, ({_STEPS}) GROUP BY threshold""")}) s, ({_areas()}) a"""), (*RATES, "roc_auc", "pr_auc"))
+def _(spark, sf):
+    return m.full_sweep(view(spark, sf, "pred"), SWEEP)
+
+
 _BUDGET = """c AS (SELECT p_fake, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM p GROUP BY p_fake),
   r AS (SELECT p_fake, sum(neg) OVER w / (SELECT sum(neg) FROM c) AS fpr, sum(pos) OVER w / (SELECT sum(pos) FROM c) AS recall FROM c WINDOW w AS (ORDER BY p_fake DESC))"""
 
@@ -105,8 +111,8 @@ def _edges(mode: str, bins: int = 10) -> str:
 
 def _reliability(mode: str) -> str:
     value, event = ("p_fake", "y_true") if mode == "probability" else ("greatest(p_fake, 1 - p_fake)", "((p_fake >= 0.5e0) = (y_true = 1))::INT")
-    return f"""SELECT bin, count(*) AS n, avg(v) AS mean_score, avg(e) AS observed, avg(e) - avg(v) AS gap
-      FROM (SELECT {value} AS v, {event} AS e FROM p) JOIN ({_edges(mode)}) ON v >= lo AND v < hi GROUP BY bin"""
+    return f"""SELECT bin, lo, least(hi, 1e0) AS hi, count(*) AS n, avg(v) AS mean_score, avg(e) AS observed, avg(e) - avg(v) AS gap
+      FROM (SELECT {value} AS v, {event} AS e FROM p) JOIN ({_edges(mode)}) ON v >= lo AND v < hi GROUP BY bin, lo, hi"""
 
 
 for _mode in ("probability", "confidence"):
@@ -120,10 +126,10 @@ for _mode in ("probability", "confidence"):
         return m.calibration_error(view(spark, sf, "pred_big"), mode=mode)
 
 
-_BANDS = """(SELECT 0 AS lo, 30 AS hi UNION ALL SELECT 30, 70 UNION ALL SELECT 70, 90 UNION ALL SELECT 90, 101)"""
+_BANDS = """(SELECT 'low_evidence' AS band, 0 AS lo, 30 AS hi UNION ALL SELECT 'uncertain', 30, 70 UNION ALL SELECT 'strong', 70, 90 UNION ALL SELECT 'very_strong', 90, 101)"""
 _CONF = "round_even(100 * greatest(p_fake, 1 - p_fake), 0)"
-_BAND_SQL = f"""SELECT lo, hi, count(c) AS n, avg(ok) AS accuracy FROM {_BANDS} LEFT JOIN
-  (SELECT {_CONF} AS c, ((p_fake >= 0.5e0) = (y_true = 1))::INT AS ok FROM p) ON c >= lo AND c < hi GROUP BY lo, hi"""
+_BAND_SQL = f"""SELECT band, lo, hi, count(c) AS n, avg(ok) AS accuracy FROM {_BANDS} LEFT JOIN
+  (SELECT {_CONF} AS c, ((p_fake >= 0.5e0) = (y_true = 1))::INT AS ok FROM p) ON c >= lo AND c < hi GROUP BY band, lo, hi"""
 
 
 @query("d10_band_accuracy", _with(_BAND_SQL), ("accuracy",))
@@ -131,7 +137,7 @@ def _(spark, sf):
     return m.band_accuracy(view(spark, sf, "pred"))
 
 
-@query("k5_bin_occupancy", _with(f"SELECT lo, hi, n, n / nullif(sum(n) OVER (), 0)::DOUBLE AS share, n = 0 AS is_empty FROM ({_BAND_SQL})"), ("share",))
+@query("k5_bin_occupancy", _with(f"SELECT band, lo, hi, n, n / nullif(sum(n) OVER (), 0)::DOUBLE AS share, n = 0 AS is_empty FROM ({_BAND_SQL})"), ("share",))
 def _(spark, sf):
     return m.bin_occupancy(view(spark, sf, "pred"))
 
@@ -214,10 +220,15 @@ def _(spark, sf):
     return view(spark, sf, "frames").select("video_id", "frame_index", *[c.alias(k) for k, c in v.verdict(F.col("p_fake"), F.col("faces_found") > 0).items()])
 
 
-@query("b17_certainty_bands", """SELECT band, lo AS "from", coalesce(lag(lo) OVER (ORDER BY lo DESC), 100) AS "to"
-  FROM (VALUES ('very_strong', 90), ('strong', 70), ('uncertain', 30), ('low_evidence', 0)) AS b(band, lo) WHERE (SELECT count(*) FROM region) > 0""")
+@query("b17_certainty_bands", """SELECT band, lo AS "from", hi AS "to", count(confidence) AS n, count(confidence) FILTER (WHERE prediction = 'deepfake') AS n_deepfake
+  FROM (SELECT band, lo, coalesce(lag(lo) OVER (ORDER BY lo DESC), 100) AS hi FROM (VALUES ('very_strong', 90), ('strong', 70), ('uncertain', 30), ('low_evidence', 0)) AS b(band, lo)) b
+  LEFT JOIN ({}) s ON s.confidence >= b.lo AND (s.confidence < b.hi OR b.hi = 100) GROUP BY band, lo, hi""".format(duck("scans")))
 def _(spark, sf):
-    return v.certainty_bands(spark).join(table(spark, sf, "region").limit(1).select(F.lit(1).alias("x")), F.lit(True), "left_semi")
+    """The bands with the scans that fall into each; the highest band is closed."""
+    seen = view(spark, sf, "scans").groupBy(v.certainty_for(F.col("confidence")).alias("band")).agg(
+        F.count("confidence").alias("n"), F.count_if(F.col("prediction") == "deepfake").alias("n_deepfake"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return v.certainty_bands(spark).join(F.broadcast(seen), "band", "left").select("band", "from", "to", zero("n"), zero("n_deepfake"))
 
 
 @query("k1_fpr_interval", _with("""SELECT CASE WHEN y_true = 1 THEN 'fnr' ELSE 'fpr' END AS rate, g AS groups, w AS wrong,

@@ -177,7 +177,7 @@ def _(spark, sf):
     return sa.holdout_first(table(spark, sf, "documents").select("doc_id"), "doc_id", 100)
 
 
-_FILL = f"SELECT doc_id, pool FROM (SELECT doc_id, CASE lang WHEN 'es' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS pool, {_M} AS h FROM documents WHERE lang IN ('es', 'fr', 'de')) ORDER BY pool, substr(h, 2) LIMIT 250"
+_FILL = f"SELECT doc_id, pool FROM (SELECT doc_id, CASE lang WHEN 'es' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS pool, {_M} AS h FROM documents WHERE lang IN ('es', 'fr', 'de')) ORDER BY pool, h LIMIT 250"
 
 
 @query("f5_budget_fill", _FILL)

@@ -47,7 +47,7 @@ FROM lineitem""",
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "hash": "SELECT vec_id AS sample_id, label AS group_id, {signs} AS signs FROM embeddings",
     "edges": """SELECT DISTINCT concat('p', CAST(l_partkey AS STRING)) AS a, concat('s', CAST(l_suppkey AS STRING)) AS b
-FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.085 AND l_tax < 0.025""",
+FROM lineitem""",
     "frames": """SELECT user_id AS video_id,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index,
   CAST({us} AS DOUBLE) / CAST(1000000 AS DOUBLE) AS t, least(CAST(1 AS DOUBLE), value / CAST(250 AS DOUBLE)) AS p_fake,

@@ -162,3 +162,51 @@ def test_balance_caps(spark):
     assert got.groupby("group_id").size().max() <= 40
     n = got["normalized_label"].value_counts()
     assert n["FAKE"] <= n["REAL"]
+
+
+def test_keepers_of_a_long_chain_and_of_copies(spark):
+    """A chain of near hashes needs more rounds than are made; equal hashes fill many blocks."""
+    chain, h = [], 0
+    for i in range(60):
+        h |= 1 << i
+        chain.append((f"c{i:03d}", "g", h))
+    rows = chain + [(f"x{i:03d}", "h", 1 << 62) for i in range(50)]
+    df = spark.createDataFrame(rows, "sample_id string, group_id string, phash long")
+    for block in (3, 2000):
+        pairs = {(r.a, r.b) for r in corpus.near_pairs(df, 4, block).collect()}
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and (a[2] ^ b[2]).bit_count() <= 4}
+        assert pairs == want
+    kept, dropped = [], {}
+    for name, group, x in rows:
+        near = next((k for k, g, y in kept if g == group and (x ^ y).bit_count() <= 4), None)
+        if near is None:
+            kept.append((name, group, x))
+        else:
+            dropped[name] = near
+    assert {r.dropped: r.keeper for r in corpus.near_duplicate_keepers(df, 4).collect()} == dropped
+
+
+def test_null_groups_are_split_like_others(spark):
+    rows = [(f"r{i}", None if i % 3 == 0 else f"g{i % 7}", "ACCEPTED") for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id string, group_id string, status string")
+    assert corpus.group_split(df).filter("split IS NULL").count() == 0
+    groups = spark.createDataFrame([(None, 3, 0), (1, 0, 2), (2, 1, 1)], "group_id int, n_fake int, n_real int")
+    assert corpus.two_quota_holdout(groups, 100, 100).count() == 3
+
+
+def test_components_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(6)
+    edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)]
+    top = {x: x for e in edges for x in e}
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+    for a, b in edges:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from assay.functions import text as tx
 from assay.functions import verdicts as v
 from assay.operators import frames as fr
+from assay.operators import sampling as sa
 from assay.operators import scoring
 from assay.operators import store as st
 from assay.sources import files as fl
@@ -217,4 +218,49 @@ def test_text_functions(spark):
     assert one(tx.safe_name(F.lit("é a/b"))) == "é_a_b" and one(tx.safe_name(F.lit(""))) == "ungrouped"
     assert [one(tx.extension(F.lit(x))) for x in ("holiday.JPEG", "clip.mp4", "noext", None, ".hidden")] == [".jpeg", ".mp4", "", "", ""]
     assert one(tx.url_policy(F.lit("https://user@192.168.0.1:8080/x"))) == "private address" and one(tx.url_policy(F.lit("https://notyoutube.com/"))) == "ok"
-    assert one(tx.url_policy(F.lit("https://[fe80::1]/"))) == "private address" and one(tx.url_policy(F.lit("https://a/" + "x" * 2100))) == "missing or too long"
+    assert one(tx.url_policy(F.lit("https://[fe80::1]/"))) == "link-local address" and one(tx.url_policy(F.lit("https://a/" + "x" * 2100))) == "missing or too long"
+
+
+def _judge(ip):
+    """The rules on Python's own address objects."""
+    if ip.version == 6 and ip.ipv4_mapped:
+        return _judge(ip.ipv4_mapped)
+    if ip.version == 6 and ip.sixtofour:
+        return _judge(ip.sixtofour)
+    if ip.version == 6 and int(ip) >> 108 == 0x3FFF0:  # documentation addresses, which older versions of Python do not list
+        return "private address"
+    for bad, reason in ((ip.is_loopback, "loopback address"), (ip.is_link_local, "link-local address"), (ip.is_private, "private address"), (ip.is_reserved or ip.is_multicast or ip.is_unspecified, "reserved address")):
+        if bad:
+            return reason
+    return "ok"
+
+
+def test_addresses_match_brute_force(spark):
+    import ipaddress
+    import random
+
+    rnd = random.Random(4)
+    tops = [int(ipaddress.ip_address(x.split("/")[0])) for x, _ in tx.RANGES_6]
+    six = [ipaddress.IPv6Address((t + rnd.choice([0, 1, rnd.getrandbits(64), (1 << rnd.randint(80, 125)) - 1])) % 2**128) for t in tops for _ in range(8)]
+    six += [ipaddress.IPv6Address(rnd.getrandbits(128)) for _ in range(200)]
+    four = [ipaddress.IPv4Address((int(ipaddress.ip_network(x).network_address) + rnd.choice([-1, 0, 1, 255])) % 2**32) for x, _ in tx.RANGES for _ in range(4)]
+    six += [ipaddress.IPv6Address((0xFFFF << 32) + int(x)) for x in four] + [ipaddress.IPv6Address((0x2002 << 112) + (int(x) << 80) + 5) for x in four]
+    rows = [(f"https://{x}/a", _judge(x)) for x in four]
+    for x in six:
+        spelled = [str(x), x.exploded, x.exploded.upper()]
+        if x.ipv4_mapped:
+            spelled += [f"::ffff:{x.ipv4_mapped}", f"0:0:0:0:0:FFFF:{x.ipv4_mapped}"]
+        rows += [(f"https://[{s}]:443/x?y", _judge(x)) for s in spelled]
+    rows += [(f"https://[{s}]/", "no host") for s in ("1:2:3", "::1::", "12345::", "1:2:3:4:5:6:7:8:9", "g::", "", ":::", ":1:2:3:4:5:6:7:8", "::1.2.3.400")]
+    got = spark.createDataFrame(rows, "url string, want string").select("url", "want", tx.url_policy(F.col("url")).alias("got")).filter("NOT got <=> want").collect()
+    assert got == []
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (None,), (3,)], "k int")
+    got = sa.holdout_first(df, "k", 3).collect()
+    assert len(got) == 5 and sum(r.is_holdout for r in got) == 3
+    pools = [spark.createDataFrame([(p,), (p + 100,), (None,)], "k int") for p in range(20)]
+    for budget in (1, 7, 50, 59):
+        got = sa.budget_fill(pools, "k", budget).groupBy("pool").count().collect()
+        assert {r["pool"]: r["count"] for r in got} == {p: min(3, budget - 3 * p) for p in range(-(-budget // 3))}

@@ -36,6 +36,5 @@ def test_query_equals_its_sql(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(got.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
