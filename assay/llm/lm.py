@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from assay.session import shared_dir
 
 #: Tokens merged at a time in a counting task, bytes of text scored at a time, tokens meant for one bucket.
-FLUSH, SLICE_BYTES, BUCKET_TOKENS = 2_000_000, 4_000_000, 300_000
+FLUSH, SLICE_BYTES, BUCKET_TOKENS = 1_000_000, 2_000_000, 300_000
 START, END = 0, 1  # reserved word hashes
 WORD_BITS, CUR_BITS = 48, 16
 #: Words that may have buckets of their own, share of the texts that finds them, maps kept open by a task.
@@ -57,7 +57,7 @@ class Words(dict):
     """Word hashes with a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = max(xxhash.xxh64_intdigest(word) >> 16, 2)
         return h
