@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from assay.llm.common import hot_join
 from assay.session import cut
 
-LIST_TARGET, MAX_LISTS, SAMPLE_A_LIST, LIST_ROWS = 100, 16_384, 8, 20_000
+LIST_TARGET, MAX_LISTS, SAMPLE_A_LIST, LIST_ROWS = 100, 8_192, 24, 20_000
 LEAF, LEAVES = 128, 12
 REPLICAS, REPLICA_RATIO = 4, 1.10
-MIN_PROBES, MAX_PROBES, PROBE_RATIO = 24, 64, 1.35
-DEGREE, BEAM, ASSIGN_BEAM = 24, 96, 32
+MIN_PROBES, MAX_PROBES, PROBE_RATIO = 40, 80, 1.35
+DEGREE, BEAM, ASSIGN_BEAM = 32, 128, 32
 
 
 def usable(v: Column) -> Column:
