@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,17 @@ def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int
     return inside.join(ahead, ["__g", "__slice"]).withColumn(rank, (F.col("__ahead") + F.col("__r")).cast("long")).drop("__g", "__slice", "__ahead", "__r", "__h")
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives the worker's freed memory back when its task ends: workers live on between tasks."""
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small driver-made table; the JVM unpickles it, no Python runs for it on executors."""
     return spark.createDataFrame(rows, schema)

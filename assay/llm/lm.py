@@ -39,6 +39,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.common import tidy
 from assay.session import shared_dir
 
 #: Tokens merged at a time in a counting task, bytes of text scored at a time, tokens meant for one bucket.
@@ -400,7 +401,7 @@ def fit(texts: DataFrame, text: str = "text") -> LanguageModel:
         numbers = [real["c"].sum(), (real["c"] > 0).sum(), t.sum(), *((t == i).sum() for i in range(1, 5)), *coc]
         return pd.DataFrame([dict(zip(NUMBERS, map(int, numbers), strict=True))])
 
-    runs = texts.select(F.col(text).cast("binary").alias("t")).mapInArrow(count, "bucket long, run binary")
+    runs = texts.select(F.col(text).cast("binary").alias("t")).mapInArrow(tidy(count), "bucket long, run binary")
     partial = runs.groupBy("bucket").applyInPandas(merge, "bucket long, run binary")
     made = partial.groupBy("bucket").applyInPandas(words_of, ", ".join(f"{x} long" for x in NUMBERS))
     n = [x or 0 for x in made.agg(*(F.sum(x).alias(x) for x in NUMBERS)).first()]
@@ -446,4 +447,4 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
                     [*others, *new],
                 )
 
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).cast("binary").alias(text)).mapInArrow(run, shape)
+    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).cast("binary").alias(text)).mapInArrow(tidy(run), shape)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import hot_join, text_key
+from assay.llm.common import hot_join, text_key, tidy
 from assay.operators.graph import connected_components
 from assay.session import cut
 
@@ -50,7 +50,7 @@ CLOSE = 2 / 3
 #: Texts that one copy of a text is compared with.
 HUB = 500
 #: Pairs of query and tree node that one wave of searches may hold at once.
-WAVE = 1_000_000
+WAVE = 300_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__k1"), b.column("__k2"), fp], ["__id", "__k1", "__k2", "fp"])
 
     source = docs.select(F.col(key).alias("__id"), *text_key(docs, text), F.col(text).cast("binary").alias("_t"))
-    return source.mapInArrow(run, f"__id {id_type}, __k1 long, __k2 long, fp binary")
+    return source.mapInArrow(tidy(run), f"__id {id_type}, __k1 long, __k2 long, fp binary")
 
 
 def exact_masks(radius: int, blocks: int = BLOCKS) -> list[int]:
@@ -347,8 +347,8 @@ def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int =
         raw = lambda rows: pa.array([x.tobytes() for x in fp[rows].astype(">u8")], pa.binary())
         yield pa.RecordBatch.from_pydict({"a": raw(a), "b": raw(b), "bits": pa.array(bits, pa.int64()), **extra})
 
-    dealt = fps.mapInArrow(deal, "fp binary, " + ("g long, asks boolean, " if most else "") + "shard long").repartition("shard")
-    return dealt.mapInArrow(run, "a binary, b binary, bits long" + (", more boolean" if most else ""))
+    dealt = fps.mapInArrow(tidy(deal), "fp binary, " + ("g long, asks boolean, " if most else "") + "shard long").repartition("shard")
+    return dealt.mapInArrow(tidy(run), "a binary, b binary, bits long" + (", more boolean" if most else ""))
 
 
 def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
@@ -394,7 +394,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
                 ok.append(b.is_valid and overlap(mine, other) >= similarity)
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return met.mapInArrow(run, "a binary, b binary")
+    return met.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> float:

@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.common import tidy
 from assay.session import cut
 
 MAX_LABELLED, STEMS = 20_000, (3, 4, 5, 6, 7, 8)
@@ -306,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
     texts = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy((F.col("sign") % 2).alias("fold"), "toxic").count().collect()}
     if not any(n for (_, toxic), n in texts.items() if toxic):
         return ToxicityModel()
-    counts = cut(sample.mapInArrow(_count_features, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter("bit_count(n) > 1"))
+    counts = cut(sample.mapInArrow(tidy(_count_features), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter("bit_count(n) > 1"))
     tests = counts.count()
     trials = {(false, f): ToxicityModel(lexicon_of(counts, (1 - f,), texts, tests, false), classes=classes) for false in FALSE_ENTRIES for f in (0, 1)}
 
@@ -364,7 +365,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
             values = pa.array([scan.score(t.as_py()) for t in b.column(text)], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), values], [*others, "score"])
 
-    return docs.select(*others, text).mapInArrow(run, shape)
+    return docs.select(*others, text).mapInArrow(tidy(run), shape)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -376,4 +377,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, te
         for b in batches:
             yield b.filter(pa.array([scan.score(t.as_py()) < threshold for t in b.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
