@@ -30,14 +30,16 @@ SPAN = 4096
 def ring(shards: int, vnodes: int = VNODES) -> tuple[list[int], list[int]]:
     """(shard of each arc in clockwise order, arc of each cell of the ring).
 
-    The ring has a power of two of cells, at least four for each virtual node; a node whose cell is taken
-    moves on clockwise, so every node has its own arc.
+    The ring has a power of two of cells, at least 32 for each virtual node; a cell is the leading bits of a hash, so
+    nodes and texts stay where they are when more shards need a finer ring. A node whose cell is taken moves on
+    clockwise, so every node has its own arc.
     """
-    cells = 1 << (4 * shards * vnodes - 1).bit_length()
+    bits = (32 * shards * vnodes - 1).bit_length()
+    cells = 1 << bits
     owner: dict[int, int] = {}
     for s in range(shards):
         for v in range(vnodes):
-            at = xxhash.xxh64_intdigest(f"{s}/{v}") % cells
+            at = xxhash.xxh64_intdigest(f"{s}/{v}") >> (64 - bits)
             while at in owner:
                 at = (at + 1) % cells
             owner[at] = s
@@ -113,7 +115,7 @@ def place(rows: DataFrame, shards: int, vnodes: int = VNODES, key: str = "doc_id
     owners, arc_of = ring(shards, vnodes)
     cells = rows_of(spark, list(enumerate(arc_of)), "__cell int, __arc int")
     placed = (
-        rows.withColumn("__cell", F.pmod("__t", F.lit(len(arc_of))).cast("int"))
+        rows.withColumn("__cell", F.shiftrightunsigned("__t", 65 - len(arc_of).bit_length()).cast("int"))
         .join(F.broadcast(cells), "__cell")
         .drop("__cell")
     )

@@ -1,4 +1,5 @@
 import itertools
+import random
 import time
 from collections import Counter
 from fractions import Fraction
@@ -125,7 +126,7 @@ def test_one_more_shard_moves_a_bounded_part(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     a = {r.doc_id: r.shard for r in sharding.shard_rows(df, 8).collect()}
     b = {r.doc_id: r.shard for r in sharding.shard_rows(df, 9).collect()}
-    assert sum(a[k] != b[k] for k in a) < 0.6 * len(a)  # capacities without slack move half; a fresh hash would move eight of nine
+    assert sum(a[k] != b[k] for k in a) < 0.3 * len(a)  # a ninth at least; a fresh hash would move eight of nine
 
 
 def test_spill_plan_follows_the_ring():
@@ -133,5 +134,60 @@ def test_spill_plan_follows_the_ring():
     assert [(p[0], p[1], p[2], p[3]) for p in plan] == [(0, 0, 3, 0), (0, 3, 6, 1), (0, 6, 9, 2)]
 
 
+def walk_the_ring(owners, demand, shards):
+    """Row by row: own shard while it has room, then clockwise to the next point of a shard with room."""
+    total = sum(demand.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    where, over = {}, []
+    for arc, shard in enumerate(owners):
+        for i in range(demand.get(arc, 0)):
+            if room[shard]:
+                room[shard] -= 1
+                where[arc, i] = shard
+            else:
+                over.append((arc, i))
+    on_the_way = []
+    for step in range(2 * len(owners)):
+        at = step % len(owners)
+        while on_the_way and room[owners[at]]:
+            room[owners[at]] -= 1
+            where[on_the_way.pop(0)] = owners[at]
+        if step < len(owners):
+            on_the_way += [x for x in over if x[0] == at]
+    return where
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spill_plan_matches_a_walk_by_rows(seed):
+    rng = random.Random(seed)
+    shards = rng.choice([1, 3, 24])
+    owners, arc_of = sharding.ring(shards, 8)
+    demand = Counter(arc_of[rng.randrange(len(arc_of))] for _ in range(2000))
+    demand[rng.randrange(len(owners))] += 1000  # a third of all rows are copies
+    got = {(arc, i): shard for arc, lo, hi, shard, _ in sharding.spill_plan(owners, demand, shards) for i in range(lo, hi)}
+    assert got == walk_the_ring(owners, demand, shards)
+    sizes = Counter(got.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+@pytest.mark.parametrize("counts", [(24, 25), (8, 9), (32, 33)])
+def test_share_of_rows_that_one_more_shard_moves(counts):
+    rng = random.Random(1)
+    cells = [rng.getrandbits(40) for _ in range(50_000)]
+    placed = []
+    for shards in counts:
+        owners, arc_of = sharding.ring(shards)
+        arcs = [arc_of[c >> 41 - len(arc_of).bit_length()] for c in cells]
+        plan = {(arc, i): shard for arc, lo, hi, shard, _ in sharding.spill_plan(owners, Counter(arcs), shards) for i in range(lo, hi)}
+        seen = Counter()
+        placed.append([])
+        for arc in arcs:
+            placed[-1].append(plan[arc, seen[arc]])
+            seen[arc] += 1
+    moved = sum(a != b for a, b in zip(*placed, strict=True)) / len(cells)
+    print("moved", counts, moved)
+    assert 1 / counts[1] <= moved < 2.5 / counts[1]
+
+
 def test_shard_empty(empty):
     assert sharding.shard_rows(empty, 3).count() == 0
