@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.common import hot_join, text_key, tidy
@@ -315,7 +315,8 @@ def _matrix(column: pa.Array, wide: int) -> np.ndarray:
 def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int = 1, tail: int = 0, most: int | None = None) -> DataFrame:
     """Distinct `fp` -> links (a, b, bits) that join what is within the radius and shares a shard.
 
-    `tail` words of an fp tell equal fingerprints apart and do not count as bits; with a tail, close links are preferred.
+    `tail` words of an fp tell equal fingerprints apart and do not count as bits; with a tail, links name nodes by it
+    and close links are preferred.
     With `most`, fps has columns g and asks: the links of each fingerprint that asks are the `most` closest ones to
     other g, and the column more tells whether there are others.
     """
@@ -344,7 +345,8 @@ def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int =
         else:
             a, b, bits = close_links(bare, shard, radius) if tail else spanning_links(bare, shard, radius)
             extra = {}
-        raw = lambda rows: pa.array([x.tobytes() for x in fp[rows].astype(">u8")], pa.binary())
+        ends = np.ascontiguousarray(fp[:, wide:] if tail else fp).astype(">u8")  # the tail alone tells nodes apart
+        raw = lambda rows: pa.array([x.tobytes() for x in ends[rows]], pa.binary())
         yield pa.RecordBatch.from_pydict({"a": raw(a), "b": raw(b), "bits": pa.array(bits, pa.int64()), **extra})
 
     dealt = fps.mapInArrow(tidy(deal), "fp binary, " + ("g long, asks boolean, " if most else "") + "shard long").repartition("shard")
@@ -356,10 +358,15 @@ def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
     return overlap(*(np.unique(shingle_hashes(x or b"", width)) for x in (a, b)))
 
 
+def node_of(fp: str) -> Column:
+    """The tail of a fingerprint: the name of its node in links."""
+    return F.substring(fp, -8 * TAIL, 8 * TAIL)
+
+
 def texts_of(links: DataFrame, docs: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
-    """(fp, t): one text for each fingerprint of the links."""
+    """(fp, t): one text for each node of the links, under the node's name."""
     needed = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
-    rows = marked.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.xxhash64("__id").alias("k0"), "__k1", "__k2")).alias("r"))
+    rows = marked.withColumn("fp", node_of("fp")).join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.xxhash64("__id").alias("k0"), "__k1", "__k2")).alias("r"))
     rows = rows.select("fp", F.col("r.k0").alias("__k0"), "r.__k1", "r.__k2")
     source = docs.select(F.xxhash64(key).alias("__k0"), *text_key(docs, text), F.col(text).cast("binary").alias("t"))
     return source.join(rows, ["__k0", "__k1", "__k2"]).dropDuplicates(["fp"]).select("fp", "t")
@@ -422,7 +429,8 @@ def similar_classes(docs: DataFrame, marked: DataFrame, nodes: DataFrame, radius
         parts = whole.join(classes, "node", "left").select("node", "whole", F.coalesce("component", "node").alias("part"))
         sizes = parts.groupBy("whole", "part").agg(F.count(F.lit(1)).alias("n"))
         broken = sizes.groupBy("whole").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "part")).alias("top")).filter("k > 1").select("whole", F.col("top.part").alias("top"))
-        again = cut(parts.join(broken, "whole").select(F.col("node").alias("fp"), F.xxhash64("part").alias("g"), (F.col("part") != F.col("top")).alias("asks")))
+        asking = parts.join(broken, "whole").select("node", F.xxhash64("part").alias("g"), (F.col("part") != F.col("top")).alias("asks"))
+        again = cut(nodes.withColumn("node", node_of("fp")).join(asking, "node").select("fp", "g", "asks"))
         if again.isEmpty():
             return classes
         found = cut(fingerprint_links(again, radius, masks, wide, TAIL, most))
@@ -449,7 +457,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
         classes = connected_components(fingerprint_links(distinct.select("fp"), radius, masks, wide))
     else:
         classes = similar_classes(docs, marked, distinct.select("fp"), radius, masks, wide, similarity, width, key, text)
-    named = cut(distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))
+    name = F.col("fp") if similarity is None else node_of("fp")
+    named = cut(distinct.withColumn("own", name).join(classes, F.col("own") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "own").alias("component")))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     by_fp = cut(hot_join(named.select("fp", "component"), lowest, ["component"]).select("fp", "component_id", "component"))
     return hot_join(marked, by_fp, ["fp"]).select("__id", "__k1", "__k2", "fp", "component_id", "component")
