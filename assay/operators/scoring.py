@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.session import ship
+
 
 def score_batch(rows: DataFrame, load: Callable[[], Callable[[list], list[float]]], key: str, inputs: str, chunk: int = 8) -> DataFrame:
     """key, p_fake, error for every row. `load` makes the scorer once for each task; it takes up to `chunk` inputs.
@@ -32,6 +34,7 @@ def score_batch(rows: DataFrame, load: Callable[[], Callable[[list], list[float]
                             out.append((k, None, type(failure).__name__))
             yield pd.DataFrame(out, columns=[key, "p_fake", "error"])
 
+    ship(rows.sparkSession)
     return rows.select(key, inputs).mapInPandas(run, f"`{key}` {kind}, p_fake double, error string")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from assay.functions.verdicts import verdict
 from assay.operators.frames import MAX_FRAMES, SUSPICIOUS, TOP_FRACTION, clean_weights
 from assay.operators.store import privacy_projection
+from assay.session import ship
 
 log = logging.getLogger(__name__)
 
@@ -48,6 +49,7 @@ def sliding_rate_limit_batch(events: DataFrame, limit: int, window: float, clien
                 out.append((c, *next(accept_times([t], held, limit, window))))
             yield pd.DataFrame(out, columns=["client", "t", "accepted", "retry_after"]).astype({"retry_after": "Int64"})
 
+    ship(events.sparkSession)
     rows = events.select(F.col(client).alias("client"), F.col(at).cast("double").alias("t")).filter("client IS NOT NULL AND t IS NOT NULL")
     return rows.repartition("client").sortWithinPartitions("client", "t").mapInPandas(run, f"client {kind}, t double, accepted boolean, retry_after bigint")
 
@@ -67,6 +69,7 @@ def sliding_rate_limit(events: DataFrame, limit: int, window: float, lateness: s
         state.setTimeoutTimestamp(int(max(times[-1] + window, state.getCurrentWatermarkMs() / 1000 + 1) * 1000) + 1)
         yield pd.DataFrame(out, columns=["client", "t", "accepted", "retry_after"]).astype({"retry_after": "Int64"})
 
+    ship(events.sparkSession)
     return events.withWatermark("at", lateness).groupBy("client").applyInPandasWithState(
         step, "client string, t double, accepted boolean, retry_after bigint", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
