@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.common import hot_join
-from assay.session import cut
+from assay.session import cut, ship
 
 LIST_TARGET, MAX_LISTS, SAMPLE_A_LIST, LIST_ROWS = 100, 8_192, 24, 20_000
 LEAF, LEAVES = 128, 12
@@ -170,6 +170,7 @@ def search(base: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
     """Each query's k nearest rows of base, its own id left out: query_id, rank, vec_id, score."""
     schema = "query_id long, rank int, vec_id long, score double"
     spark = base.sparkSession
+    ship(spark)
     hashes = [F.xxhash64("v", F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), "v").alias("k2")]
 
     def clean(df: DataFrame, name: str) -> DataFrame:

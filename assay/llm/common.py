@@ -10,18 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assay.session import ship
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the contracts: 0x20 and 0x09 to 0x0D.
 BLANK = " \t\n\u000b\f\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def columns(names: list[str]) -> list[Column]:
+    """Columns by their names as they are, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

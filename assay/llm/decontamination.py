@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import ascii_lower, text_key
+from assay.llm.common import ascii_lower, columns, text_key
 
 WIDTH, ANCHOR = 10, 3
 #: Bytes of distinct windows that may be broadcast.
@@ -155,4 +155,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), hit)
     rest = F.array_join(F.transform(left, lambda i: F.concat(F.get(own, i), F.get(gaps, i + 1))), "")
     cleaned = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.concat(F.get(gaps, F.lit(0)), rest))
-    return marked.withColumn(text, cleaned).select(*docs.columns)
+    return marked.withColumn(text, cleaned).select(*columns(docs.columns))

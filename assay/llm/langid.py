@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.common import columns
+from assay.session import ship
+
 MAX_LABELLED, SLOTS, AMBIGUOUS = 20_000, 1 << 16, 0.9
 #: Letters hashed at once.
 CHUNK = 1 << 16
@@ -83,6 +86,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_labelled: int = MAX_LABELLED) -> LanguageModel:
     """Learn from rows of docs with a language. The driver receives one count vector for each language."""
+    ship(docs.sparkSession)
     ids = (
         docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull())
         .groupBy(key).agg(F.min(lang).alias("_lang"))
@@ -152,4 +156,5 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 [*others, "lang_pred", "score", "ambiguous"],
             )
 
-    return docs.select(*others, text).mapInArrow(run, shape)
+    ship(docs.sparkSession)
+    return docs.select(*columns(others), text).mapInArrow(run, shape)

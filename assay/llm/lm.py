@@ -39,8 +39,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import tidy
-from assay.session import shared_dir
+from assay.llm.common import columns, tidy
+from assay.session import shared_dir, ship
 
 #: Tokens merged at a time in a counting task, bytes of text scored at a time, tokens meant for one bucket.
 FLUSH, SLICE_BYTES, BUCKET_TOKENS = 1_000_000, 2_000_000, 300_000
@@ -330,6 +330,7 @@ def hot_words(texts: DataFrame, text: str, tokens: float) -> tuple[np.ndarray, n
 def fit(texts: DataFrame, text: str = "text") -> LanguageModel:
     """Count all rows of texts and write the model's arrays into the shared folder."""
     spark = texts.sparkSession
+    ship(spark)
     tokens = (texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 6
     layout = Layout(bits_for(tokens), *hot_words(texts, text, tokens))
     w_bits = max(0, layout.p_bits - 2)
@@ -447,4 +448,5 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
                     [*others, *new],
                 )
 
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).cast("binary").alias(text)).mapInArrow(tidy(run), shape)
+    ship(docs.sparkSession)
+    return docs.select(*columns(others), F.col(text).cast("binary").alias(text)).mapInArrow(tidy(run), shape)

@@ -27,7 +27,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import ranked, rows_of
+from assay.llm.common import columns, ranked, rows_of
 
 BLOCK_ROWS, MAX_BLOCKS = 32, 1 << 20
 #: Blocks in one row of the plan's table.
@@ -127,6 +127,6 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
     numbered = ranked(docs.withColumn("__source", F.col(source).cast("string")), "__source", order, "__n", per_slice=blocks_of_slices)
     own = F.element_at("__blocks", (F.floor(F.col("__n") / block_rows) - F.col("__low") + 1).cast("int"))
     return numbered.withColumn("__b", own).select(
-        *docs.columns, "__b.weight", "__b.phase", "__b.block", "__b.slot", "__b.release", "__b.deadline",
+        *columns(docs.columns), "__b.weight", "__b.phase", "__b.block", "__b.slot", "__b.release", "__b.deadline",
         (F.col("__b.__at") + F.col("__n") % block_rows).alias("mix_position"),
     )

@@ -13,14 +13,15 @@ Null text: size 8, CRC of no bytes, placed like any text. Empty table: empty res
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import ranked, rows_of
-from assay.session import cut
+from assay.llm.common import columns, ranked, rows_of
+from assay.session import cut, shared_dir
 
 VNODES = 64
 #: Positions of a given order in one span; a shard's rows are numbered span by span.
@@ -142,20 +143,35 @@ def slots_by(placed: DataFrame, position: str) -> DataFrame:
     return inside.join(ahead, ["shard", "__span"]).withColumn("slot", (F.col("__ahead") + F.col("__r")).cast("long")).drop("__span", "__ahead", "__r")
 
 
-def shards_in_order(docs: DataFrame, shards: int, order: Callable[..., DataFrame], vnodes: int = VNODES, text: str = "text", key: str = "doc_id",
-                    source: str = "source") -> DataFrame:
-    """shard_rows' result with the slots of each shard in the order of order(rows)'s mix_position, which is kept.
+def in_file_order(docs: DataFrame, position: str) -> DataFrame:
+    """docs plus the place of each row in the order of its files: by file name, then by the row's number in the file.
 
-    Everything is found for rows of id, source and hashes; texts are shuffled once, to join the result. Repeated rows
-    are told apart by a number, so each keeps a place of its own.
+    Spark rereads files in any order, but their names and rows keep the order in which a sort wrote them. docs comes
+    straight from files (filters may follow). Positions are distinct and start at 0; filtered rows leave gaps.
     """
-    keys = ["__k0", "__k1", "__k2"]
-    hashed = [F.xxhash64(key, source).alias("__k0"), F.xxhash64(text, F.lit(1)).alias("__k1"), F.xxhash64(F.lit(2), text).alias("__k2")]
-    thin = measured(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), *hashed)).drop("text")
-    mixed = order(thin.withColumn("text", F.col("__t"))).drop("text", "weight", "phase", "block", "slot", "release", "deadline")
-    placed = slots_by(place(cut(mixed), shards, vnodes), "mix_position")
-    every = Window.partitionBy(*keys).orderBy("mix_position")
-    found = placed.withColumn("__n", F.row_number().over(every)).select(*keys, "__n", "size", "text_crc32", "shard", "slot", "mix_position")
+    seen = docs.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    files = seen.groupBy("__file").agg((F.max("__row") + 1).alias("__rows"))
+    every = Window.orderBy(F.length("__file"), "__file")  # one row a file; part-100000 follows part-99999
+    ahead = files.select("__file", (F.sum("__rows").over(every) - F.col("__rows")).alias("__ahead"))
+    return seen.join(ahead, "__file").withColumn(position, F.col("__ahead") + F.col("__row")).drop("__file", "__row", "__ahead")
+
+
+def shards_in_order(docs: DataFrame, shards: int, vnodes: int = VNODES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """shard_rows' result with the slots of each shard in the order of docs' files, and that order as mix_position.
+
+    Rows that come from no files are written first. Shards and slots are found for rows of hashes; texts are shuffled
+    once, to join the result by position.
+    """
+    spark = docs.sparkSession
     new = ["size", "text_crc32", "shard", "slot", "mix_position"]
-    own = docs.drop(*new).select("*", *hashed).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
-    return own.join(found, [*keys, "__n"]).drop(*keys, "__n")
+    docs = docs.drop(*new)
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # no files below
+        path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+        docs.write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+    seen = in_file_order(docs, "mix_position")
+    thin = measured(seen.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), "mix_position")).drop("text")
+    found = slots_by(place(cut(thin), shards, vnodes), "mix_position").select(*new)
+    return seen.join(found, "mix_position").select(*columns(docs.columns), *new)

@@ -34,9 +34,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import hot_join, text_key, tidy
+from assay.llm.common import columns, hot_join, text_key, tidy
 from assay.operators.graph import connected_components
-from assay.session import cut
+from assay.session import cut, ship
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Bit blocks of the exact search; radius + 1 at least. Seven (35 masks of 27 bits) suit thousands of millions of texts.
@@ -109,6 +109,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             fp = pa.array([fingerprint(x.as_py(), width, wide, as_set) for x in b.column("_t")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__k1"), b.column("__k2"), fp], ["__id", "__k1", "__k2", "fp"])
 
+    ship(docs.sparkSession)
     source = docs.select(F.col(key).alias("__id"), *text_key(docs, text), F.col(text).cast("binary").alias("_t"))
     return source.mapInArrow(tidy(run), f"__id {id_type}, __k1 long, __k2 long, fp binary")
 
@@ -349,6 +350,7 @@ def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int =
         raw = lambda rows: pa.array([x.tobytes() for x in ends[rows]], pa.binary())
         yield pa.RecordBatch.from_pydict({"a": raw(a), "b": raw(b), "bits": pa.array(bits, pa.int64()), **extra})
 
+    ship(fps.sparkSession)
     dealt = fps.mapInArrow(tidy(deal), "fp binary, " + ("g long, asks boolean, " if most else "") + "shard long").repartition("shard")
     return dealt.mapInArrow(tidy(run), "a binary, b binary, bits long" + (", more boolean" if most else ""))
 
@@ -384,6 +386,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
 
     A text meets the texts it is compared with in slices of about HUB, each led by one copy of it.
     """
+    ship(pairs.sparkSession)
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("n"))
     dealt = pairs.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), "n").cast("int").alias("slice"))
     leaders = slices.join(texts, slices["a"] == texts["fp"]).select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"), F.lit(None).cast("binary").alias("b"), "t")
@@ -480,4 +483,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **opts) -
         .select(F.xxhash64("w.__id").alias("__k0"), "w.__k1", "w.__k2")
     )
     kept = docs.select("*", *row).join(best, ["__k0", "__k1", "__k2"], "left_semi")
-    return kept.dropDuplicates(["__k0", "__k1", "__k2"]).select(*docs.columns)
+    return kept.dropDuplicates(["__k0", "__k1", "__k2"]).select(*columns(docs.columns))

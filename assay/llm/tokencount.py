@@ -28,6 +28,9 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from assay.llm.common import columns
+from assay.session import ship
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The fixed splitting pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -104,8 +107,8 @@ def section_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
 
             def flush(rows: list, parts: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
                 take = pa.array(np.concatenate(rows))
-                columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
-                return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in others), *map(pa.array, columns)], [*others, *new])
+                counts = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in others), *map(pa.array, counts)], [*others, *new])
 
             for i, x in enumerate(batch.column(text)):
                 t = x.as_py() or ""
@@ -125,4 +128,5 @@ def section_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
             if rows:
                 yield flush(rows, parts)
 
-    return docs.select(*others, text).mapInArrow(run, shape)
+    ship(docs.sparkSession)
+    return docs.select(*columns(others), text).mapInArrow(run, shape)

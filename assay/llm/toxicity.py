@@ -39,8 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import tidy
-from assay.session import cut
+from assay.llm.common import columns, tidy
+from assay.session import cut, ship
 
 MAX_LABELLED, STEMS = 20_000, (3, 4, 5, 6, 7, 8)
 #: Share of toxic texts among those with an entry, for words and for stems.
@@ -303,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
         classes: dict[str, str] | None = None) -> ToxicityModel:
     """Learn lexicon, threats and weights. What reaches the driver is the lexicon and one row of kinds a sampled text."""
     classes = CLASSES if classes is None else classes
+    ship(docs.sparkSession)
     sample = cut(labelled_sample(docs, labels, min(max_labelled, 32_767), key, label, text))
     texts = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy((F.col("sign") % 2).alias("fold"), "toxic").count().collect()}
     if not any(n for (_, toxic), n in texts.items() if toxic):
@@ -365,7 +366,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
             values = pa.array([scan.score(t.as_py()) for t in b.column(text)], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), values], [*others, "score"])
 
-    return docs.select(*others, text).mapInArrow(tidy(run), shape)
+    ship(docs.sparkSession)
+    return docs.select(*columns(others), text).mapInArrow(tidy(run), shape)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -377,4 +379,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, te
         for b in batches:
             yield b.filter(pa.array([scan.score(t.as_py()) < threshold for t in b.column(text)], pa.bool_()))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(tidy(run), schema)

@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread by the next.
 
 Every stage keeps whole rows: toxicity drops what its model rejects, near-dedup keeps one document of each group,
-decontamination drops documents with a benchmark window, mixing orders all rows by the mix, sharding places them and
-numbers each shard's slots in the order of the mix, so the mix does not rest on the order of files.
+decontamination drops documents with a benchmark window, mixing writes all rows in the order of the mix, sharding places
+them and numbers each shard's slots in the order of the files that it reads, by file names and row numbers.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from assay.llm import decontamination, mixing, sharding, simhash, toxicity
-from assay.llm.common import read
+from assay.llm.common import columns, read
 from assay.llm.queries import SHARDS, toxicity_model
 from assay.session import shared_dir, ship
 
@@ -33,15 +33,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: files and rows follow mix_position."""
-    return mixing.mix(docs).sort("mix_position").select(*docs.columns)
+    return mixing.mix(docs).sort("mix_position").select(*columns(docs.columns))
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spark rereads files in any order, so the mix is computed again, from the same rows, to number the slots by it.
-
-    Mix, shards and slots are found for row numbers without texts; the texts are shuffled once, to join them.
-    """
-    return sharding.shards_in_order(docs, SHARDS, mixing.mix)
+    """The slots of each shard follow the mix: names and row numbers of the files tell the order that was written."""
+    return sharding.shards_in_order(docs, SHARDS)
 
 
 STAGES = [

@@ -7,7 +7,7 @@ def prose(seed: int, n: int) -> str:
     return " ".join(WORDS[(seed * 7 + i * i + i * seed) % len(WORDS)] + str((seed + i) % 5) for i in range(n))
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, name string, lo long, items string, arc int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, name string, lo long, items string, `a.b` int"
 
 
 @pytest.fixture(scope="session")

@@ -105,21 +105,39 @@ def test_shards_are_level_and_gapless(docs):
     assert set(docs.columns) < set(got.columns)
 
 
-def test_slots_follow_the_mix(spark, docs, monkeypatch):
+def test_slots_follow_the_mix(spark, docs, monkeypatch, tmp_path):
     import corpus_pipeline
 
     monkeypatch.setattr(sharding, "SPAN", 16)
-    mixed = corpus_pipeline.mix_sources(spark, docs, "")
-    got = corpus_pipeline.place_in_shards(spark, mixed.repartition(3), "").toPandas()
-    expected = mixing.mix(docs).toPandas()
+
+    def reread(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    def in_order(t):
+        return t.sort_values("mix_position")[["source", "doc_id"]].fillna("").values.tolist()
+
+    before = reread(docs, "before")
+    mixed = corpus_pipeline.mix_sources(spark, before, "")
+    assert mixed.columns == docs.columns
+    got = corpus_pipeline.place_in_shards(spark, reread(mixed, "mixed"), "").toPandas()
+    expected = mixing.mix(before).toPandas()
     assert sorted(got["mix_position"]) == list(range(len(expected)))
-    in_order = lambda t: t.sort_values("mix_position")[["source", "doc_id"]].fillna("").values.tolist()
     assert in_order(got) == in_order(expected)
     assert {(r.doc_id, r.text, r.size, r.text_crc32, r.shard) for r in got.itertuples() if r.text and r.doc_id == r.doc_id} == {
         (r.doc_id, r.text, r.size, r.text_crc32, r.shard) for r in sharding.shard_rows(docs, corpus_pipeline.SHARDS).toPandas().itertuples() if r.text and r.doc_id == r.doc_id
     }
     for _, g in got.sort_values("mix_position").groupby("shard"):
         assert list(g["slot"]) == list(range(len(g)))
+    # without the mixing stage the slots come out in another order
+    assert in_order(corpus_pipeline.place_in_shards(spark, before, "").toPandas()) != in_order(expected)
+
+
+def test_rows_from_no_files_keep_their_order(spark, empty):
+    rows = spark.range(100).selectExpr("id AS doc_id", "concat('text ', id % 9) AS text", "id AS `a.b`").coalesce(1)
+    got = sharding.shards_in_order(rows, 3).orderBy("mix_position").toPandas()
+    assert list(got["doc_id"]) == list(range(100)) and list(got["a.b"]) == list(range(100))
+    assert sharding.shards_in_order(empty, 3).count() == 0
 
 
 def test_one_more_shard_moves_a_bounded_part(spark):
