@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assay.session import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the contracts: 0x20 and 0x09 to 0x0D.
 BLANK = " \t\n\u000b\f\r"
@@ -62,6 +64,21 @@ def ranked(df: DataFrame, group: str, order: list[Column], rank: str, chunk: int
     return inside.join(ahead, ["__g", "__slice"]).withColumn(rank, (F.col("__ahead") + F.col("__r")).cast("long")).drop("__g", "__slice", "__ahead", "__r", "__h")
 
 
+def in_order(df: DataFrame, group: str, order: list[str], at: str) -> DataFrame:
+    """Number the rows of each group 0, 1, 2, ... in the given order (nulls first) without a whole group in one task.
+
+    Rows are dealt by ranges of (group, order) and sorted; each task's rows of a group are numbered where they are, and
+    the tasks' running counts are added: at most one row a task and group. group holds no nulls. Rows equal in all of
+    `order` share a task and may swap their numbers.
+    """
+    placed = cut(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__task", F.shiftrightunsigned("__id", 33))
+    runs = placed.groupBy(group, "__task").agg(F.min("__id").alias("__low"), F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(group).orderBy("__task"))
+    ahead = runs.select(group, "__task", (upto - F.col("__c") - F.col("__low")).alias("__shift"))
+    return placed.join(ahead, [group, "__task"]).withColumn(at, F.col("__id") + F.col("__shift")).drop("__id", "__task", "__shift")
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that gives the worker's freed memory back when its task ends: workers live on between tasks."""
     def wrapped(batches: Iterator) -> Iterator:

@@ -11,6 +11,7 @@ from assay.llm import ann, langid, lm, toxicity
 from assay.llm.common import LOWER, UPPER, held_out, read
 from assay.llm.decontamination import contamination
 from assay.llm.linededup import dedup_lines
+from assay.llm.merkle import tamper_check
 from assay.llm.mixing import mix
 from assay.llm.sharding import shard_rows
 from assay.llm.simhash import components
@@ -86,6 +87,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_check(read(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -97,8 +102,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_BITS = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+_CRC = f"xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: {_BITS}, CAST(4294967295 AS BIGINT)), 4294967295)"
 ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, {_LEAF.format(text="text")} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(text=f"translate(text, '{UPPER}', '{LOWER}')")} END AS tampered
+  FROM documents),
+node AS (
+  SELECT lang, 0 AS k, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM d
+  UNION ALL
+  SELECT lang, k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM node WHERE n > 1 GROUP BY lang, k, i // 8),
+sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+top AS (
+  SELECT 0 AS k, i, h, n FROM sub
+  UNION ALL
+  SELECT k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY k, i // 8),
+met AS (
+  SELECT d.doc_id, s.k AS step, s.i, s.h, d.i // CAST(8 ** s.k AS BIGINT) AS own
+  FROM d JOIN node s ON d.lang IS NOT DISTINCT FROM s.lang AND s.i // 8 = d.i // CAST(8 ** (s.k + 1) AS BIGINT) WHERE s.n > 1
+  UNION ALL
+  SELECT d.doc_id, 1000 + s.k, s.i, s.h, sub.i // CAST(8 ** s.k AS BIGINT)
+  FROM d JOIN sub ON d.lang IS NOT DISTINCT FROM sub.lang JOIN top s ON s.i // 8 = sub.i // CAST(8 ** (s.k + 1) AS BIGINT) WHERE s.n > 1),
+step AS (
+  SELECT doc_id, step, coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i < own), '') AS l, coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i > own), '') AS r
+  FROM met GROUP BY doc_id, step),
+way AS (SELECT doc_id, list({{'l': l, 'r': r}} ORDER BY step) AS steps, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM step GROUP BY doc_id)
+SELECT doc_id, leaf, sub.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (
+  SELECT d.*, proof, (SELECT h FROM top WHERE n = 1) AS root,
+    list_reduce(list_prepend({{'l': coalesce(tampered, leaf), 'r': ''}}, coalesce(steps, [])), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root
+  FROM d LEFT JOIN way USING (doc_id)) x JOIN sub ON x.lang IS NOT DISTINCT FROM sub.lang""",
     "op3_decontamination": rf"""
 WITH doc AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
