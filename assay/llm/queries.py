@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assay.llm import ann, langid, lm, toxicity
 from assay.llm.common import LOWER, UPPER, held_out, read
 from assay.llm.decontamination import contamination
+from assay.llm.lexical import rank_documents
 from assay.llm.linededup import dedup_lines
 from assay.llm.merkle import tamper_check
 from assay.llm.mixing import mix
@@ -87,6 +88,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_check(read(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
@@ -102,12 +107,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 _BITS = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
 _CRC = f"xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: {_BITS}, CAST(4294967295 AS BIGINT)), 4294967295)"
 ORACLES: dict[str, str] = {
+    "op11_lexical_search": rf"""
+WITH word AS (
+  SELECT r, doc_id, w, count(*) AS tf
+  FROM (SELECT r, doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w
+        FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents))
+  GROUP BY r, doc_id, w),
+size AS (SELECT r, doc_id, CAST(sum(tf) AS BIGINT) AS n FROM word GROUP BY r, doc_id),
+every AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM size),
+m AS (SELECT r, 25 + (75 * n * docs) // l AS m FROM size, every),
+ask AS (
+  SELECT item_id, w, count(*) AS q
+  FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM benchmark)
+  GROUP BY item_id, w),
+gain AS (
+  SELECT w, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS g
+  FROM (SELECT w, count(*) AS df FROM word GROUP BY w), every),
+scored AS (
+  SELECT item_id, doc_id, word.r, CAST(sum(q * g * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM ask JOIN word USING (w) JOIN gain USING (w) JOIN m ON m.r = word.r GROUP BY item_id, doc_id, word.r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10""",
     "op13_merkle_manifest": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, {_LEAF.format(text="text")} AS leaf,
