@@ -17,6 +17,7 @@ from assay.llm.mixing import mix
 from assay.llm.sharding import shard_rows
 from assay.llm.simhash import components
 from assay.llm.tokencount import section_tokens
+from assay.llm.vectordup import near_duplicates
 
 SHARDS = 24
 
@@ -92,6 +93,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_check(read(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_vector_dedup": op12_vector_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
@@ -136,6 +142,18 @@ scored AS (
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
 WHERE rank <= 10""",
+    "op12_vector_dedup": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN low ON a = vec_id""",
     "op13_merkle_manifest": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, {_LEAF.format(text="text")} AS leaf,
