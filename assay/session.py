@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -40,10 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+#: Cuts between two collections of what earlier ones have left.
+CUTS = 8
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and drop its lineage; survives lost executors."""
+    """Materialise df in the shared folder and drop its lineage; survives lost executors.
+
+    Spark removes shuffle files (and checkpoints, if so set) of tables that nobody holds only after the driver's JVM has
+    collected them, which a loop of many small jobs may not cause for half an hour; so every CUTS-th cut asks for it.
+    """
+    context = df.sparkSession.sparkContext
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    context._assay_cuts = getattr(context, "_assay_cuts", 0) + 1
+    if context._assay_cuts % CUTS == 0:
+        gc.collect()
+        context._jvm.System.gc()
+    return kept
 
 
 def ship(spark: SparkSession) -> None:
