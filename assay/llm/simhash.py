@@ -26,6 +26,8 @@ sequence is one shingle. Null ids have a fingerprint and a component, but never
 from __future__ import annotations
 
 import itertools
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +41,20 @@ from assay.operators.graph import connected_components
 from assay.session import cut, ship
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Bit blocks of the exact search; radius + 1 at least. Seven (35 masks of 27 bits) suit thousands of millions of texts.
-BLOCKS = 5
+#: Comparisons in a shard that cost as much as one more copy of a fingerprint.
+COPY = 64
 #: Words after the fingerprint of a shingle set: a 128-bit digest of the set.
 TAIL = 2
-#: Candidates for each fingerprint in the first search of groups that fell apart, and their growth from search to search.
-MOST, MORE = 4, 8
+#: Candidates for each fingerprint and shard in the first search of groups that fell apart, and their growth from search to search.
+MOST, MORE = 1, 8
 #: Share of the radius within which links are looked for first, where they must be verified.
 CLOSE = 2 / 3
 #: Texts that one copy of a text is compared with.
 HUB = 500
 #: Pairs of query and tree node that one wave of searches may hold at once.
 WAVE = 300_000
+#: Copies of fingerprints that a task holds on average.
+TASK_ROWS = 1_000_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -114,17 +118,28 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return source.mapInArrow(tidy(run), f"__id {id_type}, __k1 long, __k2 long, fp binary")
 
 
-def exact_masks(radius: int, blocks: int = BLOCKS) -> list[int]:
-    """Masks of every choice of blocks - radius out of `blocks` bit blocks: 64-bit fingerprints within the radius agree
-    on all bits of at least one. More blocks mean more copies of a fingerprint, but far smaller shards."""
+def exact_masks(radius: int, n: int = 0) -> list[int]:
+    """Masks of every choice of blocks - radius out of some bit blocks: 64-bit fingerprints within the radius agree on all
+    bits of at least one. More blocks mean more copies of a fingerprint, but far smaller shards: n fingerprints take
+    the number that costs least, so that the work of each does not grow with n."""
+    blocks = min(range(radius + 1, radius + 5), key=lambda b: math.comb(b, radius) * (COPY + n / 2 ** (64 * (b - radius) // b)))
     edges = [64 * i // blocks for i in range(blocks + 1)]
     block = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
     return [sum(block[i] for i in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
 
 
-def band_masks(bits: int, band: int) -> list[int]:
-    """Masks of consecutive bands: fingerprints far apart may miss all of them, close ones hardly ever do."""
-    return [((1 << band) - 1) << lo for lo in range(0, bits - band + 1, band)]
+def similar_masks(n: int, bits: int, agree: float = 0.85, missed: float = 0.002, least: int = 12) -> list[int]:
+    """Masks for fingerprints that agree on a bit with this probability: all but `missed` of such pairs share a shard.
+
+    A mask has 12 bits, and one more each time n doubles beyond 2^18, so that the shards stay small. While the bits
+    suffice masks are consecutive bands; longer ones, of which more are needed, are seeded choices of bits.
+    """
+    band = least + max(0, math.ceil(math.log2(max(n, 1) / 2**18)))
+    count = math.ceil(math.log(missed) / math.log1p(-(agree**band)))
+    if count * band <= bits:
+        return [((1 << band) - 1) << lo for lo in range(0, bits - band + 1, band)]
+    pick = random.Random(bits * 64 + band)
+    return [sum(1 << b for b in pick.sample(range(bits), band)) for _ in range(count)]
 
 
 class BKForest:
@@ -351,7 +366,10 @@ def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int =
         yield pa.RecordBatch.from_pydict({"a": raw(a), "b": raw(b), "bits": pa.array(bits, pa.int64()), **extra})
 
     ship(fps.sparkSession)
-    dealt = fps.mapInArrow(tidy(deal), "fp binary, " + ("g long, asks boolean, " if most else "") + "shard long").repartition("shard")
+    dealt = fps.mapInArrow(tidy(deal), "fp binary, " + ("g long, asks boolean, " if most else "") + "shard long")
+    # a task holds all rows of its shards: enough tasks that these are bounded, whatever the table
+    tasks = -(-fps.count() * len(masks) // TASK_ROWS)
+    dealt = dealt.repartition(tasks, "shard") if tasks > int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) else dealt.repartition("shard")
     return dealt.mapInArrow(tidy(run), "a binary, b binary, bits long" + (", more boolean" if most else ""))
 
 
@@ -450,15 +468,17 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
                wide: int = 1, masks: list[int] | None = None, similarity: float | None = None) -> DataFrame:
     """One row for each document row: __id, __k1, __k2, fp, component_id, component (the class as a fingerprint).
 
-    Without masks the search is exact for 64 bits: every pair within the radius is linked. With a similarity, texts of
-    the same shingle set are one and every link is checked by the exact Jaccard similarity of their texts.
+    The search is exact for 64 bits: every pair within the radius is linked. With a similarity, texts of the same
+    shingle set are one and every link is checked by the exact Jaccard similarity of their texts.
     """
     marked = cut(fingerprints(docs, key, text, width, wide, similarity is not None))
     distinct = cut(marked.groupBy("fp").agg(F.min("__id").alias("low")))
-    masks = masks or exact_masks(radius)
+    n = distinct.count()
     if similarity is None:
+        masks = masks or exact_masks(radius, n)
         classes = connected_components(fingerprint_links(distinct.select("fp"), radius, masks, wide))
     else:
+        masks = masks or similar_masks(n, 64 * wide)
         classes = similar_classes(docs, marked, distinct.select("fp"), radius, masks, wide, similarity, width, key, text)
     name = F.col("fp") if similarity is None else node_of("fp")
     named = cut(distinct.withColumn("own", name).join(classes, F.col("own") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "own").alias("component")))
@@ -468,9 +488,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
 
 
 #: Near copies of a Jaccard similarity of 0.8 or more over five-word shingles: their 512-bit fingerprints differ in
-#: 77.6 bits on average (an angle of 27 degrees) and in at most 96 for 99 pairs of a hundred. One of 42 bands of 12 bits
-#: agrees for 99.8 % of pairs at 0.8. Every link is checked.
-SIMILAR = {"width": 5, "wide": 8, "radius": 96, "masks": band_masks(512, 12), "similarity": 0.8}
+#: 77.6 bits on average (an angle of 27 degrees) and in at most 96 for 99 pairs of a hundred. One of the masks (42 bands
+#: of 12 bits, or more and longer ones) agrees for 99.8 % of pairs at 0.8. Every link is checked.
+SIMILAR = {"width": 5, "wide": 8, "radius": 96, "similarity": 0.8}
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **opts) -> DataFrame:

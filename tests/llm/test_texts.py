@@ -424,3 +424,38 @@ def test_token_sections_empty(empty):
     assert tokencount.section_tokens(empty).count() == 0
     with pytest.raises(ValueError):
         tokencount.section_tokens(empty, rule="half")
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs planted at a similarity of 0.80 to 0.85: nearly all must be found, and nothing below 0.8."""
+    rng = np.random.default_rng(11)
+    rows, close = [], set()
+    for i in range(240):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 120 + i % 200)]
+        other = list(words)
+        for at in rng.choice(len(words) // 8, 1 + len(words) // 90, replace=False) * 8 + 2:
+            other[at] = f"x{i}"
+        sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, other)]
+        share = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if 0.8 <= share <= 0.87:
+            close.add(i)
+        elif share < 0.8:
+            close.add(-i - 1)
+    got = {r["__id"]: r.component_id for r in simhash.components(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.SIMILAR).collect()}
+    at_threshold = [i for i in close if i >= 0]
+    assert len(at_threshold) > 60
+    assert sum(got[2 * i] == got[2 * i + 1] for i in at_threshold) >= 0.98 * len(at_threshold)
+    assert not any(got[2 * (-i - 1)] == got[2 * (-i - 1) + 1] for i in close if i < 0)
+
+
+def test_masks_grow_with_the_table():
+    """Longer masks for more fingerprints, enough of them; exact blocks keep the pigeonhole."""
+    for n, band in ((10**3, 12), (2**20, 14), (10**8, 21)):
+        masks = simhash.similar_masks(n, 512)
+        assert {m.bit_count() for m in masks} == {band} and (1 - 0.85**band) ** len(masks) <= 0.002
+    assert [len(simhash.exact_masks(4, n)) for n in (10, 10**7)] == [5, 15]
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        flip = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(not m & flip for m in simhash.exact_masks(4, 10**7))
