@@ -14,6 +14,8 @@ STREAMING_HOSTS = (
     "youtube.com", "youtu.be", "youtube-nocookie.com", "instagram.com", "instagr.am", "facebook.com", "fb.watch", "tiktok.com", "twitter.com",
     "x.com", "reddit.com", "redd.it", "vimeo.com", "dailymotion.com", "dai.ly", "snapchat.com", "t.me", "telegram.me",
 )
+# Names of the machine itself.
+LOCAL_NAMES = ("localhost", "localhost.localdomain")
 MAX_URL = 2048
 
 
@@ -49,6 +51,28 @@ def ipv4(host: Column) -> Column:
     return F.when(ok & F.forall(parts, lambda p: p <= 255), value)
 
 
+def inet_aton(host: Column) -> Column:
+    """The number of an IPv4 address as resolvers read it, else NULL: one to four parts, decimal, octal (leading 0) or hex
+    (leading 0x), the last of which fills the bytes that are left: `127.1`, `0x7f000001`, `0177.0.0.1`, `2130706433`."""
+    def number(p: Column) -> Column:
+        """A part below 2^32; more digits than that needs give NULL."""
+        digits = F.regexp_replace(p, "^(0x)?0*", "")
+        base = F.when(p.startswith("0x"), 16).when(p.startswith("0"), 8).otherwise(10)
+        value = F.when(base == 16, F.conv(digits, 16, 10)).when(base == 8, F.conv(digits, 8, 10)).otherwise(digits)
+        short = F.length(digits) <= F.when(base == 16, 8).when(base == 8, 11).otherwise(10)
+        return F.when(p.rlike("^(0x[0-9a-f]+|0[0-7]*|[1-9][0-9]*)$") & short, F.coalesce(F.nullif(value, F.lit("")), F.lit("0")).try_cast("bigint"))
+
+    def whole(x: Column) -> Column:
+        n = F.size(x)
+        front, last = F.slice(x, 1, n - 1), F.element_at(x, -1)
+        room = F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), n)
+        sum_ = F.aggregate(front, F.lit(0).cast("bigint"), lambda a, p: a * 256 + p) * room + last
+        return F.when(F.forall(front, lambda p: p <= 255) & (last < room), sum_)
+
+    parts = F.split(host, r"\.")
+    return F.when(host.rlike(r"^[0-9][0-9a-fx]*(\.[0-9][0-9a-fx]*){0,3}$"), let(F.transform(parts, number), whole))
+
+
 # Address ranges that must not be fetched and why, and public ranges inside them; the first match counts.
 RANGES = (
     ("127.0.0.0/8", "loopback address"), ("169.254.0.0/16", "link-local address"), ("192.0.0.9/32", "ok"), ("192.0.0.10/32", "ok"),
@@ -109,7 +133,7 @@ def address_policy(host: Column) -> Column:
     def judge(six: Column) -> Column:
         inner = F.when(six.startswith("0" * 20 + "ffff"), F.substring(six, 25, 8)).when(six.startswith("2002"), F.substring(six, 5, 8))
         by_four = lambda number: F.when(number.isNotNull(), _first_match(number, RANGES, int)).when(six.isNotNull(), _first_match(six, RANGES_6, lambda a: f"{int(a):032x}"))
-        return let(F.coalesce(ipv4(host), F.conv(inner, 16, 10).cast("bigint")), by_four)
+        return let(F.coalesce(inet_aton(host), F.conv(inner, 16, 10).cast("bigint")), by_four)
 
     return let(ipv6_hex(host), judge)
 
@@ -119,7 +143,7 @@ def url_policy(url: Column, allow_http: bool = False) -> Column:
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)), r"\.$", "")
     streaming = reduce(lambda a, b: a | b, [(host == h) | host.endswith("." + h) for h in STREAMING_HOSTS])
-    name = (host == "localhost") | host.endswith(".localhost")
+    name = host.isin(*LOCAL_NAMES) | host.endswith(".localhost")
 
     def by_address(address: Column) -> Column:
         out = F.when((F.coalesce(url, F.lit("")) == "") | (F.length(url) > MAX_URL), "missing or too long").when(~scheme.isin("http", "https"), "unsupported scheme")

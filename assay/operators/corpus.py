@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from assay.operators.graph import connected_components
 from assay.operators.metrics import ratio
-from assay.operators.ordering import first_of_each, running_before, seeded
-from assay.operators.percentiles import percentiles
+from assay.operators.ordering import first_of_each, numbered_by, running_before, seeded
+from assay.operators.percentiles import with_percentiles
 from assay.session import cut
 
 # The closed vocabularies.
@@ -398,25 +398,27 @@ def dataset_build(rows: DataFrame, seal: Seal, fraction: float = 0.2, seed: int
 
 
 def balance_caps(rows: DataFrame, per_group: int = 40, method_share: float = 0.4, source_share: float = 0.5, seed: int = 42) -> DataFrame:
-    """A balanced training set by stated caps: rows per group, then shares per method and source, then fake rows up to real rows."""
-    order = seeded(seed, F.col("sample_id"))
-    rn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_o"))
-    capped = rows.withColumn("_o", order).withColumn("_r", rn("group_id")).filter(F.col("_r") <= per_group)
+    """A balanced training set by stated caps: rows per group, then shares per method and source, then fake rows up to real rows.
+
+    Quotas grow with the table, so rows are numbered in hash cells; the cap of a group is a constant, which Spark pushes
+    below the exchange.
+    """
+    first = F.row_number().over(Window.partitionBy("group_id").orderBy("_o"))
+    capped = rows.withColumn("_o", seeded(seed, F.col("sample_id"))).withColumn("_r", first).filter(F.col("_r") <= per_group)
     for column, share in (("manipulation_method", method_share), ("dataset", source_share)):
         total = capped.groupBy("normalized_label").agg(F.count(F.lit(1)).alias("_t"))
-        named = capped.join(F.broadcast(total), "normalized_label").withColumn("_r", rn("normalized_label", column))
+        named = numbered_by(capped.join(total, "normalized_label"), ["normalized_label", column], "_o", "_r")
         free = (F.col("normalized_label") == "REAL") if column == "manipulation_method" else F.lit(False)
         capped = named.filter(free | (F.col("_r") <= F.floor(share * F.col("_t")))).drop("_t")
     real = capped.agg(F.sum(F.when(F.col("normalized_label") == "REAL", 1).otherwise(0)).alias("_real"))
-    return capped.crossJoin(F.broadcast(real)).withColumn("_r", rn("normalized_label")).filter((F.col("normalized_label") == "REAL") | (F.col("_r") <= F.col("_real"))).drop("_o", "_r", "_real")
+    return numbered_by(capped.crossJoin(F.broadcast(real)), ["normalized_label"], "_o", "_r").filter((F.col("normalized_label") == "REAL") | (F.col("_r") <= F.col("_real"))).drop("_o", "_r", "_real")
 
 
 def image_quality_filters(rows: DataFrame, blur_percentile: float = 0.05, max_yaw: float = 60.0, luma: tuple[float, float] = (30.0, 225.0), aspect: float = 3.0) -> DataFrame:
-    """rows plus quality_reason from measured features: blur under its dataset's percentile, yaw, luma, aspect."""
-    cutoffs = percentiles(rows, "blur", {"_cut": ("cont", blur_percentile)}, ["dataset"])
+    """rows plus quality_reason from measured features: blur under its dataset's percentile, yaw, luma, aspect. A null dataset is one of its own."""
     ratio_ = F.greatest("width", "height") / F.nullif(F.least("width", "height"), F.lit(0))
     reason = (
         F.when(F.col("blur") < F.col("_cut"), "blurred").when(F.abs("yaw") > max_yaw, "yaw")
         .when((F.col("luma") < luma[0]) | (F.col("luma") > luma[1]), "luma").when(ratio_ > aspect, "aspect")
     )
-    return rows.join(F.broadcast(cutoffs), "dataset").withColumn("quality_reason", reason).drop("_cut")
+    return with_percentiles(rows, rows, "blur", {"_cut": ("cont", blur_percentile)}, ["dataset"]).withColumn("quality_reason", reason).drop("_cut")

@@ -30,3 +30,17 @@ def running_before(df: DataFrame, order: str, values: dict[str, Column], digits:
 def first_of_each(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """The first n rows of each group; the limit is pushed below the exchange by Spark's window group limit."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= n)
+
+
+def numbered_by(df: DataFrame, by: list[str], order: str, rank: str, digits: int = 3) -> DataFrame:
+    """Number the rows of each group of `by` from 1 in `order` (hex digests, none null); nulls in `by` are a group.
+
+    Two levels, so that a group with a third of all rows is no single task: counts of the cells of `digits` leading
+    digits, then numbers inside a cell.
+    """
+    df = df.drop(rank).withColumns({"_by": F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in by]), "_cell": F.substring(order, 1, digits)})
+    cells = df.groupBy("_by", "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    ahead = cells.select(F.col("_by").alias("_by2"), F.col("_cell").alias("_cell2"), (F.sum("_c").over(Window.partitionBy("_by").orderBy("_cell")) - F.col("_c")).alias("_ahead"))
+    inside = df.withColumn(rank, F.row_number().over(Window.partitionBy("_by", "_cell").orderBy(order)))
+    met = inside.join(ahead, F.col("_by").eqNullSafe(F.col("_by2")) & (F.col("_cell") == F.col("_cell2")))
+    return met.withColumn(rank, F.col(rank) + F.col("_ahead")).drop("_by", "_cell", "_by2", "_cell2", "_ahead")

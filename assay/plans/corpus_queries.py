@@ -340,9 +340,12 @@ def _(spark, sf):
 
 # ---- adapters: paths made from table keys
 _FF = """SELECT concat('ff/', CASE WHEN l_linenumber % 3 = 0 THEN 'original_sequences/youtube/raw/' WHEN l_linenumber % 3 = 1 THEN 'manipulated_sequences/Deepfakes/c23/' ELSE 'manipulated_sequences/NeuralTextures/c40/' END,
-  CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_partkey AS STRING) ELSE concat(CAST(l_partkey AS STRING), '_', CAST(l_suppkey + 100000 AS STRING)) END, '.mp4') AS path FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.085 AND l_tax < 0.025"""
+  CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_partkey AS STRING) ELSE concat(CAST(l_partkey AS STRING), '_', CAST(l_suppkey + 100000 AS STRING)) END, '.mp4') AS path FROM lineitem"""
 _FF_SQL = f"""WITH RECURSIVE p AS (SELECT DISTINCT path, {_STEM} AS stem FROM ({_FF})), e AS (SELECT split_part(stem, '_', 1) AS a, split_part(stem, '_', 2) AS b FROM p WHERE stem LIKE '%\\_%' ESCAPE '\\'),
-  links AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), reach AS (SELECT x AS node, x AS other FROM links UNION SELECT r.node, b.y FROM reach r JOIN links b ON r.other = b.x), comp AS (SELECT node, min(other) AS c FROM reach GROUP BY node)
+  links AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+  cc(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM links
+    UNION SELECT l.y, min(c.component) FROM cc c JOIN links l ON l.x = c.node JOIN recurring.cc r ON r.node = l.y WHERE c.component < r.component GROUP BY l.y),
+  comp AS (SELECT node, component AS c FROM cc)
   SELECT path, CASE WHEN path LIKE '%manipulated%' THEN 'fake' ELSE 'real' END AS label, concat('ffpp:', coalesce(c, split_part(stem, '_', 1))) AS grp,
   CASE WHEN path LIKE '%/Deepfakes/%' THEN 'deepfakes' WHEN path LIKE '%NeuralTextures%' THEN 'neuraltextures' ELSE '' END AS method, CASE WHEN path LIKE '%/raw/%' THEN 'raw' WHEN path LIKE '%/c23/%' THEN 'c23' ELSE 'c40' END AS compression, '' AS subject
   FROM p LEFT JOIN comp ON comp.node = split_part(stem, '_', 1)"""
@@ -368,11 +371,14 @@ def _(spark, sf):
 
 
 _CELEB = """SELECT concat('celeb/', CASE WHEN l_linenumber % 4 = 0 THEN 'Celeb-real/id' WHEN l_linenumber % 4 = 3 THEN 'YouTube-real/' ELSE 'Celeb-synthesis/id' END,
-  CASE WHEN l_linenumber % 4 = 0 THEN concat(CAST(l_partkey AS STRING), '_0001') WHEN l_linenumber % 4 = 3 THEN concat('x', CAST(l_orderkey AS STRING)) ELSE concat(CAST(l_partkey AS STRING), '_id', CAST(l_suppkey + 100000 AS STRING), '_0002') END, '.mp4') AS path FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.085 AND l_tax < 0.025"""
+  CASE WHEN l_linenumber % 4 = 0 THEN concat(CAST(l_partkey AS STRING), '_0001') WHEN l_linenumber % 4 = 3 THEN concat('x', CAST(l_orderkey AS STRING)) ELSE concat(CAST(l_partkey AS STRING), '_id', CAST(l_suppkey + 100000 AS STRING), '_0002') END, '.mp4') AS path FROM lineitem"""
 
 
 @query("j1_3_adapter_celebdf", f"""WITH RECURSIVE p AS (SELECT DISTINCT path, {_STEM} AS stem FROM ({_CELEB})), i AS (SELECT *, nullif(regexp_extract(stem, '^id(\\d+)_', 1), '') AS a, nullif(regexp_extract(stem, '^id\\d+_id(\\d+)_\\d+$', 1), '') AS b FROM p),
-  links AS (SELECT a AS x, b AS y FROM i WHERE b IS NOT NULL UNION SELECT b, a FROM i WHERE b IS NOT NULL), reach AS (SELECT x AS node, x AS other FROM links UNION SELECT r.node, b.y FROM reach r JOIN links b ON r.other = b.x), comp AS (SELECT node, min(other) AS c FROM reach GROUP BY node)
+  links AS (SELECT a AS x, b AS y FROM i WHERE b IS NOT NULL UNION SELECT b, a FROM i WHERE b IS NOT NULL),
+  cc(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM links
+    UNION SELECT l.y, min(c.component) FROM cc c JOIN links l ON l.x = c.node JOIN recurring.cc r ON r.node = l.y WHERE c.component < r.component GROUP BY l.y),
+  comp AS (SELECT node, component AS c FROM cc)
   SELECT path, CASE WHEN path LIKE '%synthesis/%' THEN 'celeb-synthesis' ELSE 'real' END AS label, CASE WHEN a IS NOT NULL THEN 'celebdf:' || coalesce(c, a) ELSE 'celebdf:youtube:' || stem END AS grp,
   CASE WHEN path LIKE '%synthesis%' THEN 'celeb-synthesis' ELSE '' END AS method, 'unknown' AS compression, '' AS subject FROM i LEFT JOIN comp ON comp.node = a""")
 def _(spark, sf):

@@ -69,7 +69,7 @@ def _(spark, sf):
     return fl.seal_list_append(fl.seal_list_rows(lines), table(spark, sf, "region").select(F.col("r_name").alias("group_id")))
 
 
-_URLS = "SELECT page_id, CASE page_id % 22 WHEN 0 THEN concat('http://a.example/', CAST(page_id AS STRING)) WHEN 1 THEN 'https://www.youtube.com/watch?v=1' WHEN 2 THEN 'https://youtu.be./x' WHEN 3 THEN 'ftp://a.example/x' WHEN 4 THEN 'https://127.0.0.1/x' WHEN 5 THEN 'https://10.2.3.4:8080/x' WHEN 6 THEN 'https://172.31.0.9/' WHEN 7 THEN 'https://169.254.1.1/meta' WHEN 8 THEN 'https://LOCALHOST/x' WHEN 9 THEN 'https://8.8.8.8/x' WHEN 10 THEN '' WHEN 12 THEN 'https://[::ffff:127.0.0.1]/' WHEN 13 THEN 'https://[::ffff:a00:1]:8443/x' WHEN 14 THEN 'https://[0:0:0:0:0:0:0:1]/' WHEN 15 THEN 'https://[FF02::1]/' WHEN 16 THEN 'https://[2002:7f00:1::]/x' WHEN 17 THEN 'https://[fe80::1%25eth0]/' WHEN 18 THEN 'https://[2606:4700:4700::1111]/' WHEN 19 THEN 'https://[fd12:3456::1]/' WHEN 20 THEN 'https://[::]/' WHEN 21 THEN 'https://[1::2::3]/' ELSE url END AS url FROM pages"
+_URLS = "SELECT page_id, CASE page_id % 30 WHEN 0 THEN concat('http://a.example/', CAST(page_id AS STRING)) WHEN 1 THEN 'https://www.youtube.com/watch?v=1' WHEN 2 THEN 'https://youtu.be./x' WHEN 3 THEN 'ftp://a.example/x' WHEN 4 THEN 'https://127.0.0.1/x' WHEN 5 THEN 'https://10.2.3.4:8080/x' WHEN 6 THEN 'https://172.31.0.9/' WHEN 7 THEN 'https://169.254.1.1/meta' WHEN 8 THEN 'https://LOCALHOST/x' WHEN 9 THEN 'https://8.8.8.8/x' WHEN 10 THEN '' WHEN 12 THEN 'https://[::ffff:127.0.0.1]/' WHEN 13 THEN 'https://[::ffff:a00:1]:8443/x' WHEN 14 THEN 'https://[0:0:0:0:0:0:0:1]/' WHEN 15 THEN 'https://[FF02::1]/' WHEN 16 THEN 'https://[2002:7f00:1::]/x' WHEN 17 THEN 'https://[fe80::1%25eth0]/' WHEN 18 THEN 'https://[2606:4700:4700::1111]/' WHEN 19 THEN 'https://[fd12:3456::1]/' WHEN 20 THEN 'https://[::]/' WHEN 21 THEN 'https://[1::2::3]/' WHEN 22 THEN 'https://127.1/' WHEN 23 THEN 'https://2130706433/' WHEN 24 THEN 'https://0x7F000001/' WHEN 25 THEN 'https://0177.0.0.1/' WHEN 26 THEN 'https://localhost.localdomain/x' WHEN 27 THEN 'https://0xA.2.3:8443/' WHEN 28 THEN 'https://134744072/' WHEN 29 THEN 'https://192.168.257/' ELSE url END AS url FROM pages"
 
 
 _HEADS = ("FFD8FFE0", "89504E470D0A1A0A0000000D494844520000006400000032", "89504E470D0A1A0A0000000D494844520000C8000000C800", "524946460000000057454250", "000000186674797069736F6D", "1A45DFA3", "48656C6C6F", "")
@@ -87,7 +87,7 @@ def _(spark, sf):
     return fl.intake_screen(files.withColumn("length", F.octet_length("content"))).select("path", "ext", "kind", "reject_code")
 
 
-@query("a15_url_policy_screen", f"""SELECT page_id, CASE page_id % 22 WHEN 0 THEN 'insecure scheme' WHEN 1 THEN 'streaming platform' WHEN 2 THEN 'streaming platform' WHEN 3 THEN 'unsupported scheme' WHEN 4 THEN 'loopback address' WHEN 5 THEN 'private address' WHEN 6 THEN 'private address' WHEN 7 THEN 'link-local address' WHEN 8 THEN 'loopback address' WHEN 9 THEN 'ok' WHEN 10 THEN 'missing or too long' WHEN 12 THEN 'loopback address' WHEN 13 THEN 'private address' WHEN 14 THEN 'loopback address' WHEN 15 THEN 'reserved address' WHEN 16 THEN 'loopback address' WHEN 17 THEN 'link-local address' WHEN 18 THEN 'ok' WHEN 19 THEN 'private address' WHEN 20 THEN 'private address' WHEN 21 THEN 'no host'
+@query("a15_url_policy_screen", f"""SELECT page_id, CASE page_id % 30 WHEN 0 THEN 'insecure scheme' WHEN 1 THEN 'streaming platform' WHEN 2 THEN 'streaming platform' WHEN 3 THEN 'unsupported scheme' WHEN 4 THEN 'loopback address' WHEN 5 THEN 'private address' WHEN 6 THEN 'private address' WHEN 7 THEN 'link-local address' WHEN 8 THEN 'loopback address' WHEN 9 THEN 'ok' WHEN 10 THEN 'missing or too long' WHEN 12 THEN 'loopback address' WHEN 13 THEN 'private address' WHEN 14 THEN 'loopback address' WHEN 15 THEN 'reserved address' WHEN 16 THEN 'loopback address' WHEN 17 THEN 'link-local address' WHEN 18 THEN 'ok' WHEN 19 THEN 'private address' WHEN 20 THEN 'private address' WHEN 21 THEN 'no host' WHEN 22 THEN 'loopback address' WHEN 23 THEN 'loopback address' WHEN 24 THEN 'loopback address' WHEN 25 THEN 'loopback address' WHEN 26 THEN 'loopback address' WHEN 27 THEN 'private address' WHEN 28 THEN 'ok' WHEN 29 THEN 'private address'
   ELSE CASE WHEN url LIKE 'https://%' THEN 'ok' WHEN url LIKE 'http://%' THEN 'insecure scheme' ELSE 'unsupported scheme' END END AS policy FROM ({_URLS})""")
 def _(spark, sf):
     pages = spark.sql(_URLS.replace("FROM pages", "FROM {p}"), p=table(spark, sf, "pages"))

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from assay.operators import adapters, corpus
 from assay.operators.graph import connected_components
@@ -210,3 +211,31 @@ def test_components_by_brute_force(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_quality_filters_keep_rows_of_a_null_dataset(spark):
+    rows = [("a", float(i), 0.0, 100.0, 10, 10) for i in range(40)] + [(None, float(i), 0.0, 100.0, 10, 10) for i in range(40)] + [("b", None, 0.0, 100.0, 10, 10)]
+    got = corpus.image_quality_filters(spark.createDataFrame(rows, "dataset string, blur double, yaw double, luma double, width int, height int"))
+    assert got.count() == len(rows)
+    assert got.groupBy("dataset", "quality_reason").count().filter("quality_reason = 'blurred'").orderBy("dataset").select("dataset", "count").collect() == [(None, 2), ("a", 2)]
+
+
+def test_numbers_inside_groups_and_cells(spark):
+    from assay.operators.ordering import numbered_by, seeded
+
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 7 = 0 THEN 'b' ELSE 'a' END AS g").withColumn("o", seeded(1, F.col("id")))
+    got = numbered_by(rows, ["g"], "o", "r").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.o):
+        by.setdefault(r.g, []).append(r.r)
+    assert len(got) == 3000 and all(v == list(range(1, len(v) + 1)) for v in by.values())
+
+
+def test_caps_of_a_large_class_follow_the_seeded_order(spark):
+    rows = spark.range(2000).selectExpr("concat('s', id) AS sample_id", "id AS group_id", "CASE WHEN id % 4 = 0 THEN 'REAL' ELSE 'FAKE' END AS normalized_label",
+                                        "CASE WHEN id % 5 < 3 THEN 'm' WHEN id % 5 = 3 THEN NULL ELSE 'n' END AS manipulation_method", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'd' END AS dataset")
+    got = corpus.balance_caps(rows)
+    counts = {r[0]: r[1] for r in got.groupBy("normalized_label").count().collect()}
+    assert counts["FAKE"] <= counts["REAL"] <= 500
+    assert got.filter("normalized_label = 'FAKE' AND manipulation_method = 'm'").count() <= 600
+    assert got.filter("dataset IS NULL").count() > 0

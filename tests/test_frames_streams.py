@@ -264,3 +264,25 @@ def test_null_keys_keep_their_rows(spark):
     for budget in (1, 7, 50, 59):
         got = sa.budget_fill(pools, "k", budget).groupBy("pool").count().collect()
         assert {r["pool"]: r["count"] for r in got} == {p: min(3, budget - 3 * p) for p in range(-(-budget // 3))}
+
+
+def test_numeric_hosts_as_the_resolver_reads_them(spark):
+    import itertools
+    import socket
+
+    parts = ["0", "1", "127", "255", "256", "0x7f", "0177", "08", "0x", "65535", "65536", "16777215", "16777216", "4294967295", "4294967296", "0x0000000000ff", "000000000000001", "a"]
+    hosts = parts + [".".join(x) for x in itertools.product(parts, parts)] + [".".join(x) for n in (3, 4) for x in itertools.product(["1", "0x7f", "0177", "256", "65536", "a"], repeat=n)] + ["1.2.3.4.5", "1..2", ".1", "1.", "127.0.0.1x"]
+
+    def read(host):
+        try:
+            return int.from_bytes(socket.inet_aton(host), "big")
+        except OSError:
+            return None
+
+    got = {r.h: r.n for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", tx.inet_aton(F.col("h")).alias("n")).collect()}
+    assert {h: read(h) for h in hosts} == got
+
+
+def test_local_names(spark):
+    one = lambda u: spark.range(1).select(tx.url_policy(F.lit(u))).first()[0]
+    assert [one(f"https://{h}/") for h in ("localhost.localdomain", "LOCALHOST.", "a.localhost", "localhost.example")] == ["loopback address"] * 3 + ["ok"]
