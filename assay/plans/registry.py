@@ -40,4 +40,5 @@ from assay.plans import (  # noqa: E402,F401  the modules register their queries
     frame_queries,
     ingest_queries,
     store_queries,
+    temporal_queries,
 )

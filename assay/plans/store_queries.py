@@ -141,11 +141,14 @@ def _(spark, sf):
     return spark.read.schema("scan_id string, agree boolean, ingested_at timestamp").json(f"{folder}/lines").filter("ingested_at IS NOT NULL").select("scan_id", "agree")
 
 
-@query("i1_sliding_rate_limit", """WITH RECURSIVE e AS (SELECT user_id AS client, epoch_us(ts) / 1000000e0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+RATE_LIMIT = """WITH RECURSIVE e AS (SELECT user_id AS client, epoch_us(ts) / 1000000e0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
   walk AS (SELECT DISTINCT client, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DOUBLE) AS t, CAST([] AS DOUBLE[]) AS held, CAST(NULL AS BOOLEAN) AS accepted, CAST(NULL AS BIGINT) AS retry_after FROM e
     UNION ALL SELECT client, rn, t, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, CASE WHEN len(live) >= 3 THEN CAST(trunc(86400 - (t - live[1])) AS BIGINT) + 1 END
     FROM (SELECT e.client, e.rn, e.t, list_filter(w.held, lambda h: e.t - h <= 86400) AS live FROM walk w JOIN e ON e.client = w.client AND e.rn = w.rn + 1))
-  SELECT client, t, accepted, retry_after FROM walk WHERE rn > 0""")
+  SELECT client, t, accepted, retry_after FROM walk WHERE rn > 0"""
+
+
+@query("i1_sliding_rate_limit", RATE_LIMIT)
 def _(spark, sf):
     events = table(spark, sf, "events").select(F.col("user_id").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"))
     return streams.sliding_rate_limit_batch(events, 3, 86400.0)

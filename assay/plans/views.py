@@ -70,6 +70,11 @@ FROM events""",
   event_type <> 'error' AS agree, CASE WHEN value > 60 THEN 'deepfake' ELSE 'real' END AS prediction,
   CAST(50 + event_id % 51 AS INT) AS confidence
 FROM events WHERE event_id % 3 = 0""",
+    "reviews": """SELECT event_id AS review_id, user_id, ts + INTERVAL '10' MINUTE AS at, event_type <> 'error' AS agree
+FROM events WHERE event_id % 3 = 0""",
+    "releases": """SELECT file_type, min(ts) AS at, concat('v', CAST(min(event_id) AS STRING)) AS version
+FROM (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'image' ELSE 'video' END AS file_type FROM events WHERE event_type = 'error')
+GROUP BY file_type, date_trunc('day', ts)""",
     "bench": """SELECT concat('f/', CAST(o_orderkey AS STRING)) AS file,
   CASE WHEN o_orderkey % 3 = 0 THEN 'fake' ELSE 'real' END AS label,
   CASE WHEN o_orderkey % 19 = 0 THEN '' WHEN o_custkey % 4 = 0 THEN 'deepfake' ELSE 'real' END AS prediction,

@@ -6,9 +6,9 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assay.functions.verdicts import verdict
@@ -122,6 +122,35 @@ def jsonl_append(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     return stream.withColumn("ingested_at", F.current_timestamp()).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def sessions(events: DataFrame, by: list[str], gap: str, measures: dict[str, Column] | None = None, lateness: str = "1 hour", at: str = "at") -> DataFrame:
+    """by, session_start, session_end (last event plus gap), events and the measures of each session, from a stream or a table.
+
+    Sessions that a new event joins are merged in the state; a stream puts a session out (append mode) once the watermark
+    has passed its end, so the last ones stay open. Later events are dropped by the watermark: late_rows tells how many.
+    """
+    windowed = events.withWatermark(at, lateness).groupBy(*by, F.session_window(at, gap).alias("_w"))
+    found = windowed.agg(F.count(F.lit(1)).alias("events"), *[c.alias(n) for n, c in (measures or {}).items()])
+    return found.select(*by, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "events", *(measures or {}))
+
+
+def late_rows(stream: StreamingQuery) -> int:
+    """Rows that came behind the watermark so far and count nowhere else."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in stream.recentProgress for s in p["stateOperators"])
+
+
+def run_to_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now into a Parquet table with the number of each batch, and read it back.
+
+    A batch that is run again after a failure replaces its own folder, so no row is lost or doubled.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, batch long").option("basePath", path).parquet(path)
+
+
 def best_effort_sink(write: Callable[[DataFrame], None], dead_letters: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: a batch that cannot be written goes to a dead-letter table instead of being lost."""
 
