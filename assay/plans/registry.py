@@ -36,6 +36,7 @@ def query(name: str, oracle: str | None = None, rounded: tuple[str, ...] = (), d
 from assay.plans import (  # noqa: E402,F401  the modules register their queries
     benchmark_queries,
     corpus_queries,
+    distribution_queries,
     evaluation_queries,
     frame_queries,
     ingest_queries,
