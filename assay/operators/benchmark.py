@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assay.functions.verdicts import int_or_null, is_inconclusive
 from assay.operators.metrics import long_rows, ratio
 from assay.operators.percentiles import with_percentiles
+from assay.session import cut
 
 #: The manipulation types that count as face swaps.
 FACE_SWAP_TYPES = ("face_swap", "face-swap", "deepfakes", "faceswap", "faceshifter", "celeb-synthesis", "dfdc")
@@ -173,9 +174,14 @@ def subgroup_report(joined: DataFrame) -> DataFrame:
         ("face_swap_samples", fake & swap), ("other_manipulation_samples", fake & ~swap),
         ("real_phone_photo_samples", (F.col("label") == "real") & (F.lower(F.trim("source_dataset")) == "real_phone")),
     )
-    member = joined.withColumn("subgroup", F.explode(names))
-    tallies = member.groupBy("subgroup").agg(*tally_columns(all_rows=True), F.avg("latency_ms").alias("mean_ms"))
-    return tally_rates(with_percentiles(tallies, member.select("subgroup", "latency_ms"), "latency_ms", LATENCY, ["subgroup"]))
+    # rows are counted by their set of groups and latency once, before a row goes to each of its groups
+    counted = cut(joined.groupBy(names.alias("subgroups"), "latency_ms").agg(*tally_columns(all_rows=True)))
+    counts = [c for c in counted.columns if c not in ("subgroups", "latency_ms")]
+    member = counted.withColumn("subgroup", F.explode("subgroups"))
+    timed = F.when(F.col("latency_ms").isNotNull(), F.col("samples"))
+    mean = F.sum(F.col("latency_ms") * timed) / F.sum(timed)
+    tallies = member.groupBy("subgroup").agg(*[F.sum(c).alias(c) for c in counts], mean.alias("mean_ms"))
+    return tally_rates(with_percentiles(tallies, member, "latency_ms", LATENCY, ["subgroup"], "samples"))
 
 
 def quality_report(manifest: DataFrame) -> DataFrame:

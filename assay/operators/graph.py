@@ -8,56 +8,60 @@ from pyspark.sql import functions as F
 from assay.session import cut
 
 MAX_ROUNDS = 60
+#: Links of a node that one task may meet. Nodes with a thousandth of all links or more are few enough for a broadcast.
+HUB, FEW = 100_000, 1_000
 
 
-def _neighbours(edges: DataFrame) -> DataFrame:
-    """Each node with the smallest node of its closed neighbourhood, and each neighbour."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m"))
-    return both.join(low, "a")
+def _meet(links: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """links (a, b) joined with low (a, m): the links of a hub are dealt over as many tasks as they need."""
+    if n <= HUB:
+        return links.join(low, "a")
+    hubs = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HUB, n // FEW)).select("a", F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
+    hubs = F.broadcast(hubs)  # at most 2 * FEW nodes
+    dealt = links.join(hubs, "a", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), "parts").cast("int"))).drop("parts")
+    copies = low.join(hubs, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, ["a", "part"]).drop("part")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
-    n = _neighbours(edges).filter("b > a")
-    return n.select(F.col("m").alias("a"), "b")  # no more links than before; the small star drops repeats
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m"))
+    return _meet(both.filter("b > a"), low, n).select(F.col("m").alias("a"), "b")  # no more links than before; the small star drops repeats
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    links = down.join(low, "a")
-    return (
-        links.select(F.col("m").alias("a"), "b")
-        .unionByName(links.select(F.col("m").alias("a"), F.col("a").alias("b")))
-        .filter("a <> b")
-        .distinct()
-    )
+    links = _meet(down, low, n)
+    return links.select(F.col("m").alias("a"), "b").unionByName(low.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+
+
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether each node is a centre or the leaf of one centre: then the centres, smaller than their leaves, name the components."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("leaf")))
+    return roles.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf")).filter("leaf > 1 OR centre = 1 AND leaf = 1").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of any orderable type -> (node, component) with the smallest node as label.
 
-    Nulls and self links are left out. A hub is contracted through min() with map-side combine,
-    so a node of any degree costs one row per task. Lineage is cut each round in the shared folder.
+    Nulls and self links are left out. A hub's smallest neighbour is a min() with map-side combine, and its links are
+    dealt over tasks. The rounds end when only stars are left. Lineage is cut each round in the shared folder.
     """
     edges = cut(
         edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    before, last = None, None
-    for _ in range(MAX_ROUNDS):
-        edges = cut(_small_star(_large_star(edges)))
-        # stars only: no node is both a centre and a leaf, and the set of links stands still; links are distinct, so
-        # two sets of one size are equal if one holds the other. The sum only saves that comparison.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == before and edges.join(last, ["a", "b"], "left_anti").isEmpty():
-            break
-        before, last = now, edges
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    rounds = 0
+    while not _stars_only(edges):
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        n = edges.count()
+        edges = cut(_small_star(_large_star(edges, n), n))
     leaves = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     centres = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return leaves.unionByName(centres)

@@ -1,53 +1,48 @@
 """Exact percentiles of groups that no task has to hold.
 
-Values are counted, counts are summed over CELLS equal ranges of each group's values, and running totals go over the
-cells and then inside a cell. Nulls do not count; a group without values gives NULL.
+Values are counted first; running counts go over slices of the distinct values (of like size, wherever the values lie) and
+then inside a slice. Nulls do not count; a group without values gives NULL.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELLS = 1024
-
-
-def percentiles(rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]], by: list[str] | None = None) -> DataFrame:
-    """One row a group of `by`, with a column for each wanted name: ("cont", q) interpolates, ("disc", q) takes a value."""
-    keys = [f"_g{i}" for i in range(len(by or []))]
-    # a key without nulls for joins: the marker and the value
-    named = rows.select(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("v")).alias(k) for k, c in zip(keys, by or [], strict=True)], F.col(value).cast("double").alias("_v"))
-    counts = named.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    some = counts.filter("_v IS NOT NULL")
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("_total"))
-    meet = lambda a, b, on: a.join(b, reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in on], F.lit(True)), "left").drop(*[b[k] for k in on])
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0).cast("int")
-    celled = meet(some, F.broadcast(span), keys).withColumn("_cell", cell)
-    cells = celled.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_c"))
-    ahead = cells.select(*keys, "_cell", (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell")) - F.col("_c")).alias("_ahead"))
-    inside = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy("_v"))
-    placed = meet(celled.withColumn("_upto", inside), F.broadcast(ahead), [*keys, "_cell"]).withColumn("_upto", F.col("_upto") + F.col("_ahead"))
-    at = lambda i: F.max(F.when((F.col("_upto") - F.col("_n") <= i) & (i < F.col("_upto")), F.col("_v")))
+from assay.operators.ranks import places_of
+from assay.session import cut
+
+
+def percentiles(rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]], by: list[str] | None = None, times: str | None = None, most: int | None = None) -> DataFrame:
+    """One row a group of `by`, with a column for each wanted name: ("cont", q) interpolates, ("disc", q) takes a value.
+
+    `times` may name a column that tells for how many rows a row stands.
+    """
+    group = F.struct(F.lit(0).alias("_"), *[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("v")).alias(f"g{i}") for i, c in enumerate(by or [])])
+    counts = cut(rows.select(group.alias("_g"), F.col(value).cast("double").alias("_v"), (F.col(times) if times else F.lit(1)).cast("long").alias("_n")).groupBy("_g", "_v").agg(F.sum("_n").alias("n")))
+    placed = places_of(counts.filter("_v IS NOT NULL"), "_v", most)
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col("_v")))
 
     def pick(kind: str, q: float) -> Column:
         if kind == "disc":
-            return at(F.greatest(F.ceil(F.lit(q) * F.col("_total")) - 1, F.lit(0)))
-        spot = F.lit(q) * (F.col("_total") - 1)
+            return at(F.greatest(F.ceil(F.lit(q) * F.col("total")) - 1, F.lit(0)))
+        spot = F.lit(q) * (F.col("total") - 1)
         low, high = at(F.floor(spot)), at(F.ceil(spot))
         part = F.max(spot - F.floor(spot))
         return F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
 
-    found = placed.groupBy(*keys).agg(*[pick(*w).alias(n) for n, w in wanted.items()])
-    every = meet(span.select(*keys), found, keys) if keys else found
-    return every.select(*[F.col(f"{k}.v").alias(c) for k, c in zip(keys, by or [], strict=True)], *wanted)
+    picks = [pick(*w).alias(n) for n, w in wanted.items()]
+    if not by:
+        return placed.agg(*picks)
+    every = counts.select("_g").distinct().join(placed.groupBy("_g").agg(*picks), "_g", "left")
+    return every.select(*[F.col(f"_g.g{i}.v").alias(c) for i, c in enumerate(by)], *wanted)
 
 
-def with_percentiles(groups: DataFrame, rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]], by: list[str] | None = None) -> DataFrame:
+def with_percentiles(groups: DataFrame, rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]], by: list[str] | None = None, times: str | None = None) -> DataFrame:
     """groups (one row for each value of `by`) with the percentiles of rows."""
-    found = percentiles(rows, value, wanted, by)
+    found = percentiles(rows, value, wanted, by, times)
     if not by:
         return groups.crossJoin(F.broadcast(found))  # one row each
     found = found.withColumnsRenamed({c: f"_by_{c}" for c in by})

@@ -16,8 +16,12 @@ from assay.operators.slices import LIMIT, MOST, borders, slice_of
 def value_places(rows: DataFrame, value: str, most: int | None = None) -> DataFrame:
     """rows: _g and a value without nulls -> one row a group and value: n (rows), before (rows of smaller values), smaller
     (smaller distinct values) and total (rows of the group)."""
-    ends = borders(rows, value, most)
-    counts = rows.groupBy("_g", value).agg(F.count(F.lit(1)).alias("n")).withColumn("_slice", slice_of(F.col(value), ends))
+    return places_of(rows.groupBy("_g", value).agg(F.count(F.lit(1)).alias("n")), value, most)
+
+
+def places_of(counts: DataFrame, value: str, most: int | None = None) -> DataFrame:
+    """value_places of rows that are counted already: _g, value, n. Slices hold like numbers of distinct values."""
+    counts = counts.withColumn("_slice", slice_of(F.col(value), borders(counts, value, most)))
     slices = counts.groupBy("_g", "_slice").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
     over, whole = Window.partitionBy("_g").orderBy("_slice"), Window.partitionBy("_g")
     ahead = slices.select("_g", "_slice", (F.sum("_n").over(over) - F.col("_n")).alias("_n0"), (F.sum("_d").over(over) - F.col("_d")).alias("_d0"), F.sum("_n").over(whole).alias("total"))

@@ -239,3 +239,45 @@ def test_caps_of_a_large_class_follow_the_seeded_order(spark):
     assert counts["FAKE"] <= counts["REAL"] <= 500
     assert got.filter("normalized_label = 'FAKE' AND manipulation_method = 'm'").count() <= 600
     assert got.filter("dataset IS NULL").count() > 0
+
+
+def test_components_of_hubs_dealt_over_tasks(spark, monkeypatch):
+    """A star, a path and cliques with hubs beyond what one task may meet."""
+    from assay.operators import graph
+
+    monkeypatch.setattr(graph, "HUB", 20)
+    monkeypatch.setattr(graph, "FEW", 4)
+    rng = random.Random(3)
+    star = [(10_000 + i, 7) for i in range(600)] + [(20_000 + i, 8) for i in range(300)] + [(8, 10_005)]
+    path = [(i, i + 1) for i in range(50_000, 50_060)]
+    noise = [(rng.randrange(60_000, 60_400), rng.randrange(60_000, 60_400)) for _ in range(260)]
+    edges = star + path + noise
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    group = {}
+    for x in {n for e in edges if e[0] != e[1] for n in e}:
+        group[x] = x
+    for a, b in edges * 1:
+        if a != b:
+            x, y = sorted((group[a], group[b]))
+            for n, g in group.items():
+                if g == y:
+                    group[n] = x
+    assert got == group
+
+
+def test_a_star_of_many_leaves_is_even(spark, monkeypatch):
+    """No task of the join meets over twice the median, though one node holds nearly all links."""
+    from assay.operators import graph
+
+    monkeypatch.setattr(graph, "HUB", 500)
+    links = spark.range(40_000).selectExpr("0L AS a", "id + 1 AS b").unionByName(spark.range(100).selectExpr("id + 100000 AS a", "id + 200000 AS b"))
+    low = links.groupBy("a").agg(F.min("b").alias("m"))
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = sorted(r["count"] for r in graph._meet(links, low, 40_100).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert sum(sizes) == 40_100 and sizes[-1] <= 2 * sizes[len(sizes) // 2]

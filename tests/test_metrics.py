@@ -1,7 +1,10 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from assay.operators import metrics as m
 from assay.operators.percentiles import percentiles
@@ -41,7 +44,6 @@ def test_condensed_rows_give_the_same_sections(spark):
 
 
 def test_percentiles_by_brute_force(spark):
-    import numpy as np
 
     rng = np.random.default_rng(2)
     rows = [(g, float(v)) for g in ("a", "b", None) for v in (rng.lognormal(3, 2, 400) if g == "a" else rng.integers(0, 5, 301))] + [("c", None), ("d", 7.5), ("a", None)]
@@ -113,3 +115,21 @@ def test_checkpoint_and_interval(spark):
     df = preds(spark, [0] * 10, [0.1] * 10, group_id=[str(i) for i in range(10)])
     r = one(m.error_intervals(df))
     assert (r["rate"], r["groups"], r["wrong"], r["low"], r["high"]) == ("fpr", 10, 0, 0.0, 0.3)
+
+
+def test_percentiles_with_an_outlier_and_a_hot_value(spark):
+    """Slices follow the values: an outlier leaves them even, and a value of half the rows is one entry."""
+    from assay.operators.slices import borders, slice_of
+
+    r = np.random.default_rng(3)
+    rows = [("g", float(x)) for x in r.normal(size=3000)] + [("g", 1e12)] + [("h", 4.0)] * 2000 + [(None, float(i)) for i in range(50)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x.g: x for x in percentiles(df, "v", {"m": ("cont", 0.5), "q": ("cont", 0.05), "p": ("disc", 0.95)}, ["g"], most=100).collect()}
+    for g in ("g", "h", None):
+        own = sorted(v for k, v in rows if k == g)
+        assert got[g].m == pytest.approx(np.percentile(own, 50)) and got[g].q == pytest.approx(np.percentile(own, 5))
+        assert got[g].p == own[math.ceil(0.95 * len(own)) - 1]
+    assert got["none"].m is None
+    counts = df.filter("v IS NOT NULL").groupBy("g", "v").count()
+    sizes = [x["count"] for x in counts.groupBy(slice_of(F.col("v"), borders(counts, "v", 100)).alias("s")).count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
