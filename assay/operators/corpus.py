@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from assay.operators.graph import connected_components
 from assay.operators.metrics import ratio
-from assay.operators.ordering import first_of_each, numbered_by, running_before, seeded
+from assay.operators.ordering import first_of_each, join_frequent, numbered_by, running_before, seeded
 from assay.operators.percentiles import with_percentiles
-from assay.session import cut
+from assay.session import cut, ship
 
 # The closed vocabularies.
 LABELS = {
@@ -142,7 +142,7 @@ def face_quality_status(rows: DataFrame, reject_multiple: bool = False) -> DataF
 
 
 #: Ids of a set that a report shows; rows in one block of a pair search; rounds of joins in the search for keepers.
-SHOWN, BLOCK, ROUNDS = 20, 2_000, 8
+SHOWN, BLOCK, ROUNDS, WALK = 20, 2_000, 8, 200_000
 
 
 def exact_duplicate_sets(rows: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def near_pairs(rows: DataFrame, d: int = NEAR_BITS, block: int = BLOCK) -> DataF
 
     For small d the rows are blocked by d + 1 bit bands: close hashes agree on one, so the result is exact. What one key
     holds is dealt into blocks of about `block` rows, and each pair of blocks meets in a task of its own, so a group
-    with a third of all rows spreads over many tasks.
+    with a third of all rows spreads over many tasks. Equal hashes give all their pairs; near_classes does without them.
     """
     live = rows.filter("phash IS NOT NULL").select("group_id", "sample_id", "phash")
     keys = ["group_id"]
@@ -197,13 +197,23 @@ def near_pairs(rows: DataFrame, d: int = NEAR_BITS, block: int = BLOCK) -> DataF
     return pairs.distinct() if len(keys) > 1 else pairs
 
 
+def hash_classes(rows: DataFrame) -> DataFrame:
+    """One row for each distinct hash of a group: group_id, phash, sample_id (its smallest) and n (its rows)."""
+    live = rows.filter("phash IS NOT NULL AND group_id IS NOT NULL AND sample_id IS NOT NULL")
+    return live.groupBy("group_id", "phash").agg(F.min("sample_id").alias("sample_id"), F.count(F.lit(1)).alias("n"))
+
+
+def near_classes(rows: DataFrame, d: int = NEAR_BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): near_pairs of one representative for each distinct hash of a group, and group_id, sample_id, first
+    (its representative) of every row. A thousand copies are a thousand members, not half a million pairs."""
+    classes = cut(hash_classes(rows))
+    live = rows.filter("phash IS NOT NULL AND group_id IS NOT NULL AND sample_id IS NOT NULL").select("group_id", "phash", "sample_id")
+    members = join_frequent(live, classes.withColumnRenamed("sample_id", "first"), ["group_id", "phash"], "n")
+    return near_pairs(classes.drop("n"), d, block), members.select("group_id", "sample_id", "first")
+
+
 def _walk_components(edges: DataFrame) -> DataFrame:
-    """(group_id, a) dropped by walking each component's ids in order."""
-    node = lambda c: F.struct("group_id", F.col(c).alias("id"))
-    if edges.isEmpty():
-        return edges.select("group_id", "a")
-    classes = connected_components(edges.select(node("a").alias("a"), node("b").alias("b")))
-    named = edges.join(classes, node("a") == F.col("node")).select("component", "group_id", "a", "b")
+    """(group_id, a) dropped by walking each component's ids in order. Components have WALK links at most."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         after = pdf.groupby("a")["b"].apply(list).to_dict()
@@ -213,31 +223,51 @@ def _walk_components(edges: DataFrame) -> DataFrame:
                 gone.update(after[a])
         return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]] * len(gone), "a": sorted(gone)})
 
+    ship(edges.sparkSession)
     kinds = dict(edges.dtypes)
-    return named.groupBy("component").applyInPandas(walk, f"group_id {kinds['group_id']}, a {kinds['a']}")
+    return edges.groupBy("component").applyInPandas(walk, f"group_id {kinds['group_id']}, a {kinds['a']}")
+
+
+def _with_components(edges: DataFrame) -> DataFrame:
+    """edges with their component and its number of links."""
+    node = lambda c: F.struct("group_id", F.col(c).alias("id"))
+    classes = connected_components(edges.select(node("a").alias("a"), node("b").alias("b")))
+    named = cut(edges.join(classes, node("a") == F.col("node")).select("component", "group_id", "a", "b"))
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return join_frequent(named, sizes, ["component"], "n")
 
 
 def near_duplicate_keepers(rows: DataFrame, d: int = NEAR_BITS) -> DataFrame:
     """(keeper, dropped): walking ids in order, a row goes if an earlier kept row of its group is within d bits.
 
-    Rounds of joins: a row without undecided or kept smaller neighbours is kept, and its neighbours go. What is still
-    undecided after ROUNDS of them (long chains of near rows) is walked in order, component by component.
+    Only distinct hashes are compared: what holds for the first row of a hash holds for its others, and if it is kept
+    it keeps them. Rounds of joins: a row without undecided or kept smaller neighbours is kept, and its neighbours go.
+    After ROUNDS of them what is undecided are chains of near rows: components of up to WALK links are walked in order, each
+    in a task; larger ones go on in rounds until they have fallen apart.
     """
-    edges = cut(near_pairs(rows, d).select("group_id", "a", "b"))
-    left, dropped = edges, edges.select("group_id", F.col("b").alias("a")).limit(0)
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
+    pairs, members = near_classes(rows, d)
+    edges = cut(pairs.select("group_id", "a", "b"))
+    left, dropped, rounds = edges, edges.select("group_id", F.col("b").alias("a")).limit(0), 0
+    while not left.isEmpty():
+        rounds += 1
+        if rounds % ROUNDS == 0:
+            sized = cut(_with_components(left))
+            dropped = dropped.unionByName(cut(_walk_components(sized.filter(F.col("n") <= WALK))))
+            left = cut(sized.filter(F.col("n") > WALK).select("group_id", "a", "b"))
+            continue
         blocked = left.select("group_id", F.col("b").alias("a")).distinct()
         kept = cut(left.select("group_id", "a").distinct().join(blocked, ["group_id", "a"], "left_anti"))
         gone = cut(left.join(kept, ["group_id", "a"], "left_semi").select("group_id", F.col("b").alias("a")).distinct())
         dropped = dropped.unionByName(gone)
         out = kept.unionByName(gone)
         left = cut(left.join(out, ["group_id", "a"], "left_anti").join(gone.withColumnRenamed("a", "b"), ["group_id", "b"], "left_anti"))
-    dropped = dropped.unionByName(_walk_components(left))
     # the first keeper of a dropped row is its smallest neighbour that was never dropped
     by_keeper = edges.join(dropped, ["group_id", "a"], "left_anti").join(dropped.withColumnRenamed("a", "b"), ["group_id", "b"], "left_semi")
-    return by_keeper.groupBy("b").agg(F.min("a").alias("keeper")).select("keeper", F.col("b").alias("dropped"))
+    keepers = cut(by_keeper.groupBy("group_id", "b").agg(F.min("a").alias("keeper")).withColumnRenamed("b", "first"))
+    # a dropped hash takes its rows along; a kept one keeps its first row only
+    gone_classes = cut(keepers.join(hash_classes(rows).select("group_id", F.col("sample_id").alias("first"), "n"), ["group_id", "first"]))
+    taken = join_frequent(members, gone_classes, ["group_id", "first"], "n", "left").withColumn("_by", F.coalesce("keeper", "first"))
+    return taken.filter(F.col("keeper").isNotNull() | (F.col("sample_id") != F.col("first"))).select(F.col("_by").alias("keeper"), F.col("sample_id").alias("dropped"))
 
 
 def assign_duplicate_status(rows: DataFrame, exact: DataFrame, near: DataFrame | None = None) -> DataFrame:

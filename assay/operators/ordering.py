@@ -44,3 +44,18 @@ def numbered_by(df: DataFrame, by: list[str], order: str, rank: str, digits: int
     inside = df.withColumn(rank, F.row_number().over(Window.partitionBy("_by", "_cell").orderBy(order)))
     met = inside.join(ahead, F.col("_by").eqNullSafe(F.col("_by2")) & (F.col("_cell") == F.col("_cell2")))
     return met.withColumn(rank, F.col(rank) + F.col("_ahead")).drop("_by", "_cell", "_by2", "_cell2", "_ahead")
+
+
+def join_frequent(big: DataFrame, one: DataFrame, keys: list[str], times: str, how: str = "inner", most: int = 100_000, few: int = 10_000) -> DataFrame:
+    """big joined with `one` (one row a key; `times` tells how many rows of big have it), where a few keys may hold most rows.
+
+    Keys of at least `most` rows, and of a `few`-th of all, are joined by broadcast, so their rows stay where they are; there are
+    at most `few` of them.
+    """
+    total = one.agg(F.sum(times)).first()[0] or 0
+    many = max(most, total // few + 1)
+    if total < most or one.filter(F.col(times) >= many).isEmpty():
+        return big.join(one, keys, how)
+    hot = F.broadcast(one.filter(F.col(times) >= many))
+    rest = big.join(hot.select(*keys), keys, "left_anti").join(one.filter(F.col(times) < many), keys, how)
+    return big.join(hot, keys).unionByName(rest)

@@ -124,6 +124,20 @@ def _(spark, sf):
     return c.near_pairs(hashed(spark, sf), 22)
 
 
+_FIRST = f"SELECT group_id, signs, min(sample_id) AS sample_id FROM ({duck('hash')}) GROUP BY group_id, signs"
+
+
+@query("c10_near_classes", f"WITH h AS ({_FIRST}) {_NEAR}")
+def _(spark, sf):
+    """Pairs between the first rows of the distinct hashes."""
+    return c.near_classes(hashed(spark, sf), 22)[0]
+
+
+@query("c10_class_members", f"SELECT group_id, h.sample_id, f.sample_id AS first FROM ({duck('hash')}) h JOIN ({_FIRST}) f USING (group_id, signs)")
+def _(spark, sf):
+    return c.near_classes(hashed(spark, sf), 22)[1]
+
+
 @query("e1_near_duplicate_keepers", f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY sample_id) AS rn FROM ({duck('hash')})),
   walk AS (SELECT DISTINCT group_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, signs VARCHAR)[]) AS kept, CAST(NULL AS BIGINT) AS keeper, CAST(NULL AS BIGINT) AS dropped FROM h
     UNION ALL SELECT group_id, rn, CASE WHEN near = [] THEN list_append(kept, {{'id': sample_id, 'signs': signs}}) ELSE kept END, CASE WHEN near <> [] THEN near[1].id END, CASE WHEN near <> [] THEN sample_id END

@@ -281,3 +281,41 @@ def test_a_star_of_many_leaves_is_even(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", before[0])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
     assert sum(sizes) == 40_100 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def walked(rows, d):
+    """(keeper, dropped) by walking ids in order."""
+    out, kept = set(), {}
+    for g, i, h in sorted(rows, key=lambda r: (r[0], r[1])):
+        near = [k for k, x in kept.get(g, []) if (x ^ h).bit_count() <= d]
+        if near:
+            out.add((min(near), i))
+        else:
+            kept.setdefault(g, []).append((i, h))
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_keepers_of_copies_and_chains(spark, monkeypatch, most):
+    """Hundreds of equal hashes, chains longer than the rounds, components above and below what one task walks."""
+    if most:
+        monkeypatch.setattr(corpus, "ROUNDS", 2)
+        monkeypatch.setattr(corpus, "WALK", most)
+    rng = random.Random(5)
+    rows = [("g", i, 7) for i in range(300)] + [("g", 300 + i, 7 ^ (1 << rng.randrange(60))) for i in range(60)]
+    rows += [("h", 1000 + i, (1 << (3 * i // 2 % 60)) - 1 & (1 << 62) - 1) for i in range(70)] + [("h", 1100 + i, rng.getrandbits(62)) for i in range(40)]
+    df = spark.createDataFrame([*rows, ("g", 2000, None), (None, 2001, 7)], "group_id string, sample_id long, phash long").repartition(4)
+    assert {(r.keeper, r.dropped) for r in corpus.near_duplicate_keepers(df, 4).collect()} == walked(rows, 4)
+    pairs, members = corpus.near_classes(df, 4)
+    assert members.count() == len(rows) and pairs.count() < 3000
+
+
+def test_frequent_keys_are_joined_where_they_are(spark):
+    from assay.operators.ordering import join_frequent
+
+    big = spark.range(1000).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS k", "id")
+    one = big.groupBy("k").count().withColumnRenamed("count", "n")
+    got = join_frequent(big, one.withColumn("v", F.upper("k")), ["k"], "n", most=100, few=5)
+    assert got.count() == 1000 and got.filter("v = upper(k)").count() == 1000
+    some = join_frequent(big, one.filter("k <> 'k1'"), ["k"], "n", "left", most=100, few=5)
+    assert some.count() == 1000 and some.filter("n IS NULL").count() == 20
