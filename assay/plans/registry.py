@@ -40,6 +40,7 @@ from assay.plans import (  # noqa: E402,F401  the modules register their queries
     evaluation_queries,
     frame_queries,
     ingest_queries,
+    source_queries,
     store_queries,
     temporal_queries,
 )
