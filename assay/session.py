@@ -42,22 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Cuts between two collections of what earlier ones have left.
-CUTS = 8
+CUTS = 4
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and drop its lineage; survives lost executors.
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files (and checkpoints, if so set) of tables that nobody holds: it does so only after the
+    driver's JVM has collected them, which a loop of many small jobs may not cause for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Spark removes shuffle files (and checkpoints, if so set) of tables that nobody holds only after the driver's JVM has
-    collected them, which a loop of many small jobs may not cause for half an hour; so every CUTS-th cut asks for it.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and drop its lineage; survives lost executors. Every CUTS-th one releases what is left over."""
     context = df.sparkSession.sparkContext
     shared_dir(df.sparkSession)
     kept = df.checkpoint(eager=True)
     context._assay_cuts = getattr(context, "_assay_cuts", 0) + 1
     if context._assay_cuts % CUTS == 0:
-        gc.collect()
-        context._jvm.System.gc()
+        release(df.sparkSession)
     return kept
 
 
