@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import columns, hot_join, text_key, tidy
 from assay.operators.graph import connected_components
-from assay.session import cut, ship
+from assay.session import cut, release, ship
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Comparisons in a shard that cost as much as one more copy of a fingerprint.
@@ -46,7 +46,9 @@ COPY = 64
 #: Words after the fingerprint of a shingle set: a 128-bit digest of the set.
 TAIL = 2
 #: Candidates for each fingerprint and shard in the first search of groups that fell apart, and their growth from search to search.
-MOST, MORE = 1, 8
+MOST, MORE = 4, 1 << 16
+#: Pairs verified at once: as many as there are fingerprints, and at least this many.
+PAIRS = 20_000
 #: Share of the radius within which links are looked for first, where they must be verified.
 CLOSE = 2 / 3
 #: Texts that one copy of a text is compared with.
@@ -292,8 +294,21 @@ def close_links(fps: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.nda
     return _forest(*_columns(found, 3))[:3]
 
 
-def outside_candidates(fps: np.ndarray, shard: np.ndarray, group: np.ndarray, asks: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, ...]:
-    """(a, b, bits, whether a has more): for each node that asks the `most` closest within the radius that are of other groups."""
+def first_shared(apart: np.ndarray, mask: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether a pair (its differing bits) agrees on none of the masks before the one that it was found by: each pair counts once."""
+    once = np.ones(len(apart), bool)
+    for j in range(int(mask.max(initial=0))):
+        words = np.flatnonzero(masks[j])
+        some = np.flatnonzero(once & (mask > j))
+        once[some] = (apart[np.ix_(some, words)] & masks[j, words]).any(axis=1)
+    return once
+
+
+def outside_candidates(fps: np.ndarray, shard: np.ndarray, group: np.ndarray, asks: np.ndarray, radius: int, most: int,
+                       mask: np.ndarray | None = None, masks: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(a, b, bits, whether a has more): for each node that asks the `most` closest within the radius that are of other groups.
+
+    With each node's mask and the masks' words, a pair is found by the first mask that it shares, and by no other."""
     tree = BKForest(fps, shard)
     n = len(fps)
     alive = np.ones(n, bool)
@@ -305,6 +320,9 @@ def outside_candidates(fps: np.ndarray, shard: np.ndarray, group: np.ndarray, as
         order = np.lexsort((hit, bits, q))
         order = order[group[q[order]] != group[hit[order]]]
         q, hit, bits = q[order], hit[order], bits[order]
+        if masks is not None:
+            once = np.concatenate([first_shared(fps[q[i : i + 65_536]] ^ fps[hit[i : i + 65_536]], mask[q[i : i + 65_536]], masks) for i in range(0, len(q), 65_536)] or [np.empty(0, bool)])
+            q, hit, bits = q[once], hit[once], bits[once]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         more = np.bincount(q, minlength=n)[q] > most
         out.append(tuple(x[place < most] for x in (q, hit, bits, more)))
@@ -312,6 +330,11 @@ def outside_candidates(fps: np.ndarray, shard: np.ndarray, group: np.ndarray, as
     return _columns(out, 4)
 
 
+def mask_words(masks: list[int], words: int) -> np.ndarray:
+    """The masks as rows of 64-bit words, leading word first."""
+    return np.array([[m >> 64 * (words - 1 - w) & (1 << 64) - 1 for w in range(words)] for m in masks], np.uint64)
+
+
 def shard_codes(fps: np.ndarray, masks: list[int]) -> np.ndarray:
     """A 64-bit shard code for each fingerprint and mask; a chance collision only joins two trees."""
     words = fps.shape[1]
@@ -344,7 +367,8 @@ def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int =
             if b.num_rows:
                 codes = shard_codes(_matrix(b.column("fp"), words)[:, :wide], masks)
                 rows = pa.array(np.repeat(np.arange(b.num_rows), len(masks)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ["fp", *g]), pa.array(codes.ravel())], ["fp", *g, "shard"])
+                number = [pa.array(np.tile(np.arange(len(masks), dtype=np.int32), b.num_rows))] if most else []
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ["fp", *g]), *number, pa.array(codes.ravel())], ["fp", *g, *(["mask"] if most else []), "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -355,8 +379,8 @@ def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int =
         fp, shard = fp[order], shard[order]
         bare = np.ascontiguousarray(fp[:, :wide])
         if most:
-            group, asks = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts])[order] for c in g)
-            a, b, bits, more = outside_candidates(bare, shard, group, asks, radius, most)
+            group, asks, mask = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts])[order] for c in [*g, "mask"])
+            a, b, bits, more = outside_candidates(bare, shard, group, asks, radius, most, mask, mask_words(masks, wide))
             extra = {"more": pa.array(more.astype(bool))}
         else:
             a, b, bits = close_links(bare, shard, radius) if tail else spanning_links(bare, shard, radius)
@@ -366,7 +390,7 @@ def fingerprint_links(fps: DataFrame, radius: int, masks: list[int], wide: int =
         yield pa.RecordBatch.from_pydict({"a": raw(a), "b": raw(b), "bits": pa.array(bits, pa.int64()), **extra})
 
     ship(fps.sparkSession)
-    dealt = fps.mapInArrow(tidy(deal), "fp binary, " + ("g long, asks boolean, " if most else "") + "shard long")
+    dealt = fps.mapInArrow(tidy(deal), "fp binary, " + ("g long, asks boolean, mask int, " if most else "") + "shard long")
     # a task holds all rows of its shards: enough tasks that these are bounded, whatever the table
     tasks = -(-fps.count() * len(masks) // TASK_ROWS)
     dealt = dealt.repartition(tasks, "shard") if tasks > int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) else dealt.repartition("shard")
@@ -425,6 +449,19 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return met.mapInArrow(tidy(run), "a binary, b binary")
 
 
+def verified_in_waves(pairs: DataFrame, texts: DataFrame, n: int, similarity: float, width: int) -> DataFrame:
+    """verified() of PAIRS or n pairs at a time, whatever is more: the texts that travel are then in proportion to the table."""
+    waves = -(-pairs.count() // max(PAIRS, n))
+    if waves < 2:
+        return cut(verified(pairs, texts, similarity, width))
+    good = None
+    for w in range(waves):
+        some = cut(verified(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(waves)) == w), texts, similarity, width))
+        good = some if good is None else good.unionByName(some)
+        release(pairs.sparkSession)
+    return good
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity of sorted distinct hashes; 1 for two empty sets."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -442,7 +479,8 @@ def similar_classes(docs: DataFrame, marked: DataFrame, nodes: DataFrame, radius
     rough = cut(fingerprint_links(nodes, radius, masks, wide, TAIL))
     texts = cut(texts_of(rough, docs, marked, key, text))
     tried = cut(pairs_of(rough))
-    good = cut(verified(tried, texts, similarity, width))
+    n = nodes.count()
+    good = verified_in_waves(tried, texts, n, similarity, width)
     whole = cut(connected_components(rough.select("a", "b")).select("node", F.col("component").alias("whole")))
     most = MOST
     while True:
@@ -456,7 +494,7 @@ def similar_classes(docs: DataFrame, marked: DataFrame, nodes: DataFrame, radius
             return classes
         found = cut(fingerprint_links(again, radius, masks, wide, TAIL, most))
         new = cut(pairs_of(found).join(tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti"))
-        fresh = cut(verified(new, texts, similarity, width))
+        fresh = verified_in_waves(cut(new), texts, n // 2, similarity, width)
         if not fresh.isEmpty():
             good = good.unionByName(fresh)
         elif found.filter("more").isEmpty():
