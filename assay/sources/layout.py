@@ -11,7 +11,8 @@ def bucketed_table(df: DataFrame, name: str, path: str, keys: list[str], buckets
     """Write df as the table `name` under path, in buckets of the keys' hash and sorted by them, and read it.
 
     One task writes a bucket, so a bucket is one file. Tables of the same keys and number of buckets join, and aggregate by
-    the keys, without an exchange. The table's files outlive its name, which is the session's.
+    the keys, without an exchange. The table's files outlive its name, which is the session's. Bucketed tables must not be
+    united and then grouped by their keys (Spark 4.1 groups the parts of such a union apart): read the files for that.
     """
     writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
