@@ -1,15 +1,16 @@
 """Line de-duplication with levelled sorted runs.
 
 A line's key is the line without white space at its ends and with A-Z lower-cased; keys shorter than `min_chars` are
-left alone. The store holds runs of (h1, h2, n_docs, top_doc, fresh) sorted by a 128-bit key hash: how many documents
-of a batch hold the key, the largest id among them, and whether no earlier batch held it. Documents arrive in batches.
-Each batch is reduced to its distinct keys and merge-anti-joined with the runs: keys that no run holds are added as
-fresh entries, the others as counts to add. As soon as a level holds `fanout` runs they are merged into one run of the
-next level. So each key has one fresh entry in all runs, which a store can read as the batch that brought it.
+left alone. The store holds runs of (h1, h2, n_docs, top_doc, fresh) by a 128-bit key hash, bucketed by it and sorted in
+each bucket. Documents arrive in batches. Each batch is reduced to its distinct keys with the number of its documents that
+hold a key and the largest id among them, and merge-anti-joined with the runs: keys that no run holds are its fresh keys, the
+others are counts to add to a key that an earlier batch brought. So a key is fresh in exactly one run, and most keys, which
+one batch holds and no other, are never looked at again but as the other side of a merge. The runs' buckets are joined as
+they lie: only the batch is shuffled. As soon as a level holds `fanout` runs they are compacted into one of the next level.
 
-A line goes if its key is in `min_docs` documents or more and this is not the largest one, which is known only when the
-last batch is in: each batch's lines are then joined with the merged runs, and what goes is a list of line numbers for
-each document. Runs are tables in the shared folder, so a lost executor costs a re-read only.
+A line goes if its key is in `min_docs` documents or more and this is not the largest one. This is known only when the
+last batch is in: each run's fresh keys then meet the counts, and what reaches `min_docs` joins the lines; what goes is a
+list of line numbers for each document. Runs are tables in the shared folder, so a lost executor costs a re-read only.
 
 A null or empty text is one empty line. Rows that share a doc_id are one document; null ids are one document, the
 smallest. A very common line is counted with map-side partial sums and joined by broadcast, so no task sees all its holders.
@@ -19,15 +20,19 @@ A document of very many lines costs time in proportion to its lines.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm.common import BLANK, ascii_lower
-from assay.session import shared_dir
+from assay.session import cut, shared_dir
+from assay.sources.layout import bucketed_table
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 6, 3
 HOT_LINES = 10_000
+HASH = ["h1", "h2"]
 
 
 def lines(text: Column) -> Column:
@@ -43,30 +48,46 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), key).alias("h2"))
 
 
+@dataclass
+class Run:
+    """A run as a table of buckets, for joins as it lies, and as rows. Tables of buckets must not be united and then grouped:
+    Spark 4.1 takes the union to be in buckets as well and groups the parts apart (tests/llm holds a case)."""
+
+    table: DataFrame
+    rows: DataFrame
+
+
 class LineRuns:
-    """Levelled runs of line hashes under one folder of the shared store."""
+    """Levelled runs of line hashes under one folder of the shared store, in as many buckets as the session's shuffles have parts."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.folder = folder or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
-        self.levels: list[list[DataFrame]] = []
+        self.spark, self.fanout, self.tag = spark, fanout, uuid.uuid4().hex
+        self.folder = folder or f"{shared_dir(spark)}/line-runs-{self.tag}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[Run]] = []
         self.made = 0
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.folder}/run-{self.made}"
-        self.made += 1
-        rows.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+    def _write(self, rows: DataFrame) -> Run:
+        number, self.made = self.made, self.made + 1
+        path = f"{self.folder}/run-{number}"
+        table = bucketed_table(rows, f"line_runs_{self.tag}_{number}", path, HASH, self.buckets)
+        return Run(table, self.spark.read.schema(rows.schema).parquet(path))
+
+    def runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
+
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """keys (distinct h1, h2) plus fresh: whether no run holds it."""
+        names = keys.columns
+        for i, run in enumerate(self.runs()):
+            keys = keys.join(run.table.filter("fresh").select(*HASH, F.lit(True).alias(f"__run{i}")), HASH, "left")
+        found = F.coalesce(*[F.col(f"__run{i}") for i in range(len(self.runs()))], F.lit(False))
+        return keys.select(*names, (~found).alias("fresh"))
 
     def add(self, batch: DataFrame) -> None:
         """batch: (h1, h2, doc_id) of documents that no earlier batch held, repeats allowed."""
-        counts = batch.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc"))
-        if self.made:
-            known = self.entries().select("h1", "h2", F.lit(False).alias("fresh"))
-            counts = counts.join(known, ["h1", "h2"], "left").select("h1", "h2", "n_docs", "top_doc", F.coalesce("fresh", F.lit(True)).alias("fresh"))
-        else:
-            counts = counts.withColumn("fresh", F.lit(True))
-        run = self._write(counts)
+        counts = batch.distinct().groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc"))
+        run = self._write(self.marked(counts))
         level = 0
         while True:
             if level == len(self.levels):
@@ -74,24 +95,27 @@ class LineRuns:
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            run = self._write(self._merge(self.levels[level]))
+            together = reduce(DataFrame.unionByName, [r.rows for r in self.levels[level]])
+            run = self._write(together.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"), F.bool_or("fresh").alias("fresh")))
             self.levels[level] = []
             level += 1
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for other in runs[1:]:
-            rows = rows.unionByName(other)
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"), F.bool_or("fresh").alias("fresh"))
+    def common(self, min_docs: int) -> DataFrame:
+        """h1, h2, n_docs and top_doc of the keys that min_docs documents hold: each run's fresh keys with all later counts."""
+        later = reduce(DataFrame.unionByName, [r.rows.filter("NOT fresh") for r in self.runs()])
+        later = later.groupBy(*HASH).agg(F.sum("n_docs").alias("more"), F.max("top_doc").alias("last"))
+        total = (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs")
+        parts = [r.table.filter("fresh").join(later, HASH, "left").select(*HASH, total, F.greatest("top_doc", "last").alias("top_doc")) for r in self.runs()]
+        return reduce(DataFrame.unionByName, parts).filter(F.col("n_docs") >= min_docs)
 
     def entries(self) -> DataFrame:
-        return self._merge([r for level in self.levels for r in level])
+        """Every key with the counts of all batches."""
+        return self.common(0).withColumn("fresh", F.lit(True))
 
 
 def unseen(batch: DataFrame, runs: LineRuns) -> DataFrame:
     """The rows (h1, h2, ...) of a new batch whose line no run holds yet: the incremental keep-first form."""
-    return batch.join(runs.entries(), ["h1", "h2"], "left_anti")
+    return runs.marked(batch).filter("fresh").drop("fresh")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
@@ -116,7 +140,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     held = spark.read.schema(f"h1 long, h2 long, doc_id {id_type}, t long, at int, _batch int").parquet(table)
     for b in range(batches):
         runs.add(held.filter(F.col("_batch") == b).select("h1", "h2", "doc_id"))
-    common = runs.entries().filter(F.col("n_docs") >= min_docs).drop("fresh")
+    common = cut(runs.common(min_docs))
     # fewer than HOT_LINES keys can have this many holders, so these are broadcast and never meet in one task
     many = max(min_docs, held.count() // HOT_LINES + 1)
     hot = F.broadcast(common.filter(F.col("n_docs") >= many))

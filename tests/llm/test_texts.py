@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from assay.llm import decontamination, linededup, lm, simhash, tokencount
 
@@ -426,6 +427,60 @@ def test_token_sections_empty(empty):
         tokencount.section_tokens(empty, rule="half")
 
 
+def line_batches(spark, n, each):
+    """n batches of (h1, h2, doc_id): keys of every batch, of some, and of one alone."""
+    rows = [[(k, -k, 100 * b + d) for d in range(each) for k in {1, 2 + (b + d) % 3, 10 + b, 1000 + 50 * b + d}] for b in range(n)]
+    return rows, [spark.createDataFrame(r, "h1 long, h2 long, doc_id long") for r in rows]
+
+
+def test_runs_decide_what_a_batch_adds(spark, monkeypatch):
+    """A key is fresh in one run; the counts depend on it: without the join of a batch with the runs they come out wrong."""
+    rows, batches = line_batches(spark, 7, 4)
+
+    def counted(runs):
+        for b in batches:
+            runs.add(b)
+        return sorted((r.h1, r.h2, r.n_docs, r.top_doc) for r in runs.common(3).collect())
+
+    holders = defaultdict(set)
+    for h1, h2, doc in itertools.chain(*rows):
+        holders[h1, h2].add(doc)
+    expected = sorted((*k, len(v), max(v)) for k, v in holders.items() if len(v) >= 3)
+    runs = linededup.LineRuns(spark, fanout=3)
+    assert counted(runs) == expected
+    fresh = [(r.h1, r.h2) for run in runs.runs() for r in run.rows.filter("fresh").collect()]
+    assert len(fresh) == len(set(fresh)) == len(holders)
+    assert [len(level) for level in runs.levels] == [1, 2]
+    monkeypatch.setattr(linededup.LineRuns, "marked", lambda self, keys: keys.withColumn("fresh", F.lit(True)))
+    assert counted(linededup.LineRuns(spark, fanout=3)) != expected
+
+
+def test_compaction_brings_equal_keys_together(spark):
+    """As a union of bucketed tables would not (Spark 4.1)."""
+    runs = linededup.LineRuns(spark, fanout=2)
+    for b in range(2):
+        runs.add(spark.createDataFrame([(1, 1, b), (2, b, b)], "h1 long, h2 long, doc_id long"))
+    assert sorted((r.h1, r.h2, r.n_docs, r.fresh) for r in runs.runs()[0].rows.collect()) == [(1, 1, 2, True), (2, 0, 1, True), (2, 1, 1, True)]
+
+
+def test_runs_are_joined_as_they_lie(spark):
+    """The runs' side of a batch's join, and of the last one, has no exchange."""
+    _, batches = line_batches(spark, 2, 4)
+    runs = linededup.LineRuns(spark, fanout=5)
+    for b in batches:
+        runs.add(b)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = batches[0].groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"))
+        plan = runs.marked(batch)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1  # the batch alone
+        last = runs.common(3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert last.count("SortMergeJoin") == 2 and last.count("Exchange hashpartitioning") <= 2  # the counts, once for each run
+
+
 def test_recall_of_pairs_at_the_threshold(spark):
     """Pairs planted at a similarity of 0.80 to 0.85: nearly all must be found, and nothing below 0.8."""
     rng = np.random.default_rng(11)
