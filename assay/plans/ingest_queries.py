@@ -87,6 +87,25 @@ def _(spark, sf):
     return fl.intake_screen(files.withColumn("length", F.octet_length("content"))).select("path", "ext", "kind", "reject_code")
 
 
+@query("a14_media_sizes", f"""SELECT path, CASE WHEN k < 4 AND w * h > 40000000 THEN 'too_many_pixels' WHEN k < 4 AND (w < 16 OR h < 16) THEN 'too_small' WHEN k = 4 AND h > 300 THEN 'too_long' END AS reject_code
+  FROM (SELECT concat('up/', CAST(doc_id AS VARCHAR), ['.jpg', '.webp', '.webp', '.webp', '.mp4'][doc_id % 5 + 1]) AS path, CASE WHEN doc_id % 7 = 0 THEN 6000 ELSE CAST(1 + doc_id % 40 AS INT) END AS w, CAST(12 + n_chars % 9000 AS INT) AS h, doc_id % 5 AS k FROM documents)""")
+def _(spark, sf):
+    """Sizes from JPEG segments and the three WEBP forms, clip lengths from a table."""
+    docs = table(spark, sf, "documents").selectExpr("doc_id", "text", "CASE WHEN doc_id % 7 = 0 THEN 6000 ELSE CAST(1 + doc_id % 40 AS INT) END AS w", "CAST(12 + n_chars % 9000 AS INT) AS h", "doc_id % 5 AS k")
+    big = lambda c: F.lpad(F.hex(c), 4, "0")
+    little = lambda c, n: F.concat(*[F.substring(F.lpad(F.hex(c), 2 * n, "0"), 2 * i + 1, 2) for i in reversed(range(n))])
+    w, h = F.col("w"), F.col("h")
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFFFC4000401FF"), F.lit("FFC0001108"), big(h), big(w), F.lit("03"))
+    riff = lambda form: F.concat(F.lit(f"524946460000000057454250{form}00000000"))
+    forms = F.array(
+        jpeg, F.concat(riff("56503858"), F.lit("00000000"), little(w - 1, 3), little(h - 1, 3)), F.concat(riff("56503820"), F.lit("0000009D012A"), little(w, 2), little(h, 2)),
+        F.concat(riff("5650384C"), F.lit("2F"), little((w - 1) + F.shiftleft((h - 1).cast("bigint"), 14), 4)), F.lit("000000186674797069736F6D"))
+    ext = F.element_at(F.array(*map(F.lit, (".jpg", ".webp", ".webp", ".webp", ".mp4"))), (F.col("k") + 1).cast("int"))
+    files = docs.select(F.concat(F.lit("up/"), F.col("doc_id").cast("string"), ext).alias("path"), F.concat(F.unhex(F.element_at(forms, (F.col("k") + 1).cast("int"))), F.col("text").cast("binary")).alias("content"), "h", "k")
+    clips = files.filter("k = 4").select("path", F.col("h").alias("seconds"))
+    return fl.intake_screen(files.select("path", "content", F.octet_length("content").alias("length")), clips).select("path", "reject_code")
+
+
 @query("a15_url_policy_screen", f"""SELECT page_id, CASE page_id % 30 WHEN 0 THEN 'insecure scheme' WHEN 1 THEN 'streaming platform' WHEN 2 THEN 'streaming platform' WHEN 3 THEN 'unsupported scheme' WHEN 4 THEN 'loopback address' WHEN 5 THEN 'private address' WHEN 6 THEN 'private address' WHEN 7 THEN 'link-local address' WHEN 8 THEN 'loopback address' WHEN 9 THEN 'ok' WHEN 10 THEN 'missing or too long' WHEN 12 THEN 'loopback address' WHEN 13 THEN 'private address' WHEN 14 THEN 'loopback address' WHEN 15 THEN 'reserved address' WHEN 16 THEN 'loopback address' WHEN 17 THEN 'link-local address' WHEN 18 THEN 'ok' WHEN 19 THEN 'private address' WHEN 20 THEN 'private address' WHEN 21 THEN 'no host' WHEN 22 THEN 'loopback address' WHEN 23 THEN 'loopback address' WHEN 24 THEN 'loopback address' WHEN 25 THEN 'loopback address' WHEN 26 THEN 'loopback address' WHEN 27 THEN 'private address' WHEN 28 THEN 'ok' WHEN 29 THEN 'private address'
   ELSE CASE WHEN url LIKE 'https://%' THEN 'ok' WHEN url LIKE 'http://%' THEN 'insecure scheme' ELSE 'unsupported scheme' END END AS policy FROM ({_URLS})""")
 def _(spark, sf):

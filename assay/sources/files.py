@@ -14,9 +14,12 @@ MANIFEST = {
     "sha256": "string", "phash": "string", "face_found": "boolean", "face_score": "double", "face_count": "int", "crop_box": "string", "crop_path": "string",
     "split": "string", "status": "string", "rejection_reason": "string", "notes": "string",
 }
+# Extensions and limits of the intake.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "bmp")
 IMAGE_TYPES, VIDEO_TYPES = (".jpg", ".jpeg", ".png", ".webp"), (".mp4", ".mov", ".webm")
-MAX_BYTES, MAX_PIXELS = 100 * 1024 * 1024, 40_000_000
+MAX_BYTES, MAX_PIXELS, MIN_SIDE, MAX_SECONDS = 100 * 1024 * 1024, 40_000_000, 16, 300
+#: Segments of a JPEG file that are looked at for its size.
+SEGMENTS = 512
 
 
 def typed_manifest(raw: DataFrame) -> DataFrame:
@@ -138,8 +141,64 @@ def table_append(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("mergeSchema", True).parquet(path)
 
 
-def intake_screen(files: DataFrame) -> DataFrame:
-    """path, length, content -> ext, kind, reject_code (NULL = accepted), by ordered checks; listing columns come first."""
+def _number(content: Column, at: Column | int, n: int, little: bool = False) -> Column:
+    """The unsigned number in n bytes from byte `at` (from 0); NULL beyond the end."""
+    raw = F.substring(content, F.lit(at) + 1, F.lit(n))
+    digits = F.hex(raw)
+    if little:
+        digits = F.concat(*[F.substring(F.hex(raw), 2 * i + 1, 2) for i in reversed(range(n))])
+    return F.when(F.octet_length(raw) == n, F.conv(digits, 16, 10).cast("bigint"))
+
+
+def jpeg_size(content: Column) -> Column:
+    """(w, h) from the frame header, found by walking from segment to segment; NULLs where there is none."""
+    def step(s: Column, _: Column) -> Column:
+        mark = _number(content, s["at"], 2)
+        kind = mark % 256
+        frame = (mark >= 0xFFC0) & (mark <= 0xFFCF) & ~kind.isin(0xC4, 0xC8, 0xCC)
+        bare = kind.isin(0x01, *range(0xD0, 0xDA))
+        then = F.when(mark == 0xFFFF, s["at"] + 1).when(bare, s["at"] + 2).otherwise(s["at"] + 2 + _number(content, s["at"] + 2, 2))
+        over = F.coalesce((mark < 0xFF00) | (kind == 0xDA), F.lit(True))  # no marker, or the picture itself
+        moved = F.struct(
+            F.when(~over & ~frame, F.coalesce(then, s["at"])).otherwise(s["at"]).cast("bigint").alias("at"),
+            F.when(frame, _number(content, s["at"] + 7, 2)).alias("w"), F.when(frame, _number(content, s["at"] + 5, 2)).alias("h"),
+            (over | F.coalesce(frame, F.lit(False))).alias("done"),
+        )
+        return F.when(s["done"], s).otherwise(moved)
+
+    none = F.lit(None).cast("bigint")
+    start = F.struct(F.lit(2).cast("bigint").alias("at"), none.alias("w"), none.alias("h"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), start, step, lambda s: F.struct(s["w"].alias("w"), s["h"].alias("h")))
+
+
+def webp_size(content: Column) -> Column:
+    """(w, h) of the extended, lossy and lossless forms."""
+    form = F.hex(F.substring(content, 13, 4))
+    lossless = _number(content, 21, 4, little=True)
+    pick = lambda x, l, v: F.when(form == "56503858", x).when((form == "56503820") & (F.hex(F.substring(content, 24, 3)) == "9D012A"), l).when((form == "5650384C") & (_number(content, 20, 1) == 0x2F), v)
+    return F.struct(
+        pick(_number(content, 24, 3, little=True) + 1, _number(content, 26, 2, little=True) % 16384, lossless % 16384 + 1).alias("w"),
+        pick(_number(content, 27, 3, little=True) + 1, _number(content, 28, 2, little=True) % 16384, F.shiftright(lossless, 14) % 16384 + 1).alias("h"),
+    )
+
+
+def image_size(content: Column, ext: Column) -> Column:
+    """(w, h) from the headers of PNG, JPEG and WEBP files; NULLs where the header does not tell. Nothing is decoded."""
+    none = F.lit(None).cast("bigint")
+    png = F.struct(_number(content, 16, 4).alias("w"), _number(content, 20, 4).alias("h"))
+    return F.when(ext == ".png", png).when(ext.isin(".jpg", ".jpeg"), jpeg_size(content)).when(ext == ".webp", webp_size(content)).otherwise(F.struct(none.alias("w"), none.alias("h")))
+
+
+def intake_screen(files: DataFrame, clips: DataFrame | None = None) -> DataFrame:
+    """path, length, content -> ext, kind, reject_code (NULL = accepted), by ordered checks; listing columns come first.
+
+    clips (path, seconds; one row a path): lengths that a decoder has measured. Sizes and lengths that are not known
+    reject nothing.
+    """
+    if clips is not None:
+        files = files.join(clips.select("path", F.col("seconds").cast("double").alias("_seconds")), "path", "left")
+    else:
+        files = files.withColumn("_seconds", F.lit(None).cast("double"))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
     head = F.hex(F.substring("content", 1, 32))
     starts = lambda x: head.startswith(x)
@@ -148,14 +207,15 @@ def intake_screen(files: DataFrame) -> DataFrame:
         .when(ext == ".webp", starts("52494646") & (F.substring(head, 17, 8) == "57454250"))
         .when(ext.isin(".mp4", ".mov"), F.substring(head, 1, 32).contains("66747970")).when(ext == ".webm", starts("1A45DFA3")).otherwise(False)
     )
-    side = lambda at: F.conv(F.substring(head, at, 8), 16, 10).cast("bigint")
-    pixels = F.when(ext == ".png", side(33) * side(41))
-    code = (
+    code = lambda w, h: (
         F.when(~ext.isin(*IMAGE_TYPES, *VIDEO_TYPES), "bad_type").when(F.col("length") == 0, "empty_file").when(F.col("length") > MAX_BYTES, "too_large")
-        .when(~magic, "bad_magic").when(pixels > MAX_PIXELS, "too_many_pixels")
+        .when(~magic, "bad_magic").when(w * h > MAX_PIXELS, "too_many_pixels").when((w < MIN_SIDE) | (h < MIN_SIDE), "too_small")
+        .when(ext.isin(*VIDEO_TYPES) & (F.col("_seconds") > MAX_SECONDS), "too_long")
     )
-    kind = F.when(ext.isin(*IMAGE_TYPES), "image").when(ext.isin(*VIDEO_TYPES), "video")
-    return files.select("path", "length", ext.alias("ext"), F.when(code.isNull(), kind).alias("kind"), code.alias("reject_code"))
+    kind = F.when(F.col("ext").isin(*IMAGE_TYPES), "image").when(F.col("ext").isin(*VIDEO_TYPES), "video")
+    # the size is bound once (by the array), not computed again for each check
+    judged = F.transform(F.array(image_size(F.col("content"), ext)), lambda size: code(size["w"], size["h"]))
+    return files.select("path", "length", ext.alias("ext"), F.get(judged, F.lit(0)).alias("reject_code")).select("path", "length", "ext", F.when(F.col("reject_code").isNull(), kind).alias("kind"), "reject_code")
 
 
 def content_hash(files: DataFrame) -> DataFrame:

@@ -286,3 +286,24 @@ def test_numeric_hosts_as_the_resolver_reads_them(spark):
 def test_local_names(spark):
     one = lambda u: spark.range(1).select(tx.url_policy(F.lit(u))).first()[0]
     assert [one(f"https://{h}/") for h in ("localhost.localdomain", "LOCALHOST.", "a.localhost", "localhost.example")] == ["loopback address"] * 3 + ["ok"]
+
+
+def test_sizes_from_headers(spark):
+    """Segments before the frame, fill bytes, progressive frames, cut files; unknown sizes reject nothing."""
+    jpeg = lambda *segments: b"\xff\xd8" + b"".join(segments)
+    seg = lambda kind, body: bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    frame = lambda w, h, kind=0xC0: seg(kind, b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\x03")
+    webp = lambda form, body: b"RIFF\0\0\0\0WEBP" + form + b"\0\0\0\0" + body
+    cases = {
+        "a.jpg": (jpeg(seg(0xE0, b"JFIF" * 3), seg(0xE1, b"\xff\xc0" * 40), frame(640, 480)), None),
+        "b.jpg": (jpeg(b"\xff" + frame(9000, 9000, 0xC2)), "too_many_pixels"), "c.jpeg": (jpeg(seg(0xC4, b"x" * 30), frame(15, 400)), "too_small"),
+        "d.jpg": (jpeg(seg(0xE0, b"JFIF")), None), "e.jpg": (jpeg(seg(0xDA, b"scan") + frame(2, 2)), None), "f.jpg": (jpeg(*[seg(0xFE, b"note")] * 300, frame(8, 8)), "too_small"),
+        "g.webp": (webp(b"VP8X", b"\0\0\0\0" + (8999).to_bytes(3, "little") + (8999).to_bytes(3, "little")), "too_many_pixels"),
+        "h.webp": (webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + (15).to_bytes(2, "little") + (300).to_bytes(2, "little")), "too_small"),
+        "i.webp": (webp(b"VP8L", b"\x2f" + (639 | 14 << 14).to_bytes(4, "little")), "too_small"), "j.webp": (webp(b"VP8L", b"\x2f" + (639 | 479 << 14).to_bytes(4, "little")), None),
+        "k.png": (b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (16).to_bytes(4, "big") + (16).to_bytes(4, "big"), None), "l.png": (b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR", None),
+        "m.mp4": (b"\0\0\0\x18ftypmp42", "too_long"), "n.mp4": (b"\0\0\0\x18ftypmp42", None), "o.webm": (b"\x1aE\xdf\xa3", None),
+    }
+    files = spark.createDataFrame([(p, len(c), bytearray(c)) for p, (c, _) in cases.items()], "path string, length long, content binary")
+    clips = spark.createDataFrame([("m.mp4", 300.5), ("n.mp4", 300.0), ("a.jpg", 1000.0)], "path string, seconds double")
+    assert {r.path: r.reject_code for r in fl.intake_screen(files, clips).collect()} == {p: want for p, (_, want) in cases.items()}
