@@ -26,6 +26,12 @@ def columns(names: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]
 
 
+def aliased(names: list[str]) -> tuple[list[Column], list[str]]:
+    """Columns by their names under numbered names, and those: PySpark's Arrow maps cannot take names with dots."""
+    plain = [f"__{i}" for i in range(len(names))]
+    return [c.alias(n) for c, n in zip(columns(names), plain, strict=True)], plain
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

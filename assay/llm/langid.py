@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import columns
+from assay.llm.common import aliased
 from assay.session import ship
 
 MAX_LABELLED, SLOTS, AMBIGUOUS = 20_000, 1 << 16, 0.9
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and ambiguous in place of the text."""
     others = [c for c in docs.columns if c not in (text, "lang_pred", "score", "ambiguous")]
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + ", lang_pred string, score double, ambiguous boolean"
+    taken, own = aliased(others)
+    shape = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(own, others, strict=True)) + "lang_pred string, score double, ambiguous boolean"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots * bits floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +151,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             return m.decode(np.asarray(total) / n * min(1.0, np.sqrt(n / 60)))
 
         for b in batches:
-            got = [one(t.as_py()) for t in b.column(text)]
+            got = [one(t.as_py()) for t in b.column("__text")]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in others), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],
-                [*others, "lang_pred", "score", "ambiguous"],
+                [*(b.column(c) for c in own), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],
+                [*own, "lang_pred", "score", "ambiguous"],
             )
 
     ship(docs.sparkSession)
-    return docs.select(*columns(others), text).mapInArrow(run, shape)
+    return docs.select(*taken, F.col(text).alias("__text")).mapInArrow(run, shape).toDF(*others, "lang_pred", "score", "ambiguous")

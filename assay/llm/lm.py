@@ -39,7 +39,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import columns, tidy
+from assay.llm.common import aliased, tidy
 from assay.session import shared_dir, ship
 
 #: Tokens merged at a time in a counting task, bytes of text scored at a time, tokens meant for one bucket.
@@ -431,8 +431,9 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     """docs with n_tokens, n_known, train_tokens, base_score, score and perplexity in place of the text."""
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     others = [c for c in docs.columns if c not in (text, *new)]
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    shape += ", n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    taken, own = aliased(others)
+    shape = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(own, others, strict=True))
+    shape += "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -444,9 +445,9 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
                 rows = batch.slice(at, n)
                 at += n
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in others), pa.array(lens), pa.array(known), pa.array(np.full(n, model.tokens)), pa.array(base), pa.array(full), pa.array(10.0 ** np.minimum(-full / lens, 300))],
-                    [*others, *new],
+                    [*(rows.column(c) for c in own), pa.array(lens), pa.array(known), pa.array(np.full(n, model.tokens)), pa.array(base), pa.array(full), pa.array(10.0 ** np.minimum(-full / lens, 300))],
+                    [*own, *new],
                 )
 
     ship(docs.sparkSession)
-    return docs.select(*columns(others), F.col(text).cast("binary").alias(text)).mapInArrow(tidy(run), shape)
+    return docs.select(*taken, F.col(text).cast("binary").alias("__text")).mapInArrow(tidy(run), shape).toDF(*others, *new)

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from assay.llm.common import columns
+from assay.llm.common import aliased
 from assay.session import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -97,8 +98,9 @@ def section_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
         raise ValueError(f"rule must be one of {RULES}")
     new = ["section", "n_tokens", "n_crossing", "n_bytes", "doc_tokens"]
     others = [c for c in docs.columns if c not in (text, *new)]
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    shape += ", section int, n_tokens long, n_crossing long, n_bytes long, doc_tokens long"
+    taken, own = aliased(others)
+    shape = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(own, others, strict=True))
+    shape += "section int, n_tokens long, n_crossing long, n_bytes long, doc_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, sizes = load(vocabulary)
@@ -108,9 +110,9 @@ def section_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
             def flush(rows: list, parts: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
                 take = pa.array(np.concatenate(rows))
                 counts = [np.concatenate([p[i] for p in parts]) for i in range(5)]
-                return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in others), *map(pa.array, counts)], [*others, *new])
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in own), *map(pa.array, counts)], [*own, *new])
 
-            for i, x in enumerate(batch.column(text)):
+            for i, x in enumerate(batch.column("__text")):
                 t = x.as_py() or ""
                 raw = t.encode()
                 starts = line_starts(raw)
@@ -129,4 +131,4 @@ def section_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
                 yield flush(rows, parts)
 
     ship(docs.sparkSession)
-    return docs.select(*columns(others), text).mapInArrow(run, shape)
+    return docs.select(*taken, F.col(text).alias("__text")).mapInArrow(run, shape).toDF(*others, *new)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import columns, tidy
+from assay.llm.common import aliased, tidy
 from assay.session import cut, ship
 
 MAX_LABELLED, STEMS = 20_000, (3, 4, 5, 6, 7, 8)
@@ -358,26 +358,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """docs with a column score in place of the text."""
     others = [c for c in docs.columns if c not in (text, "score")]
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + ", score double"
+    taken, own = aliased(others)
+    shape = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(own, others, strict=True)) + "score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = model.scanner()
         for b in batches:
-            values = pa.array([scan.score(t.as_py()) for t in b.column(text)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), values], [*others, "score"])
+            values = pa.array([scan.score(t.as_py()) for t in b.column("__text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), values], [*own, "score"])
 
     ship(docs.sparkSession)
-    return docs.select(*columns(others), text).mapInArrow(tidy(run), shape)
+    return docs.select(*taken, F.col(text).alias("__text")).mapInArrow(tidy(run), shape).toDF(*others, "score")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows whose score is below the threshold, all columns kept."""
-    schema = docs.schema
+    names = docs.columns
+    taken, own = aliased(names)
+    at, rows = names.index(text), docs.select(*taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = model.scanner()
         for b in batches:
-            yield b.filter(pa.array([scan.score(t.as_py()) < threshold for t in b.column(text)], pa.bool_()))
+            yield b.filter(pa.array([scan.score(t.as_py()) < threshold for t in b.column(own[at])], pa.bool_()))
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(tidy(run), schema)
+    return rows.mapInArrow(tidy(run), rows.schema).toDF(*names)
