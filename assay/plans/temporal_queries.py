@@ -82,7 +82,7 @@ def _event_stream(spark, sf):
   SELECT event_id, upload_id FROM u WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.upload_id = u.upload_id AND a.at >= u.at AND a.at <= u.at + INTERVAL '30' MINUTE)
     AND epoch_us(u.at) // 1000 + 1800001 <= (SELECT epoch_us(max(ts)) // 1000 - 300000 FROM events)""")
 def _(spark, sf):
-    """Uploads that no analysis follows within half an hour, by map and list state and event-time timers."""
+    """Uploads that no analysis follows within half an hour, by one state value and one event-time timer of each user."""
     folder = f"{shared_dir(spark)}/abandoned-{uuid.uuid4().hex}"
     rows = _event_stream(spark, sf).select("event_id", F.col("user_id").alias("upload_id"), "at", (F.col("event_id") % 2 == 0).alias("is_upload"))
     with stateful.rocksdb(spark):

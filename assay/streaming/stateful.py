@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,57 +39,72 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 class AbandonedUploads(StatefulProcessor):
     """Puts out each upload that no analysis of its key follows within ttl.
 
-    A map holds the uploads that wait, a list the analyses that an upload still on its way could need. An upload's
-    timer ends its wait; as the watermark has passed it then, no analysis in time can come any more.
+    A key's state is one value: the uploads that wait, and the analyses that an upload still on its way could need. Its only
+    timer is that of the earliest upload; when it ends, all waits that the watermark has passed end with it, as no analysis
+    in time can come for them any more. So a key costs a few calls and a sort each batch, however many uploads it has.
     """
 
+    STATE = "ids array<long>, us array<long>, analyses array<long>, timer long"
+
     def __init__(self, ttl: float):
         self.ttl = int(ttl * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "event_id long", "us long")
-        self.analyses = handle.getListState("analyses", "us long")
+        self.state = handle.getValueState("waits", self.STATE)
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int | None]:
+        ids, us, analyses, timer = self.state.get() or ([], [], [], None)
+        return *(np.array(x, dtype="int64") for x in (ids, us, analyses)), timer
+
+    def _hold(self, ids: np.ndarray, us: np.ndarray, analyses: np.ndarray, timer: int | None, watermark: int, fired: bool = False) -> None:
+        """Keep what the next batches need and see to the timer; Spark removes one that has fired."""
+        analyses = analyses[analyses >= watermark * 1000]  # an upload that is still to come is later than the watermark
+        wanted = int(us.min() + self.ttl) // 1000 + 1 if len(us) else None
+        if wanted != timer:
+            if timer is not None and not fired:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if len(ids) or len(analyses):
+            self.state.update((ids.tolist(), us.tolist(), analyses.tolist(), wanted))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done = [a for (a,) in self.analyses.get()] if self.analyses.exists() else []
-        new = []
-        for part in rows:
-            for event, us, upload in zip(part["event_id"].tolist(), part["us"].tolist(), part["is_upload"].tolist(), strict=True):
-                if upload:
-                    new.append((event, us))
-                else:
-                    done.append(us)
-        for (event,), (us,) in list(self.waiting.iterator()) if self.waiting.exists() else []:
-            if any(us <= a <= us + self.ttl for a in done):
-                self.waiting.removeKey((event,))
-        for event, us in new:
-            if not any(us <= a <= us + self.ttl for a in done):
-                self.waiting.updateValue((event,), (us,))
-                self.handle.registerTimer((us + self.ttl) // 1000 + 1)
-        # an upload that is still to come is later than the watermark
-        kept = [(a,) for a in done if a >= timerValues.getCurrentWatermarkInMs() * 1000]
-        if kept:
-            self.analyses.put(kept)
-        else:
-            self.analyses.clear()
-        yield pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "upload_id": pd.Series([], dtype="int64")})
+        ids, us, analyses, timer = self._held()
+        new = pd.concat(list(rows), ignore_index=True)
+        upload = new["is_upload"].to_numpy(dtype=bool)
+        at, events = new["us"].to_numpy(dtype="int64"), new["event_id"].to_numpy(dtype="int64")
+        ids, us = np.concatenate([ids, events[upload]]), np.concatenate([us, at[upload]])
+        analyses = np.sort(np.concatenate([analyses, at[~upload]]))
+        if len(analyses) and not pd.isna(key[0]):  # a null key is equal to none
+            first = np.searchsorted(analyses, us)  # the earliest analysis at or after each upload
+            waits = (first == len(analyses)) | (analyses[np.minimum(first, len(analyses) - 1)] > us + self.ttl)
+            ids, us = ids[waits], us[waits]
+        self._hold(ids, us, analyses, timer, timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        over = [event for (event,), (us,) in self.waiting.iterator() if (us + self.ttl) // 1000 + 1 <= now]
-        for event in over:
-            self.waiting.removeKey((event,))
-        yield pd.DataFrame({"event_id": pd.Series(over, dtype="int64"), "upload_id": pd.Series([key[0]] * len(over), dtype="int64")})
+        ids, us, analyses, timer = self._held()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = (us + self.ttl) // 1000 + 1 <= now
+        self._hold(ids[~over], us[~over], analyses, timer, timerValues.getCurrentWatermarkInMs(), fired=timer == expiredTimerInfo.getExpiryTimeInMs())
+        name = None if pd.isna(key[0]) else key[0]
+        yield pd.DataFrame({"event_id": ids[over], "upload_id": pd.Series([name] * int(over.sum()), dtype="Int64")})
 
     def close(self) -> None:
         pass
 
 
 def abandoned_uploads(events: DataFrame, ttl: float = 1800.0, lateness: str = "5 minutes") -> DataFrame:
-    """events: upload_id, event_id (long), at, is_upload; streaming -> event_id, upload_id of the uploads without an analysis in time."""
+    """events: upload_id, event_id (long), at, is_upload; streaming -> event_id, upload_id of the uploads without an analysis in time.
+
+    Rows without a time, or of unknown kind, and uploads without an event_id are left out.
+    """
     ship(events.sparkSession)
-    rows = events.withWatermark("at", lateness).withColumn("us", F.unix_micros("at"))
+    rows = events.filter("at IS NOT NULL AND (event_id IS NOT NULL AND is_upload OR NOT is_upload)").withColumn("event_id", F.coalesce("event_id", F.lit(0)))
+    rows = rows.withWatermark("at", lateness).withColumn("us", F.unix_micros("at"))
     return rows.groupBy("upload_id").transformWithStateInPandas(AbandonedUploads(ttl), "event_id long, upload_id long", "Append", "EventTime")
 
 

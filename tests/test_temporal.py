@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,19 @@ def test_rate_limit_with_timers_equals_its_twin(spark, tmp_path):
     twin = streams.sliding_rate_limit_batch(spark.createDataFrame(rows, schema).select("client", (F.unix_micros("at") / 1_000_000).alias("t")), 3, 600.0).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, twin), key=str)
     assert {x.accepted for x in got} == {True, False}
+
+
+def test_one_busy_key_of_uploads_takes_a_few_state_calls(spark, tmp_path):
+    """All uploads of one key, most of which wait through the batch; null keys match nothing, repeated rows are rows."""
+    rows = [(i, None if i % 50 == 0 else 1, at(i * 7), i % 3 > 0) for i in range(60_000)] + [(60_000, 1, None, True), (1, 1, at(7), True)]
+    schema = "event_id long, upload_id long, at timestamp, is_upload boolean"
+    stream = as_files(spark, tmp_path, rows, schema, [rows])
+    began = time.monotonic()
+    with stateful.rocksdb(spark):
+        got = streams.run_to_table(stateful.abandoned_uploads(stream, 6.0, "2 minutes"), str(tmp_path / "out"), str(tmp_path / "c")).collect()
+    took = time.monotonic() - began
+    end = at(59_999 * 7) - dt.timedelta(minutes=2)
+    done = {(u, t) for _, u, t, up in rows if not up and u}
+    expected = [(e, u) for e, u, t, up in rows if up and t and t + dt.timedelta(seconds=6) < end and not any((u, t + dt.timedelta(seconds=s)) in done for s in range(7))]
+    assert sorted(((x.event_id, x.upload_id) for x in got), key=str) == sorted(expected, key=str)
+    assert len(expected) > 39_000 and took < 60  # waits were compared with each other and each had its timer: minutes
