@@ -7,6 +7,8 @@ place in time and get nulls (as-of join, frames) or no session. Null keys are a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,13 +94,58 @@ def session_summary(events: DataFrame, by: list[str], gap: float, measures: dict
     return found.withColumn("session_end", end).drop("_end")
 
 
-def range_frames(rows: DataFrame, by: list[str], span: float, measures: dict[str, Column], at: str = "at", most: int | None = None) -> DataFrame:
-    """rows plus the measures (aggregates) over the key's rows of the last `span` seconds, own time and ties included.
+#: Aggregates whose parts can be put together: of two parts, and of a column.
+PARTS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "count": (F.count, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))),
+    "sum": (F.sum, lambda x, y: F.coalesce(x + y, x, y)),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
+
+
+def range_frames(rows: DataFrame, by: list[str], span: float, measures: dict[str, Column | tuple[str, Column]], at: str = "at", most: int | None = None) -> DataFrame:
+    """rows plus the measures over the key's rows of the last `span` seconds, own time and ties included.
 
-    A slice is at least as wide as the frame, so the frame of a row touches its own slice and the one before. Each row also
-    goes, as a halo, to the next slice if the frame of a row there can reach it: nothing else is copied.
+    A measure is (one of PARTS, column), or any aggregate. Each row costs the same in the first form, however many rows a frame
+    holds; an aggregate is computed anew over each frame, so its cost grows with the square of the rows in a span of time.
     """
+    parts = {n: m for n, m in measures.items() if isinstance(m, tuple)}
+    others = {n: m for n, m in measures.items() if n not in parts}
     width = int(span * 1_000_000)
+    if not parts or width < 1:
+        return _frames(rows, by, width, others | {n: PARTS[kind][0](c) for n, (kind, c) in parts.items()}, at, most)
+    out = _frames_of_parts(rows, by, width, parts, at)
+    out = _frames(out, by, width, others, at, most) if others else out
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c not in measures], *measures)
+
+
+def _frames_of_parts(rows: DataFrame, by: list[str], width: int, measures: dict[str, tuple[str, Column]], at: str) -> DataFrame:
+    """Time is cut into spells as wide as the frame: a frame is the end of one spell and the beginning of the next.
+
+    Two running aggregates, one forward and one backward, tell both; the row asks for the second where its frame begins, by
+    a row of its own there.
+    """
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)])
+    own = rows.select(row.alias("_row"), _key(by).alias("_key"), seconds(F.col(at)).alias("_t"), *[c.alias(f"_v{i}") for i, (_, c) in enumerate(measures.values())])
+    own = own.withColumn("_spell", F.col("_t") - F.pmod("_t", F.lit(width)))
+    kinds = [PARTS[kind] for kind, _ in measures.values()]
+    of_key = Window.partitionBy("_key", "_spell")
+    forward = of_key.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    backward = of_key.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    timed = F.col("_t").isNotNull()
+    begun = own.select("_row", "_key", "_t", "_spell", *[F.when(timed, whole(f"_v{i}").over(forward)).alias(f"_p{i}") for i, (whole, _) in enumerate(kinds)])
+    asked = begun.withColumns({"_t": F.col("_t") - width, "_spell": F.col("_spell") - width})
+    both = asked.unionByName(own.filter(timed).drop("_row"), allowMissingColumns=True)
+    seen = both.select("_row", "_t", *[f"_p{i}" for i in range(len(kinds))], *[whole(f"_v{i}").over(backward).alias(f"_q{i}") for i, (whole, _) in enumerate(kinds)]).filter("_row IS NOT NULL")
+    found = [F.when(timed, put(F.col(f"_p{i}"), F.col(f"_q{i}"))).cast(seen.schema[f"_p{i}"].dataType).alias(n) for i, (n, (_, put)) in enumerate(zip(measures, kinds, strict=True))]
+    return seen.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(rows.columns) if c not in measures], *found)
+
+
+def _frames(rows: DataFrame, by: list[str], width: int, measures: dict[str, Column], at: str, most: int | None) -> DataFrame:
+    """Any aggregates over frames: a slice is at least as wide as the frame, so the frame of a row touches its own slice and
+    the one before. Each row also goes, as a halo, to the next slice if the frame of a row there can reach it: nothing else
+    is copied.
+    """
     marked = rows.withColumns({"_key": _key(by), "_t": seconds(F.col(at))})
     ends = borders(marked, "_t", most, apart=float(width))
     own = marked.withColumns({"_slice": slice_of(F.col("_t"), ends), "_halo": F.lit(False)})

@@ -104,11 +104,11 @@ _FRAME = """OVER (PARTITION BY user_id ORDER BY "at" RANGE BETWEEN INTERVAL '12'
 @query("m4_range_frames", f"""SELECT scan_id, count(*) {_FRAME} AS scans_12h, CAST(sum(latency_ms) {_FRAME} AS BIGINT) AS latency_12h, max(latency_ms) {_FRAME} AS slowest_12h, min(confidence) {_FRAME} AS least_sure_12h FROM ({S})""")
 def _(spark, sf):
     """Rate and load of each scan's user in the twelve hours before it."""
-    measures = {"scans_12h": F.count(F.lit(1)), "latency_12h": F.sum("latency_ms"), "slowest_12h": F.max("latency_ms"), "least_sure_12h": F.min("confidence")}
+    measures = {"scans_12h": ("count", F.lit(1)), "latency_12h": ("sum", F.col("latency_ms")), "slowest_12h": ("max", F.col("latency_ms")), "least_sure_12h": ("min", F.col("confidence"))}
     return tp.range_frames(scans(spark, sf), ["user_id"], 12 * 3600, measures).select("scan_id", *measures)
 
 
 @query("m4_range_frames_by_type", f"""SELECT scan_id, count(*) OVER (PARTITION BY file_type ORDER BY "at" RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS scans_1h FROM ({S})""")
 def _(spark, sf):
     """The same for two keys that hold all rows."""
-    return tp.range_frames(scans(spark, sf), ["file_type"], 3600, {"scans_1h": F.count(F.lit(1))}).select("scan_id", "scans_1h")
+    return tp.range_frames(scans(spark, sf), ["file_type"], 3600, {"scans_1h": ("count", F.lit(1))}).select("scan_id", "scans_1h")

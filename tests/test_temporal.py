@@ -153,3 +153,25 @@ def test_one_busy_key_of_uploads_takes_a_few_state_calls(spark, tmp_path):
     expected = [(e, u) for e, u, t, up in rows if up and t and t + dt.timedelta(seconds=6) < end and not any((u, t + dt.timedelta(seconds=s)) in done for s in range(7))]
     assert sorted(((x.event_id, x.upload_id) for x in got), key=str) == sorted(expected, key=str)
     assert len(expected) > 39_000 and took < 60  # waits were compared with each other and each had its timer: minutes
+
+
+def test_range_frames_of_parts_equal_any_aggregates(spark, events):
+    """Parts put together equal aggregates over whole frames; rows ask nothing of a frame twice."""
+    rows = frame(spark, events).withColumn("w", F.when(F.col("v") > 2, F.col("v") / 4))
+    rows = rows.unionByName(rows.limit(40).withColumn("at", F.col("at") + F.expr("INTERVAL 600 SECONDS")))
+    both = {"n": ("count", F.lit(1)), "some": ("count", F.col("w")), "sum": ("sum", F.col("w")), "top": ("max", F.col("v")), "low": ("min", F.col("w"))}
+    whole = {"n": F.count(F.lit(1)), "some": F.count("w"), "sum": F.sum("w"), "top": F.max("v"), "low": F.min("w")}
+    for span in (600.0, 0.0):
+        got = tp.range_frames(rows, ["user"], span, both)
+        expected = tp.range_frames(rows, ["user"], span, whole)
+        assert got.dtypes == expected.dtypes and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+    mixed = tp.range_frames(rows, ["user"], 600.0, {"n": both["n"], "kinds": F.collect_set("v"), "top": both["top"]})
+    assert mixed.columns == [*rows.columns, "n", "kinds", "top"] and mixed.count() == rows.count()
+
+
+def test_a_dense_hour_costs_each_row_the_same(spark):
+    """A hundred thousand rows of one key within an hour: each frame holds half of them on average."""
+    rows = spark.range(100_000).select("id", F.lit("k").alias("user"), F.timestamp_micros(F.col("id") * 30_000).alias("at"))
+    began = time.monotonic()
+    got = tp.range_frames(rows, ["user"], 3600.0, {"n": ("count", F.lit(1)), "first": ("min", F.col("id"))})
+    assert got.filter("n <> id + 1 OR first <> 0").isEmpty() and time.monotonic() - began < 60
