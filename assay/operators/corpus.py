@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.operators.graph import connected_components
+from assay.operators.graph import connected_components, spanning_links
 from assay.operators.metrics import ratio
 from assay.operators.ordering import first_of_each, join_frequent, numbered_by, running_before, seeded
 from assay.operators.percentiles import with_percentiles
@@ -386,7 +386,7 @@ def outputs(rows: DataFrame) -> dict[str, DataFrame]:
 
 def pair_components(pairs: DataFrame) -> DataFrame:
     """(node, component): ids linked by pairs; the label is the smallest id as a string."""
-    return connected_components(pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
+    return connected_components(spanning_links(pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))))
 
 
 def frame_indices(count: Column, fps: Column, target: int, min_gap: float = 0.0) -> Column:

@@ -2,15 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assay.session import cut
+from assay.session import cut, ship
 
 MAX_ROUNDS = 60
 #: Links of a node that one task may meet. Nodes with a thousandth of all links or more are few enough for a broadcast.
 HUB, FEW = 100_000, 1_000
 
+#: Links that a task looks at together, and how many times fewer of them must do to replace them.
+CHUNK, GAIN = 1 << 21, 2
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number reachable from each of 0 to n - 1 by the links."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])  # roots hang under smaller roots
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
+def _thinned(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    """A forest with the components of the links, if it has that far fewer."""
+    both = pa.Table.from_batches(held)
+    n = both.num_rows
+    met = pa.chunked_array([*both["a"].chunks, *both["b"].chunks]).combine_chunks().dictionary_encode()
+    codes, names = met.indices.to_numpy(), met.dictionary
+    if len(names) * GAIN > n:
+        return None
+    root = _roots(codes[:n], codes[n:], len(names))
+    leaf = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(leaf)), names.take(pa.array(root[leaf]))], schema=held[0].schema)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links in chunks: the forest of one is the beginning of the next. From a chunk on that stays, all pass as they are."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < CHUNK:
+            continue
+        forest = _thinned(held)
+        if forest is None:
+            yield from held
+            yield from batches
+            return
+        held, n = [forest], forest.num_rows
+    if n:
+        forest = _thinned(held)
+        yield from held if forest is None else [forest]
+
+
+def spanning_links(links: DataFrame) -> DataFrame:
+    """(a, b) links of numbers or strings -> links with the same components, often as few as a small multiple of the nodes.
+
+    Tasks thin out the links first as they lie, then those of the same `a`; a hub's links are dealt over tasks.
+    """
+    links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    if not all(isinstance(f.dataType, (T.StringType, T.IntegralType)) for f in links.schema):
+        return links
+    ship(links.sparkSession)
+    thin = lambda df: df.mapInArrow(_forest, links.schema)
+    return thin(thin(links).hint("rebalance", F.col("a")))
+
 
 def _meet(links: DataFrame, low: DataFrame, n: int) -> DataFrame:
     """links (a, b) joined with low (a, m): the links of a hub are dealt over as many tasks as they need."""
