@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assay.functions.verdicts import mmss, verdict
 from assay.operators.metrics import ratio
 from assay.operators.ordering import first_of_each
+from assay.operators.percentiles import percentiles
 
 # How a clip's score is made.
 WEIGHTS = {"median": 0.40, "mean": 0.25, "top_k": 0.35}
@@ -207,14 +208,20 @@ def temporal_signals(frames: DataFrame) -> DataFrame:
     return clips.join(per, "video_id", "left").withColumn("faces_found", F.coalesce("faces_found", F.lit(0)))
 
 
-def stage_profile(spans: DataFrame, stages: list[int | str], frames: int | None = None) -> DataFrame:
+def stage_profile(spans: DataFrame, stages: list[int | str], frames: int | None = None, summed: bool = False) -> DataFrame:
     """Per case and stage: median seconds over the runs (a missing stage is 0), share of the median total; plus the rest.
 
-    spans: case_name, run_id, stage, seconds, where stage 'total' names the whole run.
+    spans: case_name, run_id, stage, seconds, where stage 'total' names the whole run; `summed`: a run's total is the sum of all its
+    spans. Each span is met once, and medians come from counted values, so that no group is held whole.
     """
-    runs = spans.groupBy("case_name", "run_id").pivot("stage", [*stages, "total"]).agg(F.sum("seconds")).fillna(0.0)
-    med = lambda c: F.expr(f"percentile(`{c}`, 0.5)")
-    per = runs.groupBy("case_name").agg(*[med(s).alias(f"m_{s}") for s in stages], med("total").alias("total"))
+    stage = F.col("stage").cast("string")
+    total = F.sum("seconds") if summed else F.sum(F.when(stage == "total", F.col("seconds")))
+    sums = [F.sum(F.when(stage == str(s), F.col("seconds"))).alias(f"_{i}") for i, s in enumerate(stages)]
+    runs = spans.groupBy("case_name", "run_id").agg(*sums, total.alias(f"_{len(stages)}"))
+    each = runs.select("case_name", F.posexplode(F.array(*[F.coalesce(F.col(f"_{i}").cast("double"), F.lit(0.0)) for i in range(len(stages) + 1)])).alias("at", "seconds"))
+    medians = percentiles(each, "seconds", {"seconds": ("cont", 0.5)}, ["case_name", "at"])
+    med = lambda i: F.max(F.when(F.col("at") == i, F.col("seconds")))
+    per = medians.groupBy("case_name").agg(*[med(i).alias(f"m_{s}") for i, s in enumerate(stages)], med(len(stages)).alias("total"))
     known = sum((F.col(f"m_{s}") for s in stages), F.lit(0.0))
     rows = [F.struct(F.lit(str(s)).alias("stage"), F.col(f"m_{s}").alias("seconds")) for s in stages]
     rows.append(F.struct(F.lit("other").alias("stage"), F.greatest(F.lit(0.0), F.col("total") - known).alias("seconds")))

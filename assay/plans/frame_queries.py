@@ -147,9 +147,7 @@ _SPANS = duck("spans")
   m AS (SELECT case_name, median(a) AS a, median(b) AS b, median(c) AS c, median(t) AS t FROM r GROUP BY case_name)
   SELECT case_name, stage, seconds, seconds / nullif(t, 0) AS share, seconds * 1000 / 10 AS ms_per_frame FROM (SELECT case_name, t, '1' AS stage, a AS seconds FROM m UNION ALL SELECT case_name, t, '2', b FROM m UNION ALL SELECT case_name, t, '3', c FROM m UNION ALL SELECT case_name, t, 'other', greatest(0, t - a - b - c) FROM m)""", ("share", "ms_per_frame"))
 def _(spark, sf):
-    spans = view(spark, sf, "spans").withColumn("stage", F.col("stage").cast("string"))
-    total = spans.withColumn("stage", F.lit("total"))
-    return fr.stage_profile(spans.unionByName(total), ["1", "2", "3"], frames=10)
+    return fr.stage_profile(view(spark, sf, "spans"), ["1", "2", "3"], frames=10, summed=True)
 
 
 @query("h17_resource_summary", f"SELECT case_name, max(seconds) AS peak, max(seconds) - arg_min(seconds, run_id * 10 + stage) AS over_baseline, max(stage) - min(stage) AS cpu_s, (max(stage) - min(stage)) / nullif(max(run_id * 10 + stage) - min(run_id * 10 + stage), 0)::DOUBLE AS cores FROM ({_SPANS}) GROUP BY case_name", ("cores",))

@@ -133,3 +133,14 @@ def test_percentiles_with_an_outlier_and_a_hot_value(spark):
     counts = df.filter("v IS NOT NULL").groupBy("g", "v").count()
     sizes = [x["count"] for x in counts.groupBy(slice_of(F.col("v"), borders(counts, "v", 100)).alias("s")).count().collect()]
     assert len(sizes) > 20 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_stage_profile_sums_totals_and_meets_a_span_once(spark):
+    from pyspark.sql import functions as F
+
+    from assay.operators.frames import stage_profile
+
+    spans = spark.range(500).select((F.col("id") % 3).cast("string").alias("case_name"), (F.col("id") % 41).alias("run_id"), (F.col("id") % 5).cast("string").alias("stage"), (F.col("id") % 17 / 4).alias("seconds"))
+    named = stage_profile(spans.unionByName(spans.withColumn("stage", F.lit("total"))), ["1", "2"], 10)
+    summed = stage_profile(spans, ["1", "2"], 10, summed=True)
+    assert sorted(map(tuple, summed.collect())) == sorted(map(tuple, named.collect())) and summed.count() == 9
