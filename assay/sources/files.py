@@ -245,19 +245,21 @@ JSON_LEAVES = T.StructType([T.StructField("path", T.StringType()), T.StructField
 
 def flatten_json(df: DataFrame, key: str, column: str, depth: int = 4) -> DataFrame:
     """key, path, value of every leaf down to a depth; arrays give their length too. Text that is not JSON gives nothing."""
-    level = df.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(column).alias("v")).filter("v IS NOT NULL")
-    leaves = None
+    # one chain: each text is parsed once, and leaves found (rows without v) go along with what is still to be opened
+    rows = df.repartition(key).select(F.col(key), F.lit("").alias("path"), F.explode(F.filter(F.array(F.try_parse_json(column)), lambda v: v.isNotNull())).alias("v"), F.lit(None).cast("string").alias("value"))
     for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        deep = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        flat = level.filter(~deep).select(key, "path", F.col("v").cast("string").alias("value"))
-        sizes = level.filter(kind.startswith("ARRAY")).select(key, F.concat("path", F.lit("#")).alias("path"), F.size(F.expr("cast(v as array<variant>)")).cast("string").alias("value"))
-        part = flat.unionByName(sizes)
-        leaves = part if leaves is None else leaves.unionByName(part)
-        level = level.filter(deep).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
-            F.col(key), F.concat("path", F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.format_string("[%d]", "pos"))).alias("path"), F.col("value").alias("v")
-        )
-    return leaves.unionByName(level.select(key, "path", F.to_json("v").alias("value")))
+        kind = F.col("kind")
+        row = lambda path, v, value, deep: F.struct(path.alias("path"), v.cast("variant").alias("v"), value.cast("string").alias("value"), deep.alias("deep"))
+        found, none = F.lit(False), F.lit(None)
+        own = row(F.col("path"), F.col("v"), F.col("value"), F.lit(True))
+        size = row(F.concat("path", F.lit("#")), none, F.size(F.expr("try_cast(v as array<variant>)")), found)
+        leaf = row(F.col("path"), none, F.coalesce("value", F.col("v").try_cast("string")), found)
+        parts = F.when(kind.startswith("ARRAY"), F.array(own, size)).when(kind.startswith("OBJECT"), F.array(own)).otherwise(F.array(leaf))
+        marked = rows.withColumn("kind", F.substring(F.schema_of_variant("v"), 1, 6)).select(key, F.explode(parts).alias("x")).select(key, F.col("x.path").alias("path"), F.col("x.v").alias("v"), F.col("x.value").alias("value"), F.col("x.deep").alias("deep"))
+        opened = marked.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).toDF("_pos", "_name", "_v")).filter("_pos IS NOT NULL OR NOT deep")
+        step = F.when(F.col("_name").isNotNull(), F.concat(F.lit("."), "_name")).when(F.col("_pos").isNotNull(), F.format_string("[%d]", "_pos")).otherwise("")
+        rows = opened.select(key, F.concat("path", step).alias("path"), F.col("_v").alias("v"), "value")
+    return rows.select(key, "path", F.coalesce("value", F.to_json("v")).alias("value"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, volatile: tuple[str, ...] = ("processingTime", "completedAt", "uploadId", "heatmapDataUrl")) -> DataFrame:
