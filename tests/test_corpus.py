@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import adapters, corpus
-from assay.operators.graph import connected_components
+from assay.operators.graph import connected_components, spanning_links
 from assay.operators.ordering import running_before
+from assay.sources import files
 
 
 def test_components_of_chains_and_stars(spark):
@@ -319,3 +320,33 @@ def test_frequent_keys_are_joined_where_they_are(spark):
     assert got.count() == 1000 and got.filter("v = upper(k)").count() == 1000
     some = join_frequent(big, one.filter("k <> 'k1'"), ["k"], "n", "left", most=100, few=5)
     assert some.count() == 1000 and some.filter("n IS NULL").count() == 20
+
+
+def test_spanning_links_keep_components_and_are_few(spark):
+    """Two hundred thousand links over nine hundred nodes shrink to a few forests with the same components; sparse ones stay."""
+    links = spark.range(200_000).select(F.concat(F.lit("p"), F.col("id") * 7919 % 600).alias("a"), F.concat(F.lit("s"), F.col("id") * 7919 % 600 % 3 + F.floor(F.col("id") / 600) % 100 * 3).alias("b"))
+    few = spanning_links(links).localCheckpoint()
+    assert few.count() < 10_000
+    got, expected = connected_components(few).collect(), connected_components(links).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and len({r.component for r in got}) == 3
+    sparse = spark.createDataFrame([(i, i + 1) for i in range(0, 99, 3)] + [(5, 5), (None, 1)], "a long, b long")
+    assert sorted(map(tuple, spanning_links(sparse).collect())) == [(i, i + 1) for i in range(0, 99, 3)]
+
+
+def test_adapters_deal_rows_without_an_id(spark):
+    """Rows without a second id, or without any, are joined once or spread; an unlinked pair takes the smaller of two labels."""
+    paths = [("m/manipulated_sequences/Deepfakes/c23/2_3.mp4",), ("m/manipulated_sequences/Deepfakes/c23/7_9.mp4",), ("o/raw/9_3.mp4",), ("o/raw/8_5.mp4",), ("o/raw/3.mp4",), ("o/raw/x.mp4",), ("o/raw/4.mp4",)]
+    got = {r.path: r.grp for r in adapters.adapt("ffpp", spark.createDataFrame(paths, "path string")).collect()}
+    assert [got[p] for (p,) in paths] == ["ffpp:2", "ffpp:7", "ffpp:2", "ffpp:5", "ffpp:2", None, "ffpp:4"]
+    out = adapters.adapt("celebdf", spark.range(2000).select(F.concat(F.lit("YouTube-real/x"), F.col("id"), F.lit(".mp4")).alias("path")))
+    assert out.select("grp").distinct().count() == 2000
+
+
+def test_flatten_json_parses_a_text_once(spark):
+    """One scan of the texts, whatever the depth; nested and empty containers, JSON nulls, texts that are no JSON."""
+    texts = ['{"a": {"b": [1, {"c": null}]}, "d": "x", "e": [], "f": {}}', "not json", None, "7", '{"l": {"m": {"n": {"o": {"p": 1}}}}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, js string")
+    flat = files.flatten_json(df.repartition(2), "id", "js")
+    got = sorted((r.id, r.path, r.value) for r in flat.collect() if r.path != ".a.b[1].c")
+    assert got == [(0, ".a.b#", "2"), (0, ".a.b[0]", "1"), (0, ".d", "x"), (0, ".e#", "0"), (3, "", "7"), (4, ".l.m.n.o", '{"p":1}')]
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # each level read all texts again
