@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.operators.corpus import pair_components
+from assay.session import cut
 
 # Folder names of the methods and generators, which must match the collections.
 FFPP_METHODS = ("Deepfakes", "Face2Face", "FaceSwap", "NeuralTextures", "FaceShifter")
@@ -46,23 +47,28 @@ def _out(df: DataFrame, label: Column, grp: Column, method: Column | str = "", c
     return df.select("path", label.alias("label"), grp.alias("grp"), col(method).alias("method"), col(compression).alias("compression"), col(subject).alias("subject"))
 
 
-def _with_components(paths: DataFrame, pairs: DataFrame, ids: tuple[Column, Column]) -> DataFrame:
-    """paths plus _component: the smaller label of two ids; an id without a pair is its own label."""
-    labels = pair_components(pairs)
-    df = paths.withColumn("_a", ids[0]).withColumn("_b", ids[1])
-    for c in ("_a", "_b"):
-        names = labels.select(F.col("node").alias(f"{c}n"), F.col("component").alias(f"{c}c"))
-        df = df.join(names, F.col(c) == F.col(f"{c}n"), "left")
-    first = F.coalesce("_ac", "_a")
-    return df.withColumn("_component", F.when(F.col("_b").isNull(), first).otherwise(F.least(first, F.coalesce("_bc", "_b"))))
+def _with_component(df: DataFrame, labels: DataFrame, at: str, name: str) -> DataFrame:
+    """df plus the label of the id in `at`; an id without a pair is its own label. Rows without an id are dealt by their paths."""
+    names = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    df = df.withColumn("_k", F.coalesce(at, F.xxhash64("path").cast("string")))
+    return df.join(names, (F.col("_k") == F.col("_n")) & F.col(at).isNotNull(), "left").withColumn(name, F.coalesce("_c", at)).drop("_k", "_n", "_c")
+
+
+def _with_components(paths: DataFrame, ids: tuple[Column, Column], linked: Column) -> DataFrame:
+    """paths plus _component: the smaller label of two ids. `linked` rows link theirs, so that one id tells the label."""
+    df = paths.withColumn("_a", ids[0]).withColumn("_b", ids[1]).withColumn("_linked", F.coalesce(linked & F.col("_a").isNotNull(), F.lit(False)))
+    labels = cut(pair_components(df.filter("_linked AND _b IS NOT NULL").select(F.col("_a").alias("a"), F.col("_b").alias("b"))))
+    one = F.col("_b").isNull() | F.col("_linked")
+    first = _with_component(df.filter(one), labels, "_a", "_component")
+    both = _with_component(_with_component(df.filter(~one), labels, "_a", "_ac"), labels, "_b", "_bc")
+    return first.unionByName(both.withColumn("_component", F.least("_ac", "_bc")).drop("_ac", "_bc"))
 
 
 def faceforensics(paths: DataFrame) -> DataFrame:
     p, stem = F.translate("path", "\\", "/"), stem_of(F.col("path"))
     pair = r"^(\d+)_(\d+)$"
     fake = p.contains("manipulated_sequences")
-    linked = paths.filter(fake).select(_hit(stem, pair, 1).alias("a"), _hit(stem, pair, 2).alias("b")).filter("a IS NOT NULL")
-    df = _with_components(paths, linked, (F.coalesce(_hit(stem, pair, 1), stem), _hit(stem, pair, 2)))
+    df = _with_components(paths, (F.coalesce(_hit(stem, pair, 1), stem), _hit(stem, pair, 2)), fake)
     method = F.coalesce(*[F.when(F.array_contains(F.split(p, "/"), m), m.lower()) for m in FFPP_METHODS], F.lit(""))
     level = F.coalesce(*[F.when(p.contains(f"/{x}/"), x) for x in ("raw", "c23", "c40")], F.lit("unknown"))
     grp = F.when(F.col("_a").rlike(r"^\d+$"), F.concat(F.lit("ffpp:"), F.col("_component")))
@@ -79,8 +85,7 @@ def dfdc(paths: DataFrame, clips: DataFrame) -> DataFrame:
 def celebdf(paths: DataFrame) -> DataFrame:
     stem, low = stem_of(F.col("path")), F.lower(F.translate("path", "\\", "/"))
     pair, single = r"^id(\d+)_id(\d+)_\d+$", r"^id(\d+)_\d+$"
-    linked = paths.select(_hit(stem, pair, 1).alias("a"), _hit(stem, pair, 2).alias("b")).filter("a IS NOT NULL")
-    df = _with_components(paths, linked, (F.coalesce(_hit(stem, pair, 1), _hit(stem, single, 1)), _hit(stem, pair, 2)))
+    df = _with_components(paths, (F.coalesce(_hit(stem, pair, 1), _hit(stem, single, 1)), _hit(stem, pair, 2)), F.lit(True))
     folder = F.lower(F.coalesce(F.get(F.split(low, "/"), F.size(F.split(low, "/")) - 2), F.lit("")))
     label = F.when(folder.contains("synthesis"), "celeb-synthesis").when(folder.contains("real"), "real").otherwise("")
     grp = F.coalesce(F.concat(F.lit("celebdf:"), F.col("_component")), F.when(low.contains("youtube"), F.concat(F.lit("celebdf:youtube:"), stem)))
