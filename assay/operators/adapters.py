@@ -1,6 +1,7 @@
 """Dataset adapters: how a path tells label, group, method, compression and subject. Each is a set of column expressions.
 
-`adapt(name, paths, ...)` takes a one-column frame `path` and returns path, label, grp, method, compression, subject.
+`adapt(name, paths, ...)` takes a one-column frame `path` and returns path, label, grp, method, compression, subject. The two
+adapters with pairs of ids read their paths more than once; `once=True` has them drop repeated paths only where rows come out.
 Absent data contributes nothing; an unknown name is an error.
 """
 
@@ -19,8 +20,13 @@ FFPP_METHODS = ("Deepfakes", "Face2Face", "FaceSwap", "NeuralTextures", "FaceShi
 GENERATORS = ("stylegan2", "stylegan", "tpdn", "diffusion", "stable-diffusion")
 
 
+def slashed(path: Column) -> Column:
+    """The path with / for each backslash; `translate` would go through it character by character."""
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1)
+    return F.substring_index(slashed(path), "/", -1)
 
 
 def stem_of(path: Column) -> Column:
@@ -54,25 +60,37 @@ def _with_component(df: DataFrame, labels: DataFrame, at: str, name: str) -> Dat
     return df.join(names, (F.col("_k") == F.col("_n")) & F.col(at).isNotNull(), "left").withColumn(name, F.coalesce("_c", at)).drop("_k", "_n", "_c")
 
 
-def _with_components(paths: DataFrame, ids: tuple[Column, Column], linked: Column) -> DataFrame:
-    """paths plus _component: the smaller label of two ids. `linked` rows link theirs, so that one id tells the label."""
-    df = paths.withColumn("_a", ids[0]).withColumn("_b", ids[1]).withColumn("_linked", F.coalesce(linked & F.col("_a").isNotNull(), F.lit(False)))
-    labels = cut(pair_components(df.filter("_linked AND _b IS NOT NULL").select(F.col("_a").alias("a"), F.col("_b").alias("b"))))
-    one = F.col("_b").isNull() | F.col("_linked")
-    first = _with_component(df.filter(one), labels, "_a", "_component")
-    both = _with_component(_with_component(df.filter(~one), labels, "_a", "_ac"), labels, "_b", "_bc")
+def _with_ids(paths: DataFrame, pattern: str) -> DataFrame:
+    """paths plus _stem and its ids _a and _b, the groups of the pattern. Each step is a column that several others use, so Spark works it out once a row."""
+    df = paths.withColumn("_stem", stem_of(F.col("path")))
+    df = df.withColumns({c: F.regexp_extract("_stem", pattern, i) for i, c in enumerate(("_a", "_b"), 1)})
+    return df.withColumns({c: F.nullif(c, F.lit("")) for c in ("_a", "_b")})
+
+
+def _with_components(paths: DataFrame, pattern: str, once: bool, linked: Column | None = None) -> DataFrame:
+    """paths plus _stem and _component: the smaller label of the two ids in the stem. `linked` rows (None: all) link theirs, so that one id tells the label.
+
+    No filter stands on ids: Spark would move it down and work the ids out again. Links pass with nulls, which the graph leaves out.
+    """
+    a = F.col("_a") if linked is None else F.when(linked, F.col("_a"))
+    labels = cut(pair_components(_with_ids(paths, pattern).select(a.alias("a"), F.col("_b").alias("b"))))
+    paths = paths.distinct() if once else paths
+    if linked is None:
+        return _with_component(_with_ids(paths, pattern), labels, "_a", "_component")
+    apart = F.coalesce(~linked & (F.regexp_extract(stem_of(F.col("path")), pattern, 2) != ""), F.lit(False))
+    first = _with_component(_with_ids(paths.filter(~apart), pattern), labels, "_a", "_component")
+    both = _with_component(_with_component(_with_ids(paths.filter(apart), pattern), labels, "_a", "_ac"), labels, "_b", "_bc")
     return first.unionByName(both.withColumn("_component", F.least("_ac", "_bc")).drop("_ac", "_bc"))
 
 
-def faceforensics(paths: DataFrame) -> DataFrame:
-    p, stem = F.translate("path", "\\", "/"), stem_of(F.col("path"))
-    pair = r"^(\d+)_(\d+)$"
-    fake = p.contains("manipulated_sequences")
-    df = _with_components(paths, (F.coalesce(_hit(stem, pair, 1), stem), _hit(stem, pair, 2)), fake)
-    method = F.coalesce(*[F.when(F.array_contains(F.split(p, "/"), m), m.lower()) for m in FFPP_METHODS], F.lit(""))
-    level = F.coalesce(*[F.when(p.contains(f"/{x}/"), x) for x in ("raw", "c23", "c40")], F.lit("unknown"))
-    grp = F.when(F.col("_a").rlike(r"^\d+$"), F.concat(F.lit("ffpp:"), F.col("_component")))
-    return _out(df, F.when(fake, "fake").otherwise("real"), grp, method, level)
+def faceforensics(paths: DataFrame, once: bool = False) -> DataFrame:
+    """once: repeated paths count once."""
+    fake = F.col("path").contains("manipulated_sequences")
+    df = _with_components(paths, r"^(\d+)(?:\z|_(\d+)$)", once, fake).withColumn("_p", slashed(F.col("path")))
+    df = df.withColumn("_parts", F.concat(F.lit("/"), F.col("_p"), F.lit("/")))
+    method = F.coalesce(*[F.when(F.col("_parts").contains(f"/{m}/"), m.lower()) for m in FFPP_METHODS], F.lit(""))
+    level = F.coalesce(*[F.when(F.col("_p").contains(f"/{x}/"), x) for x in ("raw", "c23", "c40")], F.lit("unknown"))
+    return _out(df, F.when(fake, "fake").otherwise("real"), F.concat(F.lit("ffpp:"), F.col("_component")), method, level)
 
 
 def dfdc(paths: DataFrame, clips: DataFrame) -> DataFrame:
@@ -82,14 +100,14 @@ def dfdc(paths: DataFrame, clips: DataFrame) -> DataFrame:
     return _out(df, label, F.concat(F.lit("dfdc:"), stem_of(F.col("original"))), F.when(label == "fake", "dfdc").otherwise(""))
 
 
-def celebdf(paths: DataFrame) -> DataFrame:
-    stem, low = stem_of(F.col("path")), F.lower(F.translate("path", "\\", "/"))
-    pair, single = r"^id(\d+)_id(\d+)_\d+$", r"^id(\d+)_\d+$"
-    df = _with_components(paths, (F.coalesce(_hit(stem, pair, 1), _hit(stem, single, 1)), _hit(stem, pair, 2)), F.lit(True))
-    folder = F.lower(F.coalesce(F.get(F.split(low, "/"), F.size(F.split(low, "/")) - 2), F.lit("")))
-    label = F.when(folder.contains("synthesis"), "celeb-synthesis").when(folder.contains("real"), "real").otherwise("")
-    grp = F.coalesce(F.concat(F.lit("celebdf:"), F.col("_component")), F.when(low.contains("youtube"), F.concat(F.lit("celebdf:youtube:"), stem)))
-    return _out(df, label, grp, F.when(low.contains("synthesis"), "celeb-synthesis").otherwise(""))
+def celebdf(paths: DataFrame, once: bool = False) -> DataFrame:
+    """once: repeated paths count once."""
+    df = _with_components(paths, r"^id(\d+)_(?:id(\d+)_)?\d+$", once).withColumn("_low", F.lower(slashed(F.col("path"))))
+    folder = F.when(F.col("_low").contains("/"), F.substring_index(F.substring_index("_low", "/", -2), "/", 1)).otherwise("")
+    df = df.withColumn("_folder", folder)
+    label = F.when(F.col("_folder").contains("synthesis"), "celeb-synthesis").when(F.col("_folder").contains("real"), "real").otherwise("")
+    grp = F.coalesce(F.concat(F.lit("celebdf:"), F.col("_component")), F.when(F.col("_low").contains("youtube"), F.concat(F.lit("celebdf:youtube:"), F.col("_stem"))))
+    return _out(df, label, grp, F.when(F.col("_low").contains("synthesis"), "celeb-synthesis").otherwise(""))
 
 
 def deeperforensics(paths: DataFrame) -> DataFrame:
@@ -131,7 +149,7 @@ ADAPTERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def adapt(name: str, paths: DataFrame, **side: DataFrame) -> DataFrame:
+def adapt(name: str, paths: DataFrame, **side: DataFrame | bool) -> DataFrame:
     if name not in ADAPTERS:
         raise KeyError(f"unknown dataset {name!r}; known: {sorted(ADAPTERS)}")
     return ADAPTERS[name](paths, **side)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
+        batch = batch.filter(pc.not_equal(batch["a"], batch["b"]))  # nulls go too
         held.append(batch)
         n += batch.num_rows
         if n < CHUNK:
@@ -58,7 +60,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _thinned(held)
         if forest is None:
             yield from held
-            yield from batches
+            yield from (b.filter(pc.not_equal(b["a"], b["b"])) for b in batches)
             return
         held, n = [forest], forest.num_rows
     if n:
@@ -71,9 +73,9 @@ def spanning_links(links: DataFrame) -> DataFrame:
 
     Tasks thin out the links first as they lie, then those of the same `a`; a hub's links are dealt over tasks.
     """
-    links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    links = links.select("a", "b")
     if not all(isinstance(f.dataType, (T.StringType, T.IntegralType)) for f in links.schema):
-        return links
+        return links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     ship(links.sparkSession)
     thin = lambda df: df.mapInArrow(_forest, links.schema)
     return thin(thin(links).hint("rebalance", F.col("a")))

@@ -372,7 +372,7 @@ def _sql(spark, sf, text, name):
 
 @query("j1_1_adapter_ffpp", _FF_SQL)
 def _(spark, sf):
-    return ad.adapt("ffpp", _sql(spark, sf, _FF, "lineitem").distinct())
+    return ad.adapt("ffpp", _sql(spark, sf, _FF, "lineitem"), once=True)
 
 
 _CLIPS = "SELECT concat('clip', CAST(event_id AS STRING), '.mp4') AS clip, CASE WHEN event_id % 2 = 0 THEN 'fake' ELSE 'real' END AS label, CASE WHEN event_id % 2 = 0 THEN concat('clip', CAST(user_id AS STRING), '.mp4') ELSE concat('clip', CAST(event_id AS STRING), '.mp4') END AS original FROM events WHERE event_id % 5 <> 0"

@@ -350,3 +350,70 @@ def test_flatten_json_parses_a_text_once(spark):
     got = sorted((r.id, r.path, r.value) for r in flat.collect() if r.path != ".a.b[1].c")
     assert got == [(0, ".a.b#", "2"), (0, ".a.b[0]", "1"), (0, ".d", "x"), (0, ".e#", "0"), (3, "", "7"), (4, ".l.m.n.o", '{"p":1}')]
     assert flat._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # each level read all texts again
+
+
+def _plain_groups(name, paths):
+    """The reference's rule on a list of paths, with a plain union of ids."""
+    import re
+
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def ids(path):
+        base = path.replace("\\", "/").split("/")[-1]
+        stem = base[: base.rfind(".")] if base.rfind(".") > 0 else base
+        m = re.match(r"(\d+)_(\d+)$" if name == "ffpp" else r"id(\d+)_id(\d+)_\d+$", stem)
+        one = re.match(r"(\d+)\Z" if name == "ffpp" else r"id(\d+)_\d+$", stem)
+        return (m.groups() if m else (one[1], None) if one else (None, None)), stem
+
+    for path in paths:
+        (a, b), _ = ids(path)
+        if b and (name == "celebdf" or "manipulated_sequences" in path):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    out = {}
+    for path in paths:
+        (a, b), stem = ids(path)
+        group = None if a is None else f"{name}:{min(find(a), find(b)) if b else find(a)}"
+        out[path] = f"celebdf:youtube:{stem}" if group is None and name == "celebdf" and "youtube" in path.lower() else group
+    return out
+
+
+_ODD_FF = ["m/manipulated_sequences/Deepfakes/c23/2_3.mp4", "m\\manipulated_sequences\\FaceSwap\\c40\\3_10.mp4", "raw/9_3.mp4", "o/raw/12_11.a.mp4", "o/raw/12_11", "12.mp4", ".12", "o/5_", "o/5_6_7.mp4", "o/.mp4", "o/10", "", "o/manipulated_sequences/4_4.mp4", "o/4.mp4", "Deepfakes/8_2.", "o/c23"]
+_ODD_CELEB = ["Celeb-synthesis/id1_id2_0000.mp4", "Celeb-real\\id2_0001.mp4", "id2_id30_0007", "Celeb-real/id30_1.x.mp4", "Celeb-real/id7_id_1.mp4", "YouTube-real/00001.mp4", "youtube\\.mp4", "real/synthesis", "id5_3.mp4", "", "x/Celeb-Real/", "id4_id4_1.mp4", "YouTube/id9_id5_2.mp4", "YouTube/id9_id5_.mp4"]
+
+
+@pytest.mark.parametrize("name, paths, texts", [("ffpp", _ODD_FF, 4)])
+def test_pair_adapters_work_ids_out_once(spark, name, paths, texts):
+    """Odd names keep the reference's groups, repeats count once if so asked, and a path's stem stands in the plan once a branch and filter."""
+    repeated = spark.createDataFrame([(p,) for p in paths * 3] + [(None,), (None,)], "path string").repartition(3)
+    df = adapters.adapt(name, repeated, once=True)
+    rows = df.collect()
+    assert {r.path: r.grp for r in rows if r.path is not None} == _plain_groups(name, paths) and len(rows) == len(paths) + 1
+    assert sorted(map(str, rows)) == sorted(map(str, adapters.adapt(name, repeated.distinct()).collect()))
+    assert adapters.adapt(name, repeated).count() == 3 * len(paths) + 2
+    if name == "ffpp":
+        assert {r.path: (r.label, r.method, r.compression) for r in rows}["m\\manipulated_sequences\\FaceSwap\\c40\\3_10.mp4"] == ("fake", "faceswap", "c40")
+        assert {r.compression for r in rows if r.path and r.path.startswith("raw/")} == {"unknown"} and {r.method for r in rows if r.path and "8_2" in r.path} == {"deepfakes"}
+    else:
+        assert {r.path: r.label for r in rows if r.path and "eal" in r.path} == {"Celeb-real\\id2_0001.mp4": "real", "Celeb-real/id30_1.x.mp4": "real", "Celeb-real/id7_id_1.mp4": "real", "YouTube-real/00001.mp4": "real", "real/synthesis": "real", "x/Celeb-Real/": "real"}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= texts  # each use of an id worked the stem out again: 76 us a row
+
+
+def test_links_are_cleaned_in_tasks(spark, monkeypatch):
+    """Nulls and self links go before the forests, also where a task gives up thinning; no filter works the ids out a second time."""
+    import pyarrow as pa
+
+    from assay.operators import graph
+
+    monkeypatch.setattr(graph, "CHUNK", 2)
+    batches = [pa.record_batch({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())}) for a, b in ((["1", None, "3"], ["2", "9", "4"]), ([None, "5"], [None, "5"]), (["6", "7", None], ["8", None, "1"]))]
+    assert [r for b in graph._forest(iter(batches)) for r in b.to_pylist()] == [{"a": "1", "b": "2"}, {"a": "3", "b": "4"}, {"a": "6", "b": "8"}]
+    links = spark.range(10).select(F.col("id").cast("string").alias("a"), F.nullif((F.col("id") % 3).cast("string"), F.lit("0")).alias("b"))
+    assert "Filter" not in spanning_links(links)._jdf.queryExecution().optimizedPlan().toString()
