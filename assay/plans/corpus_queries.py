@@ -397,7 +397,7 @@ _CELEB = """SELECT concat('celeb/', CASE WHEN l_linenumber % 4 = 0 THEN 'Celeb-r
   SELECT path, CASE WHEN path LIKE '%synthesis/%' THEN 'celeb-synthesis' ELSE 'real' END AS label, CASE WHEN a IS NOT NULL THEN 'celebdf:' || coalesce(c, a) ELSE 'celebdf:youtube:' || stem END AS grp,
   CASE WHEN path LIKE '%synthesis%' THEN 'celeb-synthesis' ELSE '' END AS method, 'unknown' AS compression, '' AS subject FROM i LEFT JOIN comp ON comp.node = a""")
 def _(spark, sf):
-    return ad.adapt("celebdf", _sql(spark, sf, _CELEB, "lineitem").distinct())
+    return ad.adapt("celebdf", _sql(spark, sf, _CELEB, "lineitem"), once=True)
 
 
 _DEEPER = "SELECT concat('df/', CASE WHEN doc_id % 3 = 0 THEN 'source_videos/' WHEN doc_id % 3 = 1 THEN 'manipulated_videos/end_to_end/' ELSE 'misc/' END, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE concat(CASE WHEN doc_id % 2 = 0 THEN 'm' ELSE 'W' END, lpad(CAST(doc_id % 100 AS STRING), 3, '0')) END, '_', CAST(doc_id AS STRING), '.mp4') AS path FROM documents"

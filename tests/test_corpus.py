@@ -388,7 +388,7 @@ _ODD_FF = ["m/manipulated_sequences/Deepfakes/c23/2_3.mp4", "m\\manipulated_sequ
 _ODD_CELEB = ["Celeb-synthesis/id1_id2_0000.mp4", "Celeb-real\\id2_0001.mp4", "id2_id30_0007", "Celeb-real/id30_1.x.mp4", "Celeb-real/id7_id_1.mp4", "YouTube-real/00001.mp4", "youtube\\.mp4", "real/synthesis", "id5_3.mp4", "", "x/Celeb-Real/", "id4_id4_1.mp4", "YouTube/id9_id5_2.mp4", "YouTube/id9_id5_.mp4"]
 
 
-@pytest.mark.parametrize("name, paths, texts", [("ffpp", _ODD_FF, 4)])
+@pytest.mark.parametrize("name, paths, texts", [("ffpp", _ODD_FF, 4), ("celebdf", _ODD_CELEB, 1)])
 def test_pair_adapters_work_ids_out_once(spark, name, paths, texts):
     """Odd names keep the reference's groups, repeats count once if so asked, and a path's stem stands in the plan once a branch and filter."""
     repeated = spark.createDataFrame([(p,) for p in paths * 3] + [(None,), (None,)], "path string").repartition(3)
